@@ -230,7 +230,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     packed = known.mapInArrow(_postings(k, percent, heavy, buckets), "bucket bigint, n bigint, data binary")
     lists = scratch.table(packed.groupBy("bucket").applyInArrow(_merge(percent), _LISTS), "lists")
 
-    first = lists.filter("next is not null").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
+    need = f"ceil({percent} * (nx + ny) / {100 + percent}) - greatest(ceil({percent} * nx / 100), ceil({percent} * ny / 100)) + 1"
+    first = lists.filter("next is not null").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b"), F.col("n").alias("nx"), F.col("next_n").alias("ny"))
+    first = first.groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}").select("a", "b").distinct()
     tried = scratch.table(first, "neighbours")
     links = _verify(tried, known, classes, k, percent, scratch)
     label = scratch.table(connected_components(links, scratch), "labels")
@@ -246,7 +248,6 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     met = across.join(tagged.select("token", F.col("label").alias("la"), F.col("node").alias("x"), F.col("n").alias("nx")), ["token", "la"])
     met = met.join(tagged.select("token", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny")), ["token", "lb"])
     met = met.filter(f"100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
-    need = f"ceil({percent} * (nx + ny) / {100 + percent}) - greatest(ceil({percent} * nx / 100), ceil({percent} * ny / 100)) + 1"
     second = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}")
     second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tried, ["a", "b"], "left_anti")
     more = _verify(second, known, classes, k, percent, scratch)

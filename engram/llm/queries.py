@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, substring_dedup, token_counts, token_output
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_token_output": token_output.op4_token_output,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES = {
     "op2_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
 }
