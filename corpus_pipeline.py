@@ -4,16 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import jaccard_join
+from engram.llm import decontamination, jaccard_join, mixing, quality, sharding
 from engram.llm.scratch import Scratch
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on the labelled rows of these documents."""
+    return quality.select(docs, quality.train(docs, quality.ratings_of(spark, sf_dir)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return jaccard_join.one_of_each_group(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with passages of test items go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document of the mix, with its shard and its slot there."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mixed),
+    ("sharding", sharded),
+]
+
+#: SQL can't express the fitted classifier or the alignment; tests/llm hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
