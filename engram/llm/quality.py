@@ -93,7 +93,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, out = texts_of(batch.column("text")), []
         for lo, hi in chunks(texts):
             row, feature = _chunk(texts[lo:hi])
-            out += [np.unique(feature[row == r]).astype(np.uint32).tobytes() for r in range(hi - lo)]
+            pair = np.unique(row << FEATURE_BITS | feature)
+            cuts = np.searchsorted(pair, np.arange(hi - lo + 1) << FEATURE_BITS)
+            own = (pair & ((1 << FEATURE_BITS) - 1)).astype(np.uint32)
+            out += [own[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(out, pa.binary())], names=["grade", "features"])
 
 
@@ -123,7 +126,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.threshold[None, :] - score[:, None], -40, 40)))
 
 
-def fit(grades: np.ndarray, features: list[np.ndarray], steps: int = 400, rate: float = 0.05, penalty: float = 4e-4, least_docs: int = 4) -> Model:
+def fit(grades: np.ndarray, features: list[np.ndarray], steps: int = 400, rate: float = 0.05, penalty: float = 1e-4, least_docs: int = 4) -> Model:
     """Maximum likelihood with an L1 penalty, by Adam with soft thresholding; grades count equally whatever their frequency."""
     lengths = np.array([len(f) for f in features], np.int64)
     flat = np.concatenate(features) if len(features) else np.zeros(0, np.uint32)
