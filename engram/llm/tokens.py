@@ -18,6 +18,7 @@ from .text import Words, chunks
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words that a worker remembers before it starts afresh.
 REMEMBERED = 1_500_000
+REMEMBERED_PIECES = 250_000
 _SIMPLE = re.compile(rb"([a-z]+)([.,!?;:*#%&$]*)")
 
 
@@ -42,18 +43,20 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.pieces: dict[bytes, list[int]] = {}
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        """Known words are three arrays sorted by hash: their hash, where their ids start in the pool, and how many there are."""
+        self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 18, np.int32), 0
+        self.pieces: dict[bytes, list[int]] = {}
 
     def _piece(self, piece: bytes) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
+            if len(self.pieces) >= REMEMBERED_PIECES:
+                self.pieces.clear()
             ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.decode())]
         return ids
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """A word of ASCII letters and closing marks is two pieces for the model; any other goes through the whole tokenizer."""
         found: list[list[int] | None] = []
         rest = []
@@ -66,31 +69,32 @@ class Encoder:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
             found[i] = e.ids
-        n, sizes = len(self.slot), np.array([len(f) for f in found], np.int64)
+        size = np.array([len(f) for f in found], np.int32)
         flat = np.array([t for f in found for t in f], np.int32)
-        while n + len(found) > len(self.first):
-            self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.size[n : n + len(found)] = sizes
-        self.first[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
+        first = (self.used + np.cumsum(size) - size).astype(np.int32)
         self.used += len(flat)
-        self.slot.update(zip(hashes, range(n, n + len(found)), strict=True))
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.first, self.size = (np.insert(old, at, new[order]) for old, new in ((self.known, hashes), (self.first, first), (self.size, size)))
 
     def _chunk(self, texts: list[bytes], with_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
         w = Words(texts)
         codes, distinct = pd.factorize(w.hashes)
-        if len(self.slot) + len(distinct) > REMEMBERED:
+        if len(self.known) + len(distinct) > REMEMBERED:
             self._forget()
-        known = distinct.tolist()
-        new = [i for i, h in enumerate(known) if h not in self.slot]
-        if new:
+        if len(self.known):
+            new = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
+        else:
+            new = np.ones(len(distinct), bool)
+        if new.any():
             at = np.empty(len(distinct), np.int64)
             at[codes[::-1]] = np.arange(len(codes))[::-1]
-            self._learn([known[i] for i in new], [w.word(a).lower() for a in at[new].tolist()])
-        slots = np.array([self.slot[h] for h in known], np.int64)
-        sizes = self.size[slots][codes]
+            self._learn(distinct[new], [w.word(a).lower() for a in at[new].tolist()])
+        slots = np.searchsorted(self.known, distinct)
+        sizes = self.size[slots][codes].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         counts = np.diff(ends[w.bounds])
         if not with_ids:
