@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "op_a1"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import access, graph, joins, ledger, lists, retrieval, texts  # noqa: F401
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "op_a4"
