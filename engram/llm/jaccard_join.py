@@ -11,9 +11,11 @@ with the other's shingles.
 Frequent shingles are found first and go to the end of every set's order, so a
 passage that a third of the corpus shares stays in the long lists. Equal sets
 are one node from the start: each map task sends a set once. Long merged lists
-(a group of near copies) give no quadratic output either: neighbours in a list
-are verified first, and later only members that are still in different
-components are paired.
+(a group of near copies) give no quadratic output either: each member is first verified
+against the list's hub, the member with the fewest rare shingles and so the
+least edited one, and against its neighbour in size. Only members that are
+still in different components are paired later, and only if enough of their
+short lists meet at all to reach the overlap.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -31,7 +33,12 @@ from .scratch import Scratch, small
 from .text import CHUNK_BYTES, digest, shingled, texts_of
 
 #: Frequent shingles whose place in the order is last. Only the order, and so the speed, depends on this list.
-HEAVY = 1 << 16
+HEAVY = 1 << 18
+#: Partners of each set that are verified before all others.
+FIRST_PARTNERS = 2
+#: A list with so many open members is paired in blocks of `LIST_BLOCK` members, in tasks of their own.
+LONG_LIST = 48
+LIST_BLOCK = 1024
 #: Postings in one bucket of lists, about.
 BUCKET_POSTINGS = 250_000
 _SETS = "doc_id bigint, n bigint, node bigint, token bigint, df bigint"
@@ -85,12 +92,13 @@ def _postings(k: int, percent: int, heavy: np.ndarray, buckets: int):
         size = [len(p[0]) for p in parts]
         node = np.repeat(np.array([p[1] for p in parts], np.int64), size)
         n = np.repeat(np.array([p[2] for p in parts], np.uint32), size)
+        rare = np.repeat(np.array([p[3] for p in parts], np.uint32), size)
         bucket = (token % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        token, node, n, bucket = token[order], node[order], n[order], bucket[order]
+        token, node, n, rare, bucket = token[order], node[order], n[order], rare[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
-        data = [token[a:b].tobytes() + node[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]
+        data = [token[a:b].tobytes() + node[a:b].tobytes() + n[a:b].tobytes() + rare[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[lo], pa.int64()), pa.array(hi - lo, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "n", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +115,13 @@ def _postings(k: int, percent: int, heavy: np.ndarray, buckets: int):
                     continue
                 seen.add(d)
                 n = len(tokens)
-                p = _short_lists(n, percent)
+                p = rare = _short_lists(n, percent)
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
                     often = heavy[at] == tokens
+                    rare = min(p, n - int(often.sum()))
                     tokens = np.concatenate([tokens[~often], tokens[often]])
-                parts.append((tokens[:p], d, n))
+                parts.append((tokens[:p], d, n, rare))
                 size += p
                 if size >= 1_000_000:
                     yield flush(parts)
@@ -123,42 +132,82 @@ def _postings(k: int, percent: int, heavy: np.ndarray, buckets: int):
     return run
 
 
-_LISTS = "token bigint, node bigint, n bigint, next bigint, next_n bigint"
+_LISTS = "token bigint, node bigint, n bigint, next bigint, next_n bigint, hub bigint, hub_n bigint"
 
 
 def _merge(percent: int):
-    """The lists of one bucket with two sets or more, by size within a list; `next` is the neighbour if sizes allow a link."""
+    """The lists of one bucket with two sets or more, by size within a list; `next` is the neighbour and `hub` the member with the fewest rare shingles, if sizes allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, node, n = [], [], []
+        token, node, n, rare = [], [], [], []
         for size, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist(), strict=True):
             token.append(np.frombuffer(data, np.uint64, size))
             node.append(np.frombuffer(data, np.int64, size, 8 * size))
             n.append(np.frombuffer(data, np.uint32, size, 16 * size))
-        token, node, n = np.concatenate(token), np.concatenate(node), np.concatenate(n)
+            rare.append(np.frombuffer(data, np.uint32, size, 20 * size))
+        token, node, n, rare = np.concatenate(token), np.concatenate(node), np.concatenate(n), np.concatenate(rare)
         order = np.argsort(token, kind="stable")
-        token, node, n = token[order], node[order], n[order]
+        token, node, n, rare = token[order], node[order], n[order], rare[order]
         met = np.zeros(len(token), bool)
         same = token[1:] == token[:-1]
         met[1:] |= same
         met[:-1] |= same
-        token, node, n = token[met], node[met], n[met]
+        token, node, n, rare = token[met], node[met], n[met], rare[met]
         order = np.lexsort((node, n, token))
-        token, node, n = token[order], node[order], n[order].astype(np.int64)
+        token, node, n, rare = token[order], node[order], n[order].astype(np.int64), rare[order]
         if len(token):
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, n = token[fresh], node[fresh], n[fresh]
+            token, node, n, rare = token[fresh], node[fresh], n[fresh], rare[fresh]
             met = np.zeros(len(token), bool)
             same = token[1:] == token[:-1]
             met[1:] |= same
             met[:-1] |= same
-            token, node, n = token[met], node[met], n[met]
+            token, node, n, rare = token[met], node[met], n[met], rare[met]
         near = np.zeros(len(token), bool)
         if len(token):
             near[:-1] = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
         nxt, nxt_n = np.roll(node, -1), np.roll(n, -1)
-        return pa.table({"token": token.view(np.int64), "node": node, "n": n, "next": pa.array(nxt, mask=~near), "next_n": pa.array(nxt_n, mask=~near)})
+        head = np.ones(len(token), bool)
+        head[1:] = token[1:] != token[:-1]
+        hub = np.lexsort((node, rare, token))[np.flatnonzero(head)][np.cumsum(head) - 1] if len(token) else np.zeros(0, np.int64)
+        hub, hub_n = node[hub], n[hub]
+        close = (hub != node) & (100 * np.minimum(n, hub_n) >= percent * np.maximum(n, hub_n))
+        return pa.table({"hub": pa.array(hub, mask=~close), "hub_n": pa.array(hub_n, mask=~close), "token": token.view(np.int64), "node": node, "n": n, "next": pa.array(nxt, mask=~near), "next_n": pa.array(nxt_n, mask=~near)}).select(["token", "node", "n", "next", "next_n", "hub", "hub_n"])
+
+    return run
+
+
+def _incidence(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of rows of tokens, ascending, and which row has which."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    names, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+    has = np.zeros((len(sizes), len(names)), np.float32)
+    has[np.repeat(np.arange(len(sizes)), sizes), at] = 1
+    return names, has
+
+
+def _pair_block(percent: int):
+    """Pairs from two blocks of one list's members that meet often enough, by counting common short lists.
+
+    A pair is given only at its first common long list, and only if the members are in different components.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        token, i, j = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
+        own, node, n, label = (table.column(c).to_numpy() for c in ("own", "node", "n", "label"))
+        long, short = (_incidence(table.column(c).combine_chunks()) for c in ("long", "short"))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        first = int(np.searchsorted(long[0], token))
+        shared = long[1][left] @ long[1][right].T + short[1][left] @ short[1][right].T
+        before = long[1][left][:, :first] @ long[1][right][:, :first].T
+        a, b = n[left][:, None], n[right][None, :]
+        need = -(-percent * (a + b) // (100 + percent)) - np.maximum(-(-percent * a // 100), -(-percent * b // 100)) + 1
+        ok = (shared >= need) & (before == 0) & (label[left][:, None] != label[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        if i == j:
+            ok &= node[left][:, None] < node[right][None, :]
+        x, y = np.nonzero(ok)
+        return pa.table({"x": pa.array(node[left][x], pa.int64()), "y": pa.array(node[right][y], pa.int64())})
 
     return run
 
@@ -231,25 +280,35 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     lists = scratch.table(packed.groupBy("bucket").applyInArrow(_merge(percent), _LISTS), "lists")
 
     need = f"ceil({percent} * (nx + ny) / {100 + percent}) - greatest(ceil({percent} * nx / 100), ceil({percent} * ny / 100)) + 1"
-    first = lists.filter("next is not null").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b"), F.col("n").alias("nx"), F.col("next_n").alias("ny"))
-    first = first.groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}").select("a", "b").distinct()
+    pair = lambda other: lists.filter(F.col(other).isNotNull()).select(F.col("node").alias("x"), F.col(other).alias("y"), F.col("n").alias("nx"), F.col(f"{other}_n").alias("ny"))
+    first = pair("next").union(pair("hub")).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"2 * shared >= {need}")
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y"))).filter(F.col("place") <= FIRST_PARTNERS)
+    first = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = scratch.table(first, "neighbours")
     links = _verify(tried, known, classes, k, percent, scratch)
     label = scratch.table(connected_components(links, scratch), "labels")
 
-    tagged = lists.join(label, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
-    open_ = tagged.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    tagged = scratch.table(tagged.join(open_, "token", "left_semi"), "open")
-    parts = tagged.groupBy("token", "label").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    across = parts.select("token", F.col("label").alias("la"), F.col("small").alias("sa"), F.col("large").alias("ga")).join(
-        parts.select("token", F.col("label").alias("lb"), F.col("small").alias("sb"), F.col("large").alias("gb")), "token"
-    )
-    across = across.filter(f"la < lb and 100 * ga >= {percent} * sb and 100 * gb >= {percent} * sa").select("token", "la", "lb")
-    met = across.join(tagged.select("token", F.col("label").alias("la"), F.col("node").alias("x"), F.col("n").alias("nx")), ["token", "la"])
-    met = met.join(tagged.select("token", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny")), ["token", "lb"])
-    met = met.filter(f"100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
-    second = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}")
-    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tried, ["a", "b"], "left_anti")
+    # a set meets a partner in at most as many lists as it has here; sizes in a list bound the overlap it needs
+    known_nodes = lists.groupBy("node").agg(F.count("*").alias("lists")).join(label, "node", "left").select("node", "lists", F.coalesce("label", "node").alias("label"))
+    tagged = lists.select("token", "node", "n").join(known_nodes, "node")
+    sizes = tagged.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large")).filter("lo < hi").select("token", "small", "large")
+    least_need = lambda y: need.replace("nx", "n").replace("ny", f"({y})")
+    bound = F.least(F.expr(least_need(f"greatest(small, ceil({percent} * n / 100))")), F.expr(least_need(f"least(large, floor(100 * n / {percent}))")))
+    tagged = scratch.table(tagged.join(sizes, "token").filter(F.col("lists") >= bound).select("token", "node", "n", "label"), "open")
+    lengths = tagged.groupBy("token").agg(F.count("*").alias("m")).withColumn("blocks", F.when(F.col("m") >= LONG_LIST, F.ceil(F.col("m") / LIST_BLOCK)).otherwise(F.lit(0)).cast("int"))
+    tagged = scratch.table(tagged.join(lengths.select("token", "blocks"), "token"), "open")
+    short = tagged.filter("blocks = 0").select("token", "node", "n", "label")
+    met = short.select("token", F.col("label").alias("la"), F.col("node").alias("x"), F.col("n").alias("nx")).join(short.select("token", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny")), "token")
+    met = met.filter(f"la < lb and 100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
+    from_short = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}").select("x", "y")
+
+    long_ = tagged.filter("blocks > 0")
+    own = tagged.join(long_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list(F.when(F.col("blocks") > 0, F.col("token"))).alias("long"), F.collect_list(F.when(F.col("blocks") == 0, F.col("token"))).alias("short"))  # a set's short lists
+    cells = long_.join(own, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "long", "short")
+    from_long = cells.groupBy("token", "i", "j").applyInArrow(_pair_block(percent), "x bigint, y bigint")
+
+    second = from_short.union(from_long).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _verify(second, known, classes, k, percent, scratch)
     label = scratch.table(connected_components(links.union(more), scratch), "labels")
 
