@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def trigrams(text: Column) -> Column:
@@ -59,7 +60,7 @@ def _jaro_winkler(a: str | None, b: str | None) -> float | None:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity with the prefix boost above 0.7."""
     return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -77,7 +78,7 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - bin(s & ((1 << len(a)) - 1)).count("1")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * longest common subsequence / total length; 1 for two empty strings."""
     return pd.Series([None if x is None or y is None else 1.0 if not x and not y else 2 * _lcs(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_CHARS = 10_000
 ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2028}-\x{202f}\x{feff}]"
@@ -56,7 +57,7 @@ URL = r"""https?://[^\s<>"']+"""
 TRIMMED = " _-.,;:()[]{}'\""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
