@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Edges that one task contracts, about.
+TASK_EDGES = 200_000
+
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace a partition's edges by one star for each of its components."""
@@ -43,13 +47,14 @@ def _is_stars(now: DataFrame) -> bool:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for every node of `edges` (its first two columns, bigint): label is the component's smallest node.
 
-    Every partition first contracts its own edges to stars; then large-star and
+    Tasks first contract `TASK_EDGES` edges each to stars; then large-star and
     small-star steps alternate until only stars are left. Self links and nulls are
     left out; an empty edge list gives an empty result.
     """
     u, v = edges.columns[:2]
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u > v")
-    now = scratch.table(e.mapInArrow(_contract, "u bigint, v bigint").distinct(), "stars")
+    e = scratch.table(e, "edges")
+    now = scratch.table(e.coalesce(max(1, ceil(e.count() / TASK_EDGES))).mapInArrow(_contract, "u bigint, v bigint").distinct(), "stars")
     while not _is_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
