@@ -65,31 +65,56 @@ def accumulate(claims: DataFrame, keys: list[str]) -> DataFrame:
     return claims.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def _explicit_only(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq").reset_index(drop=True)
-    state, by = ["active"] * len(pdf), [None] * len(pdf)
+def _by_key(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole keys from batches that are sorted by key; a key may span batches."""
+    held: pd.DataFrame | None = None
+    for pdf in frames:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        last = (pdf[keys].fillna("").astype(str) == pdf[keys].fillna("").astype(str).iloc[-1]).all(axis=1)
+        held = pdf[last]
+        if not last.all():
+            yield pdf[~last]
+    if held is not None and not held.empty:
+        yield held
+
+
+def _explicit(ids: list, values: list, times: list, sure: list, least: float) -> tuple[list, list]:
+    """States and successors of one key's claims in order of arrival."""
+    state, by = ["active"] * len(ids), [None] * len(ids)
     active: list[int] = []
-    for i, (value, at, sure) in enumerate(zip(pdf["value"], pdf["observed_at"], pdf["confidence"], strict=True)):
-        others = [j for j in active if pdf["value"][j] != value]
-        for j in others:
-            if sure >= least and at >= pdf["observed_at"][j]:
-                state[j], by[j] = "superseded", pdf["id"][i]
+    for i, (value, at, c) in enumerate(zip(values, times, sure, strict=True)):
+        for j in [j for j in active if values[j] != value]:
+            if c >= least and at >= times[j]:
+                state[j], by[j] = "superseded", ids[i]
                 active.remove(j)
             else:
                 state[i] = "disputed"
         if state[i] == "active":
             active.append(i)
-    return pdf.assign(state=state, superseded_by=pd.array(by, dtype="Int64"))
+    return state, by
 
 
 def explicit_only(claims: DataFrame, keys: list[str], least: float = 0.85) -> DataFrame:
     """An ordered fold of arrivals per key: a confident, not older, different value supersedes; a different value otherwise is disputed.
 
-    An equal value leaves both active. A key's claims are folded in one group,
-    as the rule depends on every earlier outcome.
+    An equal value leaves both active. Keys are hash-partitioned and sorted by
+    arrival, and a task folds its keys one after the other: the rule depends on
+    every earlier outcome of a key, so one key's claims are held together.
     """
+    cols = claims.columns
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by_key(frames, keys):
+            group = pdf[keys].fillna("").astype(str).agg("\x00".join, axis=1).to_numpy()
+            ids, values, times, sure = (pdf[c].tolist() for c in ("id", "value", "observed_at", "confidence"))
+            cuts = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1]), len(group)]
+            parts = [_explicit(ids[a:b], values[a:b], times[a:b], sure[a:b], least) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pdf.assign(state=[x for p in parts for x in p[0]], superseded_by=pd.array([x for p in parts for x in p[1]], dtype="Int64"))
+
     schema = T.StructType([*claims.schema.fields, T.StructField("state", T.StringType()), T.StructField("superseded_by", T.LongType())])
-    return claims.groupBy(*keys).applyInPandas(lambda pdf: _explicit_only(pdf, least), schema)
+    return claims.repartition(*keys).sortWithinPartitions(*keys, "seq").select(cols).mapInPandas(fold, schema)
 
 
 def claim_value(raw: Column, kind: Column) -> Column:
@@ -104,24 +129,26 @@ def claim_value(raw: Column, kind: Column) -> Column:
     )
 
 
-def _admit(times: list[float], limit: int, window: float) -> list[bool]:
-    kept: list[float] = []
-    out = []
-    for t in times:
-        kept = [k for k in kept if k > t - window]
-        ok = len(kept) < limit
-        if ok:
-            kept.append(t)
-        out.append(ok)
-    return out
-
-
 def rate_limited(requests: DataFrame, key: str, at: str, limit: int, window_seconds: float) -> DataFrame:
-    """`requests` with `allowed`: a sliding window that counts admitted requests only, replayed in order (`at` in seconds, then `seq`)."""
+    """`requests` with `allowed`: a sliding window that counts admitted requests only, replayed in order (`at` in seconds, then `seq`).
+
+    Keys are hash-partitioned and sorted; a task keeps one key's admitted
+    requests of the window, `limit` of them at most.
+    """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[float] = []
+        current = object()
         for pdf in frames:
-            pdf = pdf.sort_values([at, "seq"])
-            yield pdf.assign(allowed=_admit(pdf[at].tolist(), limit, window_seconds))
-
-    return requests.groupBy(key).applyInPandas(lambda pdf: next(fold(iter([pdf]))), T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())]))
+            out = []
+            for k, t in zip(pdf[key].tolist(), pdf[at].tolist(), strict=True):
+                if k != current:
+                    current, kept = k, []
+                kept = [x for x in kept if x > t - window_seconds]
+                out.append(len(kept) < limit)
+                if out[-1]:
+                    kept.append(t)
+            yield pdf.assign(allowed=out)
+
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())])
+    return requests.repartition(key).sortWithinPartitions(key, at, "seq").mapInPandas(fold, schema)
