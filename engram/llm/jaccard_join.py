@@ -37,7 +37,7 @@ HEAVY = 1 << 18
 #: Partners of each set that are verified before all others.
 FIRST_PARTNERS = 2
 #: A list with so many open members is paired in blocks of `LIST_BLOCK` members, in tasks of their own.
-LONG_LIST = 48
+LONG_LIST = 12
 LIST_BLOCK = 1024
 #: Postings in one bucket of lists, about.
 BUCKET_POSTINGS = 250_000
