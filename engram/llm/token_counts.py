@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import texts_of
+from .text import slices, texts_of
 from .tokens import VOCABULARY, Encoder
 
 #: Lengths in one block of the two-level running sums.
@@ -25,7 +25,7 @@ BLOCK = 256
 def _lengths(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(vocabulary), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             seen.update(encoder.encode(texts_of(batch.column(0)), with_ids=False)[0].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["n_tokens", "n_docs"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small
-from .text import texts_of
+from .text import slices, texts_of
 from .tokens import VOCABULARY, Encoder
 
 END_ID = 1
@@ -26,7 +26,7 @@ STRIPE_BYTES = 16 << 20
 def _encode(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seq = Encoder.of(vocabulary), 0
-        for batch in batches:
+        for batch in slices(batches):
             n, ids = encoder.encode(texts_of(batch.column("text")))
             ids = np.insert(ids, np.cumsum(n), end_id).astype(np.int32)
             offsets = np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int32)
@@ -60,10 +60,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         lists = batch.column("ids")
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        crc = [zlib.crc32(values[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("part"), batch.column("seq"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "seq", "n_tokens", "ids_crc32"]
         )

@@ -17,8 +17,8 @@ from .text import Words, chunks
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 1_500_000
-REMEMBERED_PIECES = 250_000
+REMEMBERED = 1_000_000
+REMEMBERED_PIECES = 150_000
 _SIMPLE = re.compile(rb"([a-z]+)([.,!?;:*#%&$]*)")
 
 
