@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The test items are the query set; they are few, and are taken in blocks of a
-fixed size, each sent to every task. One pass counts in how many documents each
-n-gram of the block's items occurs. An item's seeds are the rarer half of its
-n-grams, rare relative to the item, so that an item leaked into very many
-documents keeps its seeds. A second pass finds seeds in the whole texts, aligns
-the item with the words around them, and reports alignments that reach the
-share of the best possible score. No text is shuffled.
+fixed size, each sent to every task. All n-grams of an item are its seeds,
+however many documents hold them, so an alignment with `n` words in a row in
+common is always found. One pass finds seeds in the whole texts, passes over
+items too few of whose words are there for the score, aligns the others with
+the words around the seeds, and reports alignments that reach the share of the
+best possible score. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -42,22 +42,20 @@ class Items:
         self.seeds, at = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]), return_inverse=True)
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         self.place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)]).astype(np.int64)
-        self.gram = at
+        order = np.argsort(at, kind="stable")
+        self.item, self.place, at = self.item[order], self.place[order], at[order]
+        self.lo, self.hi = (np.searchsorted(at, np.arange(len(self.seeds)), side=side) for side in ("left", "right"))
+        self.vocab, self.word = np.unique(w.hashes, return_inverse=True)
+        self.bounds = w.bounds
         self.table = np.zeros(1 << _FILTER_BITS, bool)
         self.table[(self.seeds & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
 
-    def rare(self, df: np.ndarray) -> None:
-        """Keep, for each item, the n-grams whose document count is at most the item's median."""
-        keep = np.zeros(len(self.item), bool)
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i) if len(self.ids) < 64 else slice(*np.searchsorted(self.item, [i, i + 1]))
-            counts = df[self.gram[own]]
-            if len(counts):
-                keep[own] = counts <= np.median(counts)
-        self.item, self.place, self.gram = self.item[keep], self.place[keep], self.gram[keep]
-        order = np.argsort(self.gram, kind="stable")
-        self.item, self.place, self.gram = self.item[order], self.place[order], self.gram[order]
-        self.lo, self.hi = np.searchsorted(self.gram, np.arange(len(self.seeds))), np.searchsorted(self.gram, np.arange(len(self.seeds)), side="right")
+    def words_in(self, words: np.ndarray) -> np.ndarray:
+        """Which of the items' words occur in a text."""
+        at = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
+        present = np.zeros(len(self.vocab), bool)
+        present[at[self.vocab[at] == words]] = True
+        return present
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, word position in the row, n-gram) of every n-gram of the items in a chunk of texts."""
@@ -76,7 +74,7 @@ class Items:
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score of `item` within `words` (linear gaps), and where in `words` it ends."""
+    """Best local alignment score of `item` within `words` (linear gaps), and where in `words` the first of them ends."""
     at = np.arange(len(words))
     row, best, end = np.zeros(len(words) + 1, np.int64), 0, 0
     for x in item:
@@ -84,26 +82,11 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
         h = np.maximum(np.maximum.accumulate(np.maximum(h, 0) - GAP * at) + GAP * at, 0)
         row[1:] = h
         top = int(h.argmax())
-        if h[top] > best:
+        if h[top] > best or (h[top] == best and 0 <= top < end - 1):
             best, end = int(h[top]), top + 1
     return best, end
 
 
-def _df(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.seeds), np.int64)
-        for batch in batches:
-            texts = texts_of(batch.column(0))
-            for lo, hi in chunks(texts):
-                row, _, gram = items.hits(Words(texts[lo:hi]))
-                if len(row):
-                    total += np.bincount(np.unique(row * len(total) + gram) % len(total), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "df"])
-
-    return run
-
-
 def _found(items: Items, w: Words, least: float) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, end word) of the alignments in a chunk that reach `least`."""
     row, pos, gram = items.hits(w)
@@ -111,24 +94,35 @@ def _found(items: Items, w: Words, least: float) -> list[tuple[int, int, float,
     for r in np.unique(row).tolist():
         own = slice(*np.searchsorted(row, [r, r + 1]))
         words = w.hashes[w.bounds[r] : w.bounds[r + 1]]
-        starts: dict[int, list[int]] = {}
+        present = items.words_in(words)
+        starts: dict[int, list[tuple[int, int]]] = {}
         for p, g in zip(pos[own].tolist(), gram[own].tolist(), strict=True):
             for k in range(items.lo[g], items.hi[g]):
-                starts.setdefault(int(items.item[k]), []).append(p - int(items.place[k]))
+                starts.setdefault(int(items.item[k]), []).append((p - int(items.place[k]), p))
         for i, at in starts.items():
             item = items.words[i]
             size = len(item)
+            need = least * MATCH * size
+            if MATCH * int(present[items.word[items.bounds[i] : items.bounds[i + 1]]].sum()) < need:
+                continue
+            pad = int((MATCH * size - need) / -GAP)  # an alignment has no more words inserted
             at.sort()
             first = 0
             for k in range(1, len(at) + 1):
-                if k < len(at) and at[k] - at[k - 1] <= size:
+                if k < len(at) and at[k][0] - at[k - 1][0] <= size + 2 * pad:
                     continue
-                lo, hi = max(0, at[first] - size // 2 - 2), min(len(words), at[k - 1] + size + size // 2 + 2)
+                todo = [(max(0, at[first][0] - pad), min(len(words), at[k - 1][0] + size + pad))]
+                seeds = np.array([p for _, p in at[first:k]])
                 first = k
-                score, end = align(item, words[lo:hi])
-                if score >= least * MATCH * size:
-                    back, length = align(item[::-1], words[lo : lo + end][::-1])
-                    out.append((r, i, score / (MATCH * size), lo + end - length, lo + end))
+                while todo:
+                    lo, hi = todo.pop()
+                    if not ((seeds >= lo) & (seeds + items.n <= hi)).any() or MATCH * int(np.isin(item, words[lo:hi]).sum()) < need:
+                        continue
+                    score, end = align(item, words[lo:hi])
+                    if score >= need:
+                        _, length = align(item[::-1], words[lo : lo + end][::-1])
+                        out.append((r, i, score / (MATCH * size), lo + end - length, lo + end))
+                        todo += [(lo, lo + end - length), (lo + end, hi)]
     return out
 
 
@@ -153,18 +147,13 @@ def _search(items: Items, least: float, clean: bool):
     return run
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, n: int) -> Iterator[Items]:
-    """The items with their rare seeds, in blocks; each block's size is fixed, and counts over all documents are one row for each of its n-grams."""
+def _blocks(benchmark: DataFrame, n: int) -> Iterator[Items]:
+    """The items with their seeds, in blocks of a fixed size."""
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     number = ceil(items.count() / BLOCK_ITEMS)
     for b in range(number):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == b).collect()
-        seeds = Items([r.item_id for r in block], [r.text.encode() for r in block], n)
-        df = np.zeros(len(seeds.seeds), np.int64)
-        for r in docs.select("text").mapInArrow(_df(seeds), "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).collect():
-            df[r.gram] = r.df
-        seeds.rare(df)
-        yield seeds
+        yield Items([r.item_id for r in block], [r.text.encode() for r in block], n)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST_SCORE) -> DataFrame:
@@ -172,19 +161,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least:
 
     score: Smith-Waterman score (match 2, mismatch and gap -1, on words) as a
     share of the item's best possible; `least` or more is reported. A document
-    may have several rows. Null and empty texts and items find nothing, nor do
+    may have several rows. An alignment without `n` words in a row in common is
+    not looked for. Null and empty texts and items find nothing, nor do
     items of fewer than `n` words. Null doc_ids are reported as null. An empty
     table on either side gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = "doc_id bigint, item_id bigint, score double, first_word bigint, end_word bigint"
-    found = [docs.mapInArrow(_search(items, least, clean=False), schema) for items in _blocks(docs, benchmark, n)]
+    found = [docs.mapInArrow(_search(items, least, clean=False), schema) for items in _blocks(benchmark, n)]
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of `docs` that hold no item, with all their columns."""
-    for items in _blocks(docs, benchmark, n):
+    for items in _blocks(benchmark, n):
         docs = docs.mapInArrow(_search(items, least, clean=True), docs.schema)
     return docs
 

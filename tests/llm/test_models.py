@@ -91,6 +91,29 @@ def test_decontamination(spark, monkeypatch):
     assert decontamination.contamination(docs.limit(0), bench).collect() == []
 
 
+def test_decontamination_of_edited_and_partial_copies(spark):
+    """Against brute-force alignment: copies with 20-25 % of their words changed, and halves in one or many documents."""
+    r = np.random.default_rng(5)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 5))
+    text = lambda n: [word() for _ in range(n)]
+    items = [text(40) for _ in range(6)]
+    changed = lambda item, step: [word() if i % step == step - 1 else w for i, w in enumerate(item)]
+    docs = {1: text(30) + changed(items[0], 5) + text(30), 2: text(9) + changed(items[1], 4), 3: text(50) + items[2][:20] + text(50)}
+    docs |= {i: text(i) + items[3][20:] + text(3) for i in range(10, 40)}
+    docs |= {4: text(8) + items[4] + text(60) + items[4][5:8] + text(70) + items[4] + text(2), 5: items[5][:17] + text(40), 6: text(90)}
+    docs |= {7: [w for i in range(0, 40, 4) for w in items[5][i : i + 4] + text(3)]}
+    code = {w: i for i, w in enumerate({w for x in [*docs.values(), *items] for w in x})}
+    coded = lambda ws: np.array([code[w] for w in ws], np.uint64)
+    want = {(d, i): s / 80 for d, t in docs.items() for i, x in enumerate(items) if (s := brute_alignment(coded(x), coded(t))) >= 40}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    table = frame(spark, [(d, " ".join(t), "s") for d, t in docs.items()])
+    found = decontamination.contamination(table, bench).collect()
+    assert {(f.doc_id, f.item_id): f.score for f in found} == want and {1, 2, 3, 4, 7, 10, 39} <= {d for d, _ in want}
+    assert sorted((f.first_word, f.end_word) for f in found if f.doc_id == 4) == [(8, 48), (181, 221)]
+    assert len(found) == len(want) + 1
+    assert {f.doc_id for f in decontamination.decontaminate(table, bench).collect()} == {5, 6}
+
+
 def test_pipeline_stages_hold_against_operators(spark, tmp_path):
     """Each stage's rows, found again from the operator's own result on the same input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 400")
