@@ -195,7 +195,7 @@ def _pair_block(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         token, i, j = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
-        own, node, n, label, lists = (table.column(c).to_numpy() for c in ("own", "node", "n", "label", "lists"))
+        own, node, n, label = (table.column(c).to_numpy() for c in ("own", "node", "n", "label"))
         long, short = (_incidence(table.column(c).combine_chunks()) for c in ("long", "short"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         first = int(np.searchsorted(long[0], token))
@@ -203,8 +203,7 @@ def _pair_block(percent: int):
         before = long[1][left][:, :first] @ long[1][right][:, :first].T
         a, b = n[left][:, None], n[right][None, :]
         overlap, rest_a, rest_b = -(-percent * (a + b) // (100 + percent)), -(-percent * a // 100) - 1, -(-percent * b // 100) - 1
-        ok = (lists[left][:, None] >= overlap - rest_a) & (lists[right][None, :] >= overlap - rest_b)
-        ok &= (shared >= overlap - np.maximum(rest_a, rest_b)) & (before == 0) & (label[left][:, None] != label[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        ok = (shared >= overlap - np.maximum(rest_a, rest_b)) & (before == 0) & (label[left][:, None] != label[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
         if i == j:
             ok &= node[left][:, None] < node[right][None, :]
         x, y = np.nonzero(ok)
@@ -289,28 +288,27 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     links = _verify(tried, known, classes, k, percent, scratch)
     label = scratch.table(connected_components(links, scratch), "labels")
 
-    # a set meets a partner in at most as many lists as it has here; sizes in a list bound the overlap it needs
+    # a set meets a partner in at most as many lists as it has here; sizes in a list bound the overlap it needs, to within 1 for rounding
     known_nodes = lists.groupBy("node").agg(F.count("*").alias("lists")).join(label, "node", "left").select("node", "lists", F.coalesce("label", "node").alias("label"))
     tagged = lists.select("token", "node", "n").join(known_nodes, "node")
     sizes = tagged.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large")).filter("lo < hi").select("token", "small", "large")
     least_need = lambda y: need.replace("nx", "n").replace("ny", f"({y})")
     bound = F.least(F.expr(least_need(f"greatest(small, ceil({percent} * n / 100))")), F.expr(least_need(f"least(large, floor(100 * n / {percent}))")))
-    tagged = scratch.table(tagged.join(sizes, "token").filter(F.col("lists") >= bound).select("token", "node", "n", "label", "lists"), "open")
+    tagged = scratch.table(tagged.join(sizes, "token").filter(F.col("lists") >= bound - 1).select("token", "node", "n", "label", "lists"), "open")
     lengths = tagged.groupBy("token").agg(F.count("*").alias("m")).withColumn("blocks", F.when(F.col("m") >= LONG_LIST, F.ceil(F.col("m") / LIST_BLOCK)).otherwise(F.lit(0)).cast("int"))
     tagged = scratch.table(tagged.join(lengths.select("token", "blocks"), "token"), "open")
     short = tagged.filter("blocks = 0")
     met = short.select("token", F.col("label").alias("la"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("lists").alias("lx")).join(
         short.select("token", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("lists").alias("ly")), "token"
     )
-    # short lists that a set shares with no other can't be in the overlap
-    reach = " and ".join(f"l{s} >= ceil({percent} * (nx + ny) / {100 + percent}) - ceil({percent} * n{s} / 100) + 1" for s in "xy")
-    met = met.filter(f"la < lb and 100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx and {reach}")
+    # a partner may hold a set's short lists among its long ones, so `need` is all that either side must meet
+    met = met.filter(f"la < lb and 100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx and least(lx, ly) >= {need}")
     from_short = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}").select("x", "y")
 
     long_ = tagged.filter("blocks > 0")
     own = tagged.join(long_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list(F.when(F.col("blocks") > 0, F.col("token"))).alias("long"), F.collect_list(F.when(F.col("blocks") == 0, F.col("token"))).alias("short"))  # a set's short lists
     cells = long_.join(own, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "lists", "long", "short")
+    cells = cells.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "long", "short")
     from_long = cells.groupBy("token", "i", "j").applyInArrow(_pair_block(percent), "x bigint, y bigint")
 
     second = from_short.union(from_long).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")

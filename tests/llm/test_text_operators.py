@@ -52,6 +52,31 @@ def test_jaccard_join(spark, rows, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def contained_pairs(seed):
+    """Texts of 75 shingles, each inside one of 100, and for each of both several partners that share more short lists but link to none."""
+    r = np.random.default_rng(seed)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    rows = []
+    for _ in range(24):
+        inner = [word() for _ in range(79)]
+        texts = [inner, inner + [word() for _ in range(25)]]
+        for base, share in ((0, 60), (1, 80)):
+            texts += [texts[base][:share] + [word() for _ in range(len(texts[base]) - share)] for _ in range(2)]
+            texts += [[word() for _ in range(len(texts[base]) - share)] + texts[base][-share:] for _ in range(2)]
+        rows += [(len(rows) + i, " ".join(t), "s") for i, t in enumerate(texts)]
+    return rows
+
+
+def test_jaccard_join_of_unequal_sizes(spark, monkeypatch):
+    """A set of 75 shingles in one of 100 is a link of exactly 0.75, though its other short lists meet nobody."""
+    rows = contained_pairs(1)
+    want = brute_components(rows)
+    for long_list in (48, 3):
+        monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+        got = jaccard_join.jaccard_join(frame(spark, rows)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_jaccard_keeps_one_of_each_group(spark, rows):
     want = {c for _, c in brute_components(rows).values()}
     kept = jaccard_join.one_of_each_group(frame(spark, rows))
