@@ -214,6 +214,22 @@ def test_substring_dedup(spark, rows):
     assert not docs & alone
 
 
+def test_passages_adjacent_in_one_text_and_apart_in_the_other():
+    new = iter(np.random.default_rng(4).permutation(100_000).astype(np.uint64))
+    run = lambda n: np.array([next(new) for _ in range(n)], np.uint64)
+    p, q = run(46), run(46)
+    joined, apart = np.concatenate([run(9), p, run(4), q, run(5)]), np.concatenate([run(70), q, run(80), p, run(3)])
+    for x, y in ((joined, apart), (apart, joined)):
+        found = substring_dedup.passages(x, y, 46, 75)
+        assert {tuple(x[a:b]) for a, b, *_ in found} == {tuple(p), tuple(q)} == {tuple(y[c:d]) for _, _, c, d, _ in found}
+    thin = run(90)  # an exact passage between places that agree too seldom
+    other = thin.copy()
+    for t in (thin, other):
+        t[[i for i in range(90) if i % 4 == (3 if t is thin else 1)]] = run(len([i for i in range(90) if i % 4 == (3 if t is thin else 1)]))
+    x, y = np.concatenate([thin, p, thin[::-1]]), np.concatenate([other, p, other[::-1]])
+    assert any(a <= 90 and b >= 136 for a, b, *_ in substring_dedup.passages(x, y, 46, 75))
+
+
 def test_compact_windows():
     r = np.random.default_rng(3)
     v, least = r.integers(0, 1 << 62, 120, dtype=np.uint64), 10
