@@ -45,19 +45,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return w.select("source", "source_size", F.least(F.col("limit").cast("double"), F.coalesce(level * F.col("weight"), F.col("limit").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", most: int = MOST_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", most: int = MOST_EPOCHS, row: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of `docs` (doc_id, text, source).
 
     size: words of the whole text (null: 0). taken: words that the mix takes of
     the row, repeats counted, never above `most` times its size; a source's
     taken words are its target, rounded down. Only the row at the cut is taken
     in part. Reruns agree: keys are MD5 of `seed` and doc_id; rows of one
-    doc_id (null included) are ordered by size. Sources without words have
+    doc_id (null included) are ordered by size, then by the column `row`, a key
+    of the rows that is returned too if it is given. Sources without words have
     target 0. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
+    key = [row] if row else []
     rows = docs.select(
+        *key,
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
@@ -71,30 +74,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix"
     offsets = ranges.select("source", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("offset"))
     offsets = offsets.alias("o").join(sources.alias("s"), F.expr("o.source <=> s.source")).select("o.source", "o.range", "o.offset", "s.source_size", "s.target")
 
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.alias("r").join(offsets.alias("o"), F.expr("r.source <=> o.source and r.range = o.range"))
     budget = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("inside")))
-    return rows.select("r.doc_id", "r.source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("bigint").alias("taken"))
+    return rows.select(*key, "r.doc_id", "r.source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("bigint").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """`docs` as mixed: every row as often as it is taken whole, and the cut row's first words once more.
 
-    Rows of one doc_id, text and source are interchangeable; the columns of
-    `docs` are returned. Rows of no words are neither taken nor wanted by a
+    Rows get a key once, in a written table, so that null and repeated doc_ids
+    are told apart; the columns of `docs` are returned. Rows of no words are neither taken nor wanted by a
     budget and stay out.
     """
     cols = docs.columns
-    plan = mix(docs, **kw).filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    counted = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), "taken", "rows")
-    joined = counted.join(plan, F.expr("doc_id <=> __id and source <=> __source and __size = __n"))
-    each = F.floor(F.col("taken") / F.col("rows"))
-    whole, part = F.floor(each / F.col("__size")), F.pmod(each, F.col("__size"))
+    docs = Scratch(docs.sparkSession, "mixed").table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    joined = docs.join(mix(docs, **kw, row="__row").filter("taken > 0").select("__row", "size", "taken").withColumnsRenamed({"size": "__size", "taken": "__taken"}), "__row")
+    whole, part = F.floor(F.col("__taken") / F.col("__size")), F.pmod("__taken", "__size")
     times = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), (whole + F.when(part > 0, 1).otherwise(0)).cast("int"))))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), part.cast("int")), " ")
     return times.withColumn("text", F.when(F.col("__copy") > whole, cut).otherwise(F.col("text"))).select(cols)

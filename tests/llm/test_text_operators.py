@@ -142,6 +142,23 @@ def test_mixing(spark, rows):
     assert words == sum(r.taken for r in got)
 
 
+def test_mixed_documents_with_null_and_repeated_ids(spark):
+    """Rows alike in doc_id, source and size: each is whole as often as it is taken, and one row of a source is cut."""
+    rows = [(None if i % 3 else 7, f"  a{i}\n\tb{i}  c{i} d{i} ", s) for s in ("s0", "s1", "s2", None) for i in range(99)]
+    rows += [(None, t, s) for s in ("s0", None) for t in (None, "", " \n")]
+    docs = frame(spark, rows)
+    plan = mixing.mix(docs).collect()
+    target = {r.source: int(r.target) for r in plan}
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    texts, words, cut = {(t, s) for _, t, s in rows}, Counter(), Counter()
+    for r in got.collect():
+        words[r.source] += len(brute_words(r.text))
+        cut[r.source] += (r.text, r.source) not in texts
+    assert words == target
+    assert all(cut[s] == (target[s] % 4 > 0) for s in target) and any(cut.values())
+
+
 def test_sharding(spark, rows):
     got = sharding.shard(frame(spark, rows), 5).collect()
     assert len(got) == len(rows)
