@@ -1,240 +1,438 @@
 """N-gram Jaccard join: T-occurrence search over distributed inverted lists.
 
-Two sets of shingles x and y with similarity s share at least
-T = ceil(s / (1 + s) * (|x| + |y|)) shingles. In the manner of DivideSkip each
-set's lists are divided: its rarest `|x| - ceil(s * |x|) + 1` shingles are its
-short lists, and these alone are shuffled and merged; a pair has to meet in at
-least one of them (in more, the closer the sizes are). The long lists are never
-merged: a pair that survives is settled by binary probes of one sorted set
-with the other's shingles.
-
-Frequent shingles are found first and go to the end of every set's order, so a
-passage that a third of the corpus shares stays in the long lists. Equal sets
-are one node from the start: each map task sends a set once. Long merged lists
-(a group of near copies) give no quadratic output either: each member is first verified
-against the list's hub, the member with the fewest rare shingles and so the
-least edited one, and against its neighbour in size. Only members that are
-still in different components are paired later, and only if enough of their
-short lists meet at all to reach the overlap.
+Two sets of shingles x and y of similarity s or more share at least
+T = ceil(s / (1 + s) * (|x| + |y|)) shingles, and so s * |x| of x's. Three steps
+narrow the corpus down to small groups of sets, and each group is searched by
+DivideSkip:
+
+1. Every shingle of every set goes into an inverted list, in a few bytes: half
+   a hash and the place of the set in its chunk. A list tells its chunks which
+   sets met another one there. A set that met others in fewer than s * |x|
+   lists links with nothing and is out; what is left are near copies and sets
+   patched together from others.
+2. The sets that are left learn how long the lists of their shingles are and
+   order them from the shortest to the longest. Linked sets have a shingle in
+   common among the first |x| - ceil(s * |x|) + 1 of the larger and the first
+   |y| - ceil(2 * s / (1 + s) * |y|) + 1 of the smaller one. Lists of those
+   shingles tie sets together into groups.
+3. A task takes groups of bounded size and builds their inverted lists. For
+   each set as the query, its long lists are put aside, the short ones are
+   merged by a heap that skips what cannot occur often enough, and candidates
+   are looked up in the long lists by binary search. A set is not compared with
+   sets to which it is linked already.
+
+A group above the bound is first compared with pivots, the sets with the longest
+lists, which usually make it one class; if not, its sets are dealt into blocks,
+and every two blocks are searched together.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
-from math import ceil
+from heapq import heapify, heappop, heappush
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch, small
-from .text import CHUNK_BYTES, digest, shingled, texts_of
-
-#: Frequent shingles whose place in the order is last. Only the order, and so the speed, depends on this list.
-HEAVY = 1 << 18
-#: Partners of each set that are verified before all others.
-FIRST_PARTNERS = 2
-#: A list with so many open members is paired in blocks of `LIST_BLOCK` members, in tasks of their own.
-LONG_LIST = 12
-LIST_BLOCK = 1024
-#: Postings in one bucket of lists, about.
-BUCKET_POSTINGS = 250_000
-_SETS = "doc_id bigint, n bigint, node bigint, token bigint, df bigint"
-
+from .text import digest, shingled, texts_of
+
+#: Shingles of one chunk of sets, about, in the first and in the second step.
+CHUNK_TOKENS, LEFT_TOKENS = 1_000_000, 250_000
+#: Shingles of one bucket of lists, about, and of the groups that a task takes. A larger group is divided.
+BUCKET_TOKENS, GROUP_TOKENS = 2_000_000, 1_000_000
+#: Sets of one chunk that share a shingle are tied together there if they are more than this.
+CROWD = 64
+#: Rounds of pivots of a group above `GROUP_TOKENS`.
+PIVOTS = 3
+#: Sets in one chunk, at most; the place of a posting that stands for several sets of its chunk.
+CHUNK_SETS = SEVERAL = (1 << 16) - 1
+#: Lists put aside as long: T / (MU * log2(longest) + 1).
+MU = 0.0085
+_BYTES_PER_TOKEN = 5.5
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as planes of bytes, so that the leading bytes of sorted ones compress."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+
+
+def _unpack(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * width
+    return out
+
+
+def _columns(table: pa.Table, *kinds: type) -> list[np.ndarray]:
+    """The packed columns of all rows (n, data) of `table`, in a row."""
+    rows = [_unpack(d, n, *kinds) for n, d in zip(table.column("n").to_pylist(), table.column("data").to_pylist(), strict=True)]
+    return [np.concatenate(c) for c in zip(*rows, strict=True)]
+
+
+def _dealt(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending tokens: the buckets that occur, and where each begins and ends."""
+    bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    lo = np.concatenate([[0], cuts])
+    return bucket[lo].astype(np.int64), lo, np.concatenate([cuts, [len(tokens)]])
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of `x` begin."""
+    head = np.ones(len(x), bool)
+    head[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(head)
+
+
+def _new_chunk(seq: int) -> int:
+    return TaskContext.get().partitionId() << 32 | seq
+
+
+_SCAN = "doc_id bigint, node bigint, bucket bigint, chunk bigint, n bigint, data binary"
+
+
+def _scan_row(**cols: list) -> pa.RecordBatch:
+    size = max(map(len, cols.values()))
+    kinds = {"doc_id": pa.int64(), "node": pa.int64(), "bucket": pa.int64(), "chunk": pa.int64(), "n": pa.int64(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(cols.get(k, [None] * size), t) for k, t in kinds.items()], names=list(kinds))
+
+
+def _postings(chunk: int, nodes: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A chunk's sets (bucket -1), with the lists in which they meet within the chunk, and its postings by bucket of lists."""
+    sizes = np.array([len(s) for s in sets], np.uint32)
+    tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, who = tokens[order], who[order]
+    at = _starts(tokens)
+    times = np.diff(at, append=len(tokens))
+    met = np.bincount(who[np.repeat(times > 1, times)], minlength=len(sets)).astype(np.uint32)
+    tokens, who = tokens[at], np.where(times > 1, np.uint16(SEVERAL), who[at])
+    bucket, lo, hi = _dealt(tokens, buckets)
+    key = tokens.astype(np.uint32)
+    data = [_pack(key[a:b], who[a:b]) for a, b in zip(lo, hi, strict=True)]
+    return _scan_row(
+        bucket=[-1, *bucket.tolist()], chunk=[chunk] * (len(bucket) + 1), n=[len(sets), *(hi - lo).tolist()], data=[_pack(np.array(nodes, np.int64), sizes, met), *data]
+    )
 
-def _count_heavy(counts: dict[int, int], block: list[np.ndarray]) -> None:
-    tokens, n = np.unique(np.concatenate(block), return_counts=True)
-    often = n >= max(4, len(block) // 1000)
-    for t, c in zip(tokens[often].view(np.int64).tolist(), n[often].tolist(), strict=True):
-        counts[t] = counts.get(t, 0) + c
 
+def _scan(k: int, buckets: int):
+    """A row for each document, and each task's distinct sets in chunks."""
 
-def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
-        block: list[np.ndarray] = []
-        size, seen = 0, set()
+        seen: set[int] = set()
+        nodes, sets, size, seq = [], [], 0, 0
         for batch in batches:
-            ids, ns, nodes = batch.column(0), [], []
+            ns, own = [], []
             for _, tokens in shingled(texts_of(batch.column(1)), k):
                 tokens = np.unique(tokens)
                 d = digest(tokens)
                 ns.append(len(tokens))
+                own.append(d)
+                if not len(tokens) or d in seen:
+                    continue
+                seen.add(d)
                 nodes.append(d)
-                if len(tokens) and d not in seen:
-                    seen.add(d)
-                    block.append(tokens)
-                    size += len(tokens)
-                    if size >= 2 * CHUNK_BYTES:
-                        _count_heavy(counts, block)
-                        block, size = [], 0
-            none = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), none, none], names=["doc_id", "n", "node", "token", "df"])
-        if block:
-            _count_heavy(counts, block)
-        none = pa.nulls(len(counts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["doc_id", "n", "node", "token", "df"])
+                sets.append(tokens)
+                size += len(tokens)
+                if size >= CHUNK_TOKENS or len(sets) == CHUNK_SETS:
+                    yield _postings(_new_chunk(seq), nodes, sets, buckets)
+                    nodes, sets, size, seq = [], [], 0, seq + 1
+            yield _scan_row(doc_id=batch.column(0).to_pylist(), node=own, n=ns)
+        if sets:
+            yield _postings(_new_chunk(seq), nodes, sets, buckets)
 
     return run
 
 
-def _short_lists(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+_REPLY = "chunk bigint, bucket bigint, n bigint, data binary"
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """For each chunk of a bucket: in how many of the bucket's lists each of its sets meets one of another chunk."""
+    key, who = _columns(table, np.uint32, np.uint16)
+    chunk = np.repeat(np.arange(table.num_rows), table.column("n").to_numpy())
+    order = np.argsort(key, kind="stable")
+    at = _starts(key[order])
+    times = np.diff(at, append=len(key))
+    met = order[np.repeat(times > 1, times)]
+    met = met[who[met] != SEVERAL]
+    pair, lists = np.unique(chunk[met] << 16 | who[met], return_counts=True)
+    own = pair >> 16
+    lo = _starts(own)
+    hi = np.append(lo[1:], len(own)) if len(lo) else lo
+    data = [_pack(pair[a:b].astype(np.uint16), lists[a:b].astype(np.uint32)) for a, b in zip(lo, hi, strict=True)]
+    chunks = table.column("chunk").to_numpy()[own[lo]]
+    return pa.table({"chunk": chunks, "bucket": pa.array([0] * len(lo), pa.int64()), "n": (hi - lo).astype(np.int64), "data": pa.array(data, pa.binary())})
+
+
+def _left(percent: int):
+    """The sets of one chunk that met others in enough lists."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("bucket").to_numpy() == -1
+        nodes, n, met = _columns(table.filter(pa.array(own)), np.int64, np.uint32, np.uint32)
+        if not own.all():
+            who, lists = _columns(table.filter(pa.array(~own)), np.uint16, np.uint32)
+            met = met + np.bincount(who, weights=lists, minlength=len(nodes)).astype(np.int64)
+        return pa.table({"node": nodes[100 * met.astype(np.int64) >= percent * n.astype(np.int64)]})
 
+    return run
 
-def _postings(k: int, percent: int, heavy: np.ndarray, buckets: int):
-    """Each set's short lists, packed: one row for each bucket and flush of a task."""
 
-    def flush(parts: list[tuple]) -> pa.RecordBatch:
-        token = np.concatenate([p[0] for p in parts])
-        size = [len(p[0]) for p in parts]
-        node = np.repeat(np.array([p[1] for p in parts], np.int64), size)
-        n = np.repeat(np.array([p[2] for p in parts], np.uint32), size)
-        rare = np.repeat(np.array([p[3] for p in parts], np.uint32), size)
-        bucket = (token % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        token, node, n, rare, bucket = token[order], node[order], n[order], rare[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
-        data = [token[a:b].tobytes() + node[a:b].tobytes() + n[a:b].tobytes() + rare[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[lo], pa.int64()), pa.array(hi - lo, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "n", "data"])
+def _chunks(k: int):
+    """The texts' distinct sets: a row (chunk, -1, n, sizes, nodes and sets) for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        parts: list[tuple] = []
+        nodes, sets, seq = [], [], 0
+
+        def row() -> pa.RecordBatch:
+            sizes = np.array([len(s) for s in sets], np.uint32)
+            data = b"".join([np.array(nodes, np.int64).tobytes(), sizes.tobytes(), *(s.tobytes() for s in sets)])
+            return pa.RecordBatch.from_arrays([pa.array([_new_chunk(seq)]), pa.array([-1]), pa.array([len(sets)]), pa.array([data], pa.binary())], names=["chunk", "bucket", "n", "data"])
+
         size = 0
         for batch in batches:
-            for _, tokens in shingled(texts_of(batch.column(1)), k):
-                if not len(tokens):
-                    continue
+            for _, tokens in shingled(texts_of(batch.column(0)), k):
                 tokens = np.unique(tokens)
                 d = digest(tokens)
-                if d in seen:
+                if not len(tokens) or d in seen:
                     continue
                 seen.add(d)
-                n = len(tokens)
-                p = rare = _short_lists(n, percent)
-                if len(heavy):
-                    at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-                    often = heavy[at] == tokens
-                    rare = min(p, n - int(often.sum()))
-                    tokens = np.concatenate([tokens[~often], tokens[often]])
-                parts.append((tokens[:p], d, n, rare))
-                size += p
-                if size >= 1_000_000:
-                    yield flush(parts)
-                    parts, size = [], 0
-        if parts:
-            yield flush(parts)
+                nodes.append(d)
+                sets.append(tokens)
+                size += len(tokens)
+                if size >= LEFT_TOKENS:
+                    yield row()
+                    nodes, sets, size, seq = [], [], 0, seq + 1
+        if sets:
+            yield row()
 
     return run
 
 
-_LISTS = "token bigint, node bigint, n bigint, next bigint, next_n bigint, hub bigint, hub_n bigint"
+def _sets_of(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, sizes, shingles in a row) of a chunk's row."""
+    return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.uint32, n, 8 * n), np.frombuffer(data, np.uint64, -1, 12 * n)
 
 
-def _merge(percent: int):
-    """The lists of one bucket with two sets or more, by size within a list; `next` is the neighbour and `hub` the member with the fewest rare shingles, if sizes allow a link."""
+def _ask(buckets: int):
+    """How often each shingle of a chunk occurs there, by bucket of lists."""
 
-    def run(table: pa.Table) -> pa.Table:
-        token, node, n, rare = [], [], [], []
-        for size, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist(), strict=True):
-            token.append(np.frombuffer(data, np.uint64, size))
-            node.append(np.frombuffer(data, np.int64, size, 8 * size))
-            n.append(np.frombuffer(data, np.uint32, size, 16 * size))
-            rare.append(np.frombuffer(data, np.uint32, size, 20 * size))
-        token, node, n, rare = np.concatenate(token), np.concatenate(node), np.concatenate(n), np.concatenate(rare)
-        order = np.argsort(token, kind="stable")
-        token, node, n, rare = token[order], node[order], n[order], rare[order]
-        met = np.zeros(len(token), bool)
-        same = token[1:] == token[:-1]
-        met[1:] |= same
-        met[:-1] |= same
-        token, node, n, rare = token[met], node[met], n[met], rare[met]
-        order = np.lexsort((node, n, token))
-        token, node, n, rare = token[order], node[order], n[order].astype(np.int64), rare[order]
-        if len(token):
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, n, rare = token[fresh], node[fresh], n[fresh], rare[fresh]
-            met = np.zeros(len(token), bool)
-            same = token[1:] == token[:-1]
-            met[1:] |= same
-            met[:-1] |= same
-            token, node, n, rare = token[met], node[met], n[met], rare[met]
-        near = np.zeros(len(token), bool)
-        if len(token):
-            near[:-1] = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        nxt, nxt_n = np.roll(node, -1), np.roll(n, -1)
-        head = np.ones(len(token), bool)
-        head[1:] = token[1:] != token[:-1]
-        hub = np.lexsort((node, rare, token))[np.flatnonzero(head)][np.cumsum(head) - 1] if len(token) else np.zeros(0, np.int64)
-        hub, hub_n = node[hub], n[hub]
-        close = (hub != node) & (100 * np.minimum(n, hub_n) >= percent * np.maximum(n, hub_n))
-        return pa.table({"hub": pa.array(hub, mask=~close), "hub_n": pa.array(hub_n, mask=~close), "token": token.view(np.int64), "node": node, "n": n, "next": pa.array(nxt, mask=~near), "next_n": pa.array(nxt_n, mask=~near)}).select(["token", "node", "n", "next", "next_n", "hub", "hub_n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, n, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "n", "data")), strict=True):
+                tokens, times = np.unique(_sets_of(n, data)[2], return_counts=True)
+                bucket, lo, hi = _dealt(tokens, buckets)
+                key, times = tokens.astype(np.uint32), np.minimum(times, SEVERAL).astype(np.uint16)
+                packed = [_pack(key[a:b], times[a:b]) for a, b in zip(lo, hi, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(lo)), pa.array(bucket), pa.array(hi - lo), pa.array(packed, pa.binary())], names=["chunk", "bucket", "n", "data"])
 
     return run
 
 
-def _incidence(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct tokens of rows of tokens, ascending, and which row has which."""
-    sizes = np.diff(lists.offsets.to_numpy())
-    names, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
-    has = np.zeros((len(sizes), len(names)), np.float32)
-    has[np.repeat(np.arange(len(sizes)), sizes), at] = 1
-    return names, has
+def _lengths(table: pa.Table) -> pa.Table:
+    """The reply to each chunk of a bucket: log2 of the length of each list that it asked for."""
+    key, times = _columns(table, np.uint32, np.uint16)
+    _, at = np.unique(key, return_inverse=True)
+    length = np.log2(np.bincount(at, weights=times)).astype(np.uint8)[at]
+    ends = np.cumsum(table.column("n").to_numpy())
+    data = [length[a:b].tobytes() for a, b in zip(ends - table.column("n").to_numpy(), ends, strict=True)]
+    return table.select(["chunk", "bucket", "n"]).append_column("data", pa.array(data, pa.binary()))
 
 
-def _pair_block(percent: int):
-    """Pairs from two blocks of one list's members that meet often enough, by counting common short lists.
+_TIES, _SETS = -1, -2
+_FIRST = "bucket bigint, n bigint, data binary"
 
-    A pair is given only at its first common long list, and only if the members are in different components.
-    """
+
+def _first_lists(percent: int, buckets: int):
+    """Of one chunk: postings of its sets' first shingles by bucket of lists, ties between sets, and (node, size, weight) of the sets that are still in."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, i, j = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
-        own, node, n, label = (table.column(c).to_numpy() for c in ("own", "node", "n", "label"))
-        long, short = (_incidence(table.column(c).combine_chunks()) for c in ("long", "short"))
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        first = int(np.searchsorted(long[0], token))
-        shared = long[1][left] @ long[1][right].T + short[1][left] @ short[1][right].T
-        before = long[1][left][:, :first] @ long[1][right][:, :first].T
-        a, b = n[left][:, None], n[right][None, :]
-        overlap, rest_a, rest_b = -(-percent * (a + b) // (100 + percent)), -(-percent * a // 100) - 1, -(-percent * b // 100) - 1
-        ok = (shared >= overlap - np.maximum(rest_a, rest_b)) & (before == 0) & (label[left][:, None] != label[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-        if i == j:
-            ok &= node[left][:, None] < node[right][None, :]
-        x, y = np.nonzero(ok)
-        return pa.table({"x": pa.array(node[left][x], pa.int64()), "y": pa.array(node[right][y], pa.int64())})
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "n", "data")), strict=True))
+        nodes, sizes, tokens = _sets_of(*rows[0][1:])
+        names, at = np.unique(tokens, return_inverse=True)
+        length = np.frombuffer(b"".join(r[2] for r in rows[1:]), np.uint8)[at]
+        n, who = sizes.astype(np.int64), np.repeat(np.arange(len(nodes)), sizes)
+        weight = np.bincount(who, weights=length, minlength=len(nodes)) / n
+        stays = 100 * np.bincount(who, weights=length > 0, minlength=len(nodes)) >= percent * n
+        order = np.lexsort((at, length, who))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+        probe, index = n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+        take = (place < probe[who]) & stays[who]
+        own, token, first = who[take], names[at[order[take]]], (place < index[who])[take]
+        order = np.lexsort((own, token))
+        own, token, first = own[order], token[order], first[order]
+        lo = _starts(token)
+        times = np.diff(lo, append=len(token))
+        crowd = np.repeat(times > CROWD, times)
+        head = np.zeros(len(token), bool)
+        head[lo] = True
+        ties = _pack(nodes[own[np.repeat(lo, times)[crowd]]], nodes[own[crowd]])
+        if len(lo):
+            first[lo] |= np.logical_or.reduceat(first, lo) & (times > CROWD)
+        sent = ~crowd | head
+        own, token, first = own[sent], token[sent], first[sent]
+        kept = np.flatnonzero(stays)
+        out = [(_TIES, int(crowd.sum()), ties), (_SETS, len(kept), _pack(nodes[kept], n[kept], weight[kept]))]
+        if len(token):
+            out += [(b, z - a, _pack(token[a:z], nodes[own[a:z]], first[a:z].astype(np.uint8))) for b, a, z in zip(*(x.tolist() for x in _dealt(token, buckets)), strict=True)]
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "n", "data"])
 
     return run
 
 
-def _sets(k: int):
+def _tie(table: pa.Table) -> pa.Table:
+    """Ties (u, v) between the sets of each list of a bucket that is among the first of a smaller set; u is a list's first set."""
+    token, node, first = _columns(table, np.uint64, np.int64, np.uint8)
+    order = np.lexsort((node, token))
+    token, node, first = token[order], node[order], first[order]
+    lo = _starts(token)
+    times = np.diff(lo, append=len(token))
+    in_first = np.repeat(np.logical_or.reduceat(first > 0, lo), times) if len(lo) else np.zeros(0, bool)
+    u = np.repeat(node[lo], times)
+    both = np.unique(np.stack([u, node], axis=1)[in_first & (u != node)], axis=0)
+    return pa.table({"u": both[:, 0].copy(), "v": both[:, 1].copy()})
+
+
+def _unpacked(schema: list[tuple[str, type]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
-            for _, tokens in shingled(texts_of(batch.column(1)), k):
-                tokens = np.unique(tokens)
-                nodes.append(digest(tokens))
-                sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unpack(data, n, *(t for _, t in schema))], names=[c for c, _ in schema])
+
+    return run
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (node, tokens) for each set of the chunks."""
+    for batch in batches:
+        for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            nodes, sizes, tokens = _sets_of(n, data)
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([tokens[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)], pa.binary())], names=["node", "tokens"])
+
+
+def divide_skip(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between `sets` (ascending by size) that join all those which links connect; sets of one `label` are taken as linked.
+
+    Each set is the query for the sets before it. T is the least overlap with a
+    set of an allowed size; `apart` of its lists are long, and a candidate
+    occurs at least T - apart times in the short ones.
+    """
+    count = len(sets)
+    sizes = [len(s) for s in sets]
+    label = np.arange(count) if label is None else label.copy()
+    members: dict[int, list[int]] = {}
+    for i, c in enumerate(label.tolist()):
+        members.setdefault(c, []).append(i)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    who = np.repeat(np.arange(count, dtype=np.int32), sizes)
+    order = np.lexsort((who, flat))
+    who = who[order]
+    lo = _starts(flat[order])
+    begin = np.repeat(lo, np.diff(lo, append=len(flat)))
+    at = np.argsort(who, kind="stable")  # postings of each set in turn
+    at = at[begin[at] < at]  # where an earlier set is in the list
+    bounds = np.searchsorted(who[at], np.arange(count + 1)).tolist()
+    begin, ids, links = begin[at].tolist(), array("i", who.tobytes()), []
+    at = at.tolist()
+    for q in range(count):
+        least = -(-percent * sizes[q] // 100)
+        if bounds[q + 1] - bounds[q] < least:
+            continue
+        low = bisect_left(sizes, least)
+        lists = []
+        for a, z in zip(begin[bounds[q] : bounds[q + 1]], at[bounds[q] : bounds[q + 1]], strict=True):
+            if low:
+                a = bisect_left(ids, low, a, z)
+            if a < z:
+                lists.append((z - a, a, z))
+        if len(lists) < least:
+            continue
+        lists.sort()
+        apart = min(least - 1, int(least / (MU * log2(lists[-1][0]) + 1)))
+        long = lists[len(lists) - apart :]
+        heap = [(ids[a], a, z) for _, a, z in lists[: len(lists) - apart]]
+        heapify(heap)
+        often = least - apart
+        while len(heap) >= often:
+            y = heap[0][0]
+            top = [heappop(heap)]
+            while heap and heap[0][0] == y:
+                top.append(heappop(heap))
+            if len(top) >= often:
+                to = y + 1
+                if label[y] != label[q]:
+                    need, found, rest = -(-percent * (sizes[q] + sizes[y]) // (100 + percent)), len(top), apart
+                    for _, a, z in long:
+                        if found >= need or found + rest < need:
+                            break
+                        rest -= 1
+                        p = bisect_left(ids, y, a, z)
+                        found += p < z and ids[p] == y
+                    if found >= need:
+                        links.append((y, q))
+                        keep, gone = sorted((int(label[y]), int(label[q])), key=lambda c: -len(members[c]))
+                        label[members[gone]] = keep
+                        members[keep] += members.pop(gone)
+                if label[y] == label[q]:  # on to the next set that is not linked yet
+                    other = np.flatnonzero(label[to:q] != label[q])
+                    to = to + int(other[0]) if len(other) else q
+            else:  # what is below the new top can't occur `often` times
+                while heap and len(top) < often - 1:
+                    top.append(heappop(heap))
+                to = heap[0][0] if heap else q
+            for _, a, z in top:
+                a = bisect_left(ids, to, a, z)
+                if a < z:
+                    heappush(heap, (ids[a], a, z))
+    return links
+
+
+_LINKS = "a bigint, b bigint"
+
+
+def _search(percent: int):
+    """Links within the groups of a task; of rows (group, node, class, tokens), those of one class are taken as linked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group, node, known = (table.column(c).to_numpy() for c in ("group", "node", "class"))
+        tokens = table.column("tokens")
+        order = np.lexsort((node, group))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (node[order][1:] != node[order][:-1]) | (group[order][1:] != group[order][:-1])
+        order = order[fresh]
+        out = []
+        for rows in np.split(order, _starts(group[order])[1:]):
+            sets = [np.frombuffer(tokens[i].as_py(), np.uint64) for i in rows.tolist()]
+            by_size = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+            ids = node[rows[by_size]]
+            out += [(int(ids[x]), int(ids[y])) for x, y in divide_skip([sets[i] for i in by_size], percent, np.unique(known[rows[by_size]], return_inverse=True)[1])]
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     return run
 
 
 def _probe(percent: int):
-    """Keep the pairs that reach the overlap; the shorter set's shingles are looked up in the longer one by binary search."""
+    """The rows (a, b, x, y) whose sets x and y link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -242,15 +440,57 @@ def _probe(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes that link. Each node's set is computed once, from the text of its smallest document."""
-    pairs = scratch.table(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = scratch.table(nodes.join(classes, "node").select(F.col("rep").alias("doc_id")), "ids")
-    sets = docs.join(small(ids, 16), "doc_id", "left_semi").mapInArrow(_sets(k), "node bigint, tokens binary")
-    sets = scratch.table(sets, "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return scratch.table(both.mapInArrow(_probe(percent), "a bigint, b bigint").distinct(), "links")
+def _large_groups(sets: DataFrame, large: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) in the groups of `large` (node, group, tokens_in, weight), which no task takes whole; `sets` is (node, tokens)."""
+    rest, links = scratch.table(sets.join(large, "node"), "large"), None
+    for _ in range(PIVOTS):
+        pivots = rest.groupBy("group").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
+        pivots = scratch.table(pivots.join(rest.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").dropDuplicates(["b"]), "pivots")
+        width = pivots.agg(F.max(F.length("y"))).first()[0]
+        if width is None:
+            break
+        tried = rest.join(small(pivots, width + 24), "group").select(F.col("node").alias("a"), "b", F.col("tokens").alias("x"), "y")
+        found = scratch.table(tried.mapInArrow(_probe(percent), _LINKS), "links")
+        links = found if links is None else links.union(found)
+        rest = scratch.table(rest.join(found.select(F.col("a").alias("node")).distinct(), "node", "left_anti"), "rest")
+    classes = connected_components(links, scratch).select("node", F.col("label").alias("class"))
+    known = scratch.table(sets.join(large, "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "known")
+    open_ = known.groupBy("group").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("group")
+    blocks = F.greatest(F.lit(2), F.ceil(2 * F.col("tokens_in") / GROUP_TOKENS)).cast("int")
+    rows = known.join(open_, "group").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("own <> other").withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    found = cells.select("group", "i", "j", "node", "class", "tokens").groupBy("group", "i", "j").applyInArrow(_search(percent), _LINKS)
+    return links.union(scratch.table(found, "links"))
+
+
+def _candidates(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row of `docs`, and the nodes that meet others in enough lists."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / _BYTES_PER_TOKEN / BUCKET_TOKENS))
+    scanned = scratch.table(docs.mapInArrow(_scan(k, buckets), _SCAN), "scan")
+    rows = scratch.table(scanned.filter("chunk is null").select("doc_id", "n", "node"), "rows")
+    chunks = scanned.filter("chunk is not null").select("chunk", "bucket", "n", "data")
+    replies = chunks.filter("bucket >= 0").groupBy("bucket").applyInArrow(_meet, _REPLY)
+    left = chunks.filter("bucket = -1").union(replies).groupBy("chunk").applyInArrow(_left(percent), "node bigint")
+    left = scratch.table(left.distinct(), "left")
+    scratch.drop(scanned)
+    return rows, left
+
+
+def _groups(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, n, weight, group) of the sets in chunks that lists of their first shingles tie to others."""
+    spark = sets.sparkSession
+    size = sets.agg(F.sum(F.length("data"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / 8 / BUCKET_TOKENS))
+    replies = sets.mapInArrow(_ask(buckets), _REPLY).groupBy("bucket").applyInArrow(_lengths, _REPLY)
+    lists = sets.union(replies).groupBy("chunk").applyInArrow(_first_lists(percent, buckets), _FIRST)
+    lists = scratch.table(lists, "lists")
+    ties = lists.filter("bucket >= 0").groupBy("bucket").applyInArrow(_tie, "u bigint, v bigint")
+    ties = ties.union(lists.filter(f"bucket = {_TIES}").mapInArrow(_unpacked([("u", np.int64), ("v", np.int64)]), "u bigint, v bigint"))
+    groups = connected_components(ties, scratch).select("node", F.col("label").alias("group"))
+    measures = lists.filter(f"bucket = {_SETS}").mapInArrow(_unpacked([("node", np.int64), ("n", np.int64), ("weight", np.float64)]), "node bigint, n bigint, weight double")
+    return scratch.table(measures.dropDuplicates(["node"]).join(groups, "node"), "groups")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -263,58 +503,28 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     a null component_id and takes no part. An empty table gives an empty result.
     Sets are compared by 64-bit shingle hashes.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = docs.filter("doc_id is not null")
-
-    scanned = scratch.table(docs.mapInArrow(_scan(k), _SETS), "scan")
-    rows = scanned.filter("node is not null").select("doc_id", "n", "node")
-    classes = scratch.table(rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
-    heavy = scanned.filter("token is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(HEAVY).select("token").toPandas()
-    heavy = np.sort(heavy["token"].to_numpy(np.int64).view(np.uint64))
-
-    postings = classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(float(postings) / BUCKET_POSTINGS))
-    packed = known.mapInArrow(_postings(k, percent, heavy, buckets), "bucket bigint, n bigint, data binary")
-    lists = scratch.table(packed.groupBy("bucket").applyInArrow(_merge(percent), _LISTS), "lists")
-
-    need = f"ceil({percent} * (nx + ny) / {100 + percent}) - greatest(ceil({percent} * nx / 100), ceil({percent} * ny / 100)) + 1"
-    pair = lambda other: lists.filter(F.col(other).isNotNull()).select(F.col("node").alias("x"), F.col(other).alias("y"), F.col("n").alias("nx"), F.col(f"{other}_n").alias("ny"))
-    first = pair("next").union(pair("hub")).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"2 * shared >= {need}")
-    first = first.withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y"))).filter(F.col("place") <= FIRST_PARTNERS)
-    first = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = scratch.table(first, "neighbours")
-    links = _verify(tried, known, classes, k, percent, scratch)
+    rows, left = _candidates(docs, k, percent, scratch)
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    classes = scratch.table(classes, "classes")
+
+    ids = scratch.table(classes.join(left, "node").select(F.col("rep").alias("doc_id")), "ids")
+    sets = scratch.table(docs.join(small(ids, 16), "doc_id", "left_semi").select("text").mapInArrow(_chunks(k), _REPLY), "sets")
+    groups = _groups(sets, percent, scratch)
+    sizes = groups.groupBy("group").agg(F.sum("n").alias("tokens_in"))
+    sizes = scratch.table(sizes, "sizes")
+    tasks = max(1, ceil((sizes.filter(F.col("tokens_in") <= GROUP_TOKENS).agg(F.sum("tokens_in")).first()[0] or 0) / GROUP_TOKENS))
+    dealt = groups.join(sizes.filter(F.col("tokens_in") <= GROUP_TOKENS), "group").select("node", "group", F.pmod(F.xxhash64("group"), F.lit(tasks)).alias("task"))
+    dealt = scratch.table(dealt, "dealt")
+    single = sets.mapInArrow(_single, "node bigint, tokens binary")
+    members = single.join(small(dealt, 32), "node").select("task", "group", "node", F.col("node").alias("class"), "tokens")
+    links = scratch.table(members.groupBy("task").applyInArrow(_search(percent), _LINKS), "links")
+    large = sizes.filter(F.col("tokens_in") > GROUP_TOKENS)
+    if not large.isEmpty():
+        links = links.union(_large_groups(single, scratch.table(groups.join(large, "group").select("node", "group", "tokens_in", "weight"), "large"), percent, scratch))
     label = scratch.table(connected_components(links, scratch), "labels")
 
-    # a set meets a partner in at most as many lists as it has here; sizes in a list bound the overlap it needs, to within 1 for rounding
-    known_nodes = lists.groupBy("node").agg(F.count("*").alias("lists")).join(label, "node", "left").select("node", "lists", F.coalesce("label", "node").alias("label"))
-    tagged = lists.select("token", "node", "n").join(known_nodes, "node")
-    sizes = tagged.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large")).filter("lo < hi").select("token", "small", "large")
-    least_need = lambda y: need.replace("nx", "n").replace("ny", f"({y})")
-    bound = F.least(F.expr(least_need(f"greatest(small, ceil({percent} * n / 100))")), F.expr(least_need(f"least(large, floor(100 * n / {percent}))")))
-    tagged = scratch.table(tagged.join(sizes, "token").filter(F.col("lists") >= bound - 1).select("token", "node", "n", "label", "lists"), "open")
-    lengths = tagged.groupBy("token").agg(F.count("*").alias("m")).withColumn("blocks", F.when(F.col("m") >= LONG_LIST, F.ceil(F.col("m") / LIST_BLOCK)).otherwise(F.lit(0)).cast("int"))
-    tagged = scratch.table(tagged.join(lengths.select("token", "blocks"), "token"), "open")
-    short = tagged.filter("blocks = 0")
-    met = short.select("token", F.col("label").alias("la"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("lists").alias("lx")).join(
-        short.select("token", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("lists").alias("ly")), "token"
-    )
-    # a partner may hold a set's short lists among its long ones, so `need` is all that either side must meet
-    met = met.filter(f"la < lb and 100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx and least(lx, ly) >= {need}")
-    from_short = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).filter(f"shared >= {need}").select("x", "y")
-
-    long_ = tagged.filter("blocks > 0")
-    own = tagged.join(long_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list(F.when(F.col("blocks") > 0, F.col("token"))).alias("long"), F.collect_list(F.when(F.col("blocks") == 0, F.col("token"))).alias("short"))  # a set's short lists
-    cells = long_.join(own, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "long", "short")
-    from_long = cells.groupBy("token", "i", "j").applyInArrow(_pair_block(percent), "x bigint, y bigint")
-
-    second = from_short.union(from_long).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verify(second, known, classes, k, percent, scratch)
-    label = scratch.table(connected_components(links.union(more), scratch), "labels")
-
     named = classes.join(label, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     groups = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("group_size"))
     named = scratch.table(named.join(groups, "label").select("node", "component_id", "group_size"), "named")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a fresh temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; only a session on one machine, as in tests, gets a fresh temporary folder where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="engram-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -41,10 +44,11 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
+        """Delete tables that nothing reads any more, and the shuffle files behind them, which go with the driver's garbage."""
         for df in tables:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(df._engram_path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.spark._jvm.System.gc()
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:

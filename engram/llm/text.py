@@ -2,8 +2,10 @@
 
 Words are runs of bytes other than ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased;
 all of these are ASCII, so working on UTF-8 bytes equals working on characters.
-A word's hash is a polynomial over its bytes modulo 2**64, read off one running
-sum for a whole chunk of texts, mixed together with the word's length.
+A word's hash is the sum over its bytes of a random number for the byte times a
+random odd number for its place in the word, modulo 2**64, mixed together with
+the word's length. Unlike a polynomial modulo 2**64 it has no built-in
+collisions between words of a regular pattern.
 """
 
 from __future__ import annotations
@@ -14,33 +16,13 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_PLAIN = np.arange(256, dtype=np.uint8)
-_LOWER = _PLAIN.copy()
+_WORD = np.ones(256, dtype=bool)
+_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+_LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    key = str(base)
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 4096), base, dtype=_U)
-        steps[0] = 1
-        have = np.cumprod(steps)
-        if n <= 4 * CHUNK_BYTES:
-            _powers[key] = have
-    return have[:n]
-
-
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
@@ -51,6 +33,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: A random number for each byte, none for white space; and odd ones for the places of a word.
+_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_BYTE[~_WORD] = 0
+_BYTE_LOWER = _BYTE[_LOWER]
+_PLACES = mix(np.arange(1, 4097, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
+
+
+def _places(n: int) -> np.ndarray:
+    return _PLACES if n <= len(_PLACES) else mix(np.arange(1, n + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null gives the empty text."""
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
@@ -82,20 +75,21 @@ class Words:
         self.raw = b"\n".join(texts) + b"\n"
         self.buf = np.frombuffer(self.raw, dtype=np.uint8)
         n = len(self.buf)
-        inside = np.zeros(n + 1, dtype=np.int8)
-        inside[1:] = ~_SPACE[self.buf]
-        edge = np.diff(inside)
-        self.starts = np.flatnonzero(edge == 1)
-        self.ends = np.flatnonzero(edge == -1)
+        inside = _WORD[self.buf]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edge = np.concatenate([[0], edge])
+        self.starts, self.ends = edge[::2].copy(), edge[1::2].copy()
         at = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.bounds = np.searchsorted(self.starts, at)
-        values = (_LOWER if lower else _PLAIN)[self.buf].astype(_U)
-        values += _U(1)
-        values *= _power(_BASE, n)
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum(values, out=total[1:])
-        length = (self.ends - self.starts).astype(_U)
-        self.hashes = mix((total[self.ends] - total[self.starts]) * _power(_INVERSE, n)[self.starts] + length * _U(0xD6E8FEB86659FD93))
+        length = self.ends - self.starts
+        self.hashes = np.zeros(0, _U)
+        if len(length):
+            first = self.starts[0]
+            begin = (self.starts - first).astype(np.int32)
+            place = np.arange(n - first, dtype=np.int32) - np.repeat(begin, np.diff(begin, append=n - first))
+            values = np.take(_BYTE_LOWER if lower else _BYTE, self.buf[first:]) * np.take(_places(int(length.max())), place, mode="clip")
+            self.hashes = mix(np.add.reduceat(values, begin) + length.astype(_U) * _U(0xD6E8FEB86659FD93))
 
     def word(self, i: int) -> bytes:
         return self.raw[self.starts[i] : self.ends[i]]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.llm import exact_dedup, jaccard_join, line_dedup, mixing, sharding, substring_dedup, token_counts, token_output
+from engram.llm import exact_dedup, jaccard_join, line_dedup, mixing, sharding, substring_dedup, text, token_counts, token_output
 from engram.llm.scratch import Scratch
 
 from .conftest import brute_words, frame
@@ -42,14 +42,24 @@ def brute_components(rows):
     return {d: (len(sets[i]), low[find(i)]) for i, (d, _, _) in enumerate(rows)}
 
 
-def test_jaccard_join(spark, rows, monkeypatch):
-    want = brute_components(rows)
-    for long_list in (48, 3):  # the second sends most lists through counted blocks
-        monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
-        monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 4)
-        got = jaccard_join.jaccard_join(frame(spark, rows)).collect()
-        assert len(got) == len(rows)
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+def jaccard_of(spark, rows):
+    got = jaccard_join.jaccard_join(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in got}
+
+
+#: Small chunks, buckets and crowds, and groups that no task takes whole: pivots, then blocks.
+TIGHT = {"CHUNK_TOKENS": 300, "LEFT_TOKENS": 200, "BUCKET_TOKENS": 500, "CROWD": 3, "GROUP_TOKENS": 150}
+
+
+@pytest.fixture(params=[{}, TIGHT, TIGHT | {"PIVOTS": 1, "GROUP_TOKENS": 400}], ids=["wide", "tight", "blocks"])
+def sized(request, monkeypatch):
+    for name, value in request.param.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+
+
+def test_jaccard_join(spark, rows, sized):
+    assert jaccard_of(spark, rows) == brute_components(rows)
 
 
 def contained_pairs(seed):
@@ -67,14 +77,68 @@ def contained_pairs(seed):
     return rows
 
 
-def test_jaccard_join_of_unequal_sizes(spark, monkeypatch):
-    """A set of 75 shingles in one of 100 is a link of exactly 0.75, though its other short lists meet nobody."""
+def test_jaccard_join_of_unequal_sizes(spark, sized):
+    """A set of 75 shingles in one of 100 is a link of exactly 0.75, though its other lists meet nobody."""
     rows = contained_pairs(1)
+    assert jaccard_of(spark, rows) == brute_components(rows)
+
+
+def near_groups(seed):
+    """Chains and stars of edited copies with similarities on both sides of 0.75, and passages that all of them share."""
+    r = np.random.default_rng(seed)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    shared, rows = [word() for _ in range(40)], []
+    for g in range(14):
+        base = [word() for _ in range(int(r.integers(6, 160)))] + (shared if g % 2 else [])
+        last = base
+        for _ in range(9):
+            t = list(last if g % 3 else base)
+            for _ in range(int(r.integers(0, max(2, len(t) // 18)))):
+                at = int(r.integers(0, len(t)))
+                t[at : at + int(r.integers(0, 3))] = [word() for _ in range(int(r.integers(0, 3)))]
+            rows.append(t)
+            last = t
+    order = r.permutation(len(rows))
+    return [(int(i), " ".join(rows[j]), "s") for i, j in enumerate(order)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_of_near_groups(spark, sized, seed):
+    rows = near_groups(seed)
     want = brute_components(rows)
-    for long_list in (48, 3):
-        monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
-        got = jaccard_join.jaccard_join(frame(spark, rows)).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 20 < len({c for _, c in want.values()}) < 120
+    assert jaccard_of(spark, rows) == want
+
+
+def test_divide_skip_joins_what_links_connect():
+    r = np.random.default_rng(9)
+    for case in range(60):
+        base = r.permutation(400)[: int(r.integers(5, 60))]
+        sets = []
+        for _ in range(int(r.integers(1, 25))):
+            own = np.where(r.random(len(base)) < r.choice([0.02, 0.1, 0.25]), r.integers(1000, 3000, len(base)), base)
+            sets.append(np.unique(own[: len(own) - int(r.integers(0, len(own) // 3 + 1))]).astype(np.uint64))
+        sets.sort(key=len)
+        linked = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+        known = np.arange(len(sets)) // 2 * 2 if case % 2 else np.arange(len(sets))
+
+        def classes(links):
+            up = known.copy()
+            for x, y in links:
+                up[up == up[y]] = up[x]
+            return {frozenset(np.flatnonzero(up == c).tolist()) for c in up}
+
+        links = jaccard_join.divide_skip(sets, 75, known)
+        assert all(linked(sets[x], sets[y]) for x, y in links)
+        assert classes(links) == classes([(i, j) for j in range(len(sets)) for i in range(j) if linked(sets[i], sets[j])])
+
+
+def test_words_of_regular_patterns_differ():
+    """Complementary Thue-Morse words, which collide under every polynomial modulo 2**64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    h = text.Words([one.encode(), other.encode(), one.upper().encode(), b"x " + other.encode()]).hashes
+    assert h[0] == h[2] and h[1] == h[4] and len(set(h.tolist())) == 3
 
 
 def test_jaccard_keeps_one_of_each_group(spark, rows):
