@@ -7,7 +7,7 @@ table. One more shard takes about one key in that many, all into itself.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +33,18 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
+#: The key of a null doc_id; an integer's key is that integer mixed.
+NULL_KEY = np.uint64(0x6A09E667F3BCC909)
+
+
 def shard_of(shards: int):
-    """A column function: the shard of a stable integer key; null is the key -1."""
+    """A column function: the shard of a stable integer key; nulls share a shard."""
 
-    @F.pandas_udf("int")
-    def run(ids: pd.Series) -> pd.Series:
-        raw = ids.fillna(-1).astype("int64").to_numpy().view(np.uint64)
-        return pd.Series(jump_hash(mix(raw + np.uint64(0x9E3779B97F4A7C15)), shards).astype(np.int32))
+    @F.arrow_udf("int")
+    def run(ids: pa.Array) -> pa.Array:
+        raw = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        keys = np.where(ids.is_null().to_numpy(zero_copy_only=False), NULL_KEY, mix(raw + np.uint64(0x9E3779B97F4A7C15)))
+        return pa.array(jump_hash(keys, shards).astype(np.int32))
 
     return run
 
@@ -48,7 +53,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of `docs` (doc_id, text; other columns are not read).
 
     The law is `key`: doc_id and the number of shards decide, so rows of one
-    doc_id share a shard. size: UTF-8 bytes of the text (null: none) and 8.
+    doc_id share a shard, and null doc_ids one of them. size: UTF-8 bytes of the text (null: none) and 8.
     slot numbers a shard's rows from 0 without gaps; ties of doc_id are ordered
     by text_crc32 and size. grown_shard: with one shard more. An empty table
     gives an empty result.
@@ -70,9 +75,15 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write the rows of `docs` under one folder for each shard."""
-    docs.withColumn("shard", shard_of(shards)("doc_id")).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, column: str = "shard") -> None:
+    """Write the rows of `docs`, with all their columns, under one folder for each shard.
+
+    `column` names the folders and must not be a column of `docs`; nulls and
+    repeated doc_ids go where `shard` puts them. An empty table writes no file.
+    """
+    if column.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {column}; name the folders by another `column`")
+    docs.withColumn(column, shard_of(shards)("doc_id")).write.partitionBy(column).parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from engram.llm import exact_dedup, jaccard_join, line_dedup, mixing, sharding, substring_dedup, text, token_counts, token_output
 from engram.llm.scratch import Scratch
+from engram.llm.text import mix
 
 from .conftest import brute_words, frame
 
@@ -210,7 +211,7 @@ def test_mixed_documents_with_null_and_repeated_ids(spark):
     """Rows alike in doc_id, source and size: each is whole as often as it is taken, and one row of a source is cut."""
     rows = [(None if i % 3 else 7, f"  a{i}\n\tb{i}  c{i} d{i} ", s) for s in ("s0", "s1", "s2", None) for i in range(99)]
     rows += [(None, t, s) for s in ("s0", None) for t in (None, "", " \n")]
-    docs = frame(spark, rows)
+    docs = frame(spark, rows).withColumns({c: F.lit("x") for c in ("rows", "taken", "size", "__size", "__mix_place", "epochs", "last", "range", "a.b")}).withColumn("m", F.create_map("lang", "text"))
     plan = mixing.mix(docs).collect()
     target = {r.source: int(r.target) for r in plan}
     got = mixing.mixed_documents(docs)
@@ -240,6 +241,34 @@ def test_sharding(spark, rows):
     assert np.bincount(few, minlength=24).min() > 20000 / 24 * 0.8
 
 
+def scalar_jump(key, shards):
+    at, to = -1, 0
+    while to < shards:
+        at = to
+        key = (key * 2862933555777941757 + 1) % 2**64
+        to = int((at + 1) * (2.0**31 / ((key >> 33) + 1)))
+    return at
+
+
+def test_jump_hash_of_large_ids_beside_nulls(spark, tmp_path):
+    """A doc_id's shard is that of the scalar rule, whatever its neighbours are."""
+    r = np.random.default_rng(8)
+    ids = [*(2**53 + r.integers(0, 2**62, 300)).tolist(), -1, 0, 2**63 - 1, -(2**63)]
+    want = dict(zip(ids, sharding.jump_hash(mix(np.array(ids, np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), 24).tolist(), strict=True))
+    for k in r.integers(0, 2**63, 50).tolist():
+        assert sharding.jump_hash(np.array([k], np.uint64), 24)[0] == scalar_jump(k, 24)
+    for rows in (ids, [x for i in ids for x in (i, None)]):
+        docs = spark.createDataFrame([(i, "t") for i in rows], "doc_id bigint, text string").coalesce(1)
+        got = sharding.shard(docs).collect()
+        assert {r.doc_id: r["shard"] for r in got if r.doc_id is not None} == want
+        assert len({r["shard"] for r in got if r.doc_id is None}) == (None in rows)
+    sharding.write_shards(docs, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert {r.doc_id: r["shard"] for r in back if r.doc_id is not None} == want and len(back) == 2 * len(ids)
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("Shard", F.lit(1)), f"{tmp_path}/again")
+
+
 def reference_ids(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
