@@ -11,6 +11,7 @@ collisions between words of a regular pattern.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
+_LOWER_BYTE = _LOWER.astype(np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,11 +39,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _BYTE[~_WORD] = 0
 _BYTE_LOWER = _BYTE[_LOWER]
-_PLACES = mix(np.arange(1, 4097, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
 
 
-def _places(n: int) -> np.ndarray:
-    return _PLACES if n <= len(_PLACES) else mix(np.arange(1, n + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
+def _odd(n: int, key: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F) + _U(key)) | _U(1)
+
+
+_places = lru_cache(4)(_odd)
+
+
+def _place_numbers(n: int, key: int) -> np.ndarray:
+    return _places(4096, key) if n <= 4096 else _odd(n, key)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -69,9 +77,9 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """The words of a run of texts: byte ranges in `buf`, hashes, and the first word of each text."""
+    """The words of a run of texts: byte ranges in `buf`, hashes under `key`, and the first word of each text."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, key: int = 0):
         self.raw = b"\n".join(texts) + b"\n"
         self.buf = np.frombuffer(self.raw, dtype=np.uint8)
         n = len(self.buf)
@@ -88,12 +96,22 @@ class Words:
             first = self.starts[0]
             begin = (self.starts - first).astype(np.int32)
             place = np.arange(n - first, dtype=np.int32) - np.repeat(begin, np.diff(begin, append=n - first))
-            values = np.take(_BYTE_LOWER if lower else _BYTE, self.buf[first:]) * np.take(_places(int(length.max())), place, mode="clip")
+            values = np.take(_BYTE_LOWER if lower else _BYTE, self.buf[first:]) * np.take(_place_numbers(int(length.max()), key), place, mode="clip")
             self.hashes = mix(np.add.reduceat(values, begin) + length.astype(_U) * _U(0xD6E8FEB86659FD93))
 
     def word(self, i: int) -> bytes:
         return self.raw[self.starts[i] : self.ends[i]]
 
+    def lowered(self, words: np.ndarray) -> np.ndarray:
+        """The bytes of some words in a row, A-Z lower-cased."""
+        return _LOWER_BYTE[self.buf[ranges(self.starts[words], self.ends[words] - self.starts[words])]]
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for `length[0]` numbers, then those of the next range."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
+
 
 def _weights(k: int) -> np.ndarray:
     return mix(np.arange(1, k + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)

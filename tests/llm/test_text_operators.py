@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.llm import exact_dedup, jaccard_join, line_dedup, mixing, sharding, substring_dedup, text, token_counts, token_output
+from engram.llm import exact_dedup, jaccard_join, line_dedup, mixing, sharding, substring_dedup, text, token_counts, token_output, tokens
 from engram.llm.scratch import Scratch
 from engram.llm.text import mix
 
@@ -134,12 +134,35 @@ def test_divide_skip_joins_what_links_connect():
         assert classes(links) == classes([(i, j) for j in range(len(sets)) for i in range(j) if linked(sets[i], sets[j])])
 
 
-def test_words_of_regular_patterns_differ():
-    """Complementary Thue-Morse words, which collide under every polynomial modulo 2**64."""
+def thue_morse():
+    """Complementary words, which collide under every polynomial modulo 2**64."""
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
-    other = one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_regular_patterns_differ(spark):
+    one, other = thue_morse()
     h = text.Words([one.encode(), other.encode(), one.upper().encode(), b"x " + other.encode()]).hashes
     assert h[0] == h[2] and h[1] == h[4] and len(set(h.tolist())) == 3
+    rows = [(1, one, "s"), (2, other, "s"), (3, " ".join([one] * 60), "s"), (4, " ".join([other] * 60), "s")]
+    assert jaccard_of(spark, rows[:2]) == {1: (1, 1), 2: (1, 2)}
+    assert substring_dedup.substring_dedup(frame(spark, rows)).collect() == []
+
+
+def test_encoder_is_exact():
+    """Words of equal hash, a memory that is too small, and texts of more distinct words than it holds."""
+    one, other = thue_morse()
+    texts = [one, other, f"{other} {one} {one}", "", " a  B\ta b, C. ", "".join(chr(97 + i % 26) + " " * (i % 3 == 0) for i in range(5000)), "ünï <|endoftext|> x"]
+    want = reference_ids(texts)
+    encoder = tokens.Encoder(tokens.VOCABULARY)
+    for remembered, spelt in ((1_000_000, 1 << 26), (3, 1 << 26), (1_000_000, 10)):
+        tokens.REMEMBERED, tokens.REMEMBERED_BYTES = remembered, spelt
+        for _ in range(2):
+            n, ids = encoder.encode([t.encode() for t in texts])
+            assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == want[0] and ids.tolist() == [i for w in want for i in w]
+    tokens.REMEMBERED, tokens.REMEMBERED_BYTES = 1_000_000, 64 << 20
+    encoder.known[:] = np.sort(text.Words([b"a B c"], key=encoder.key).hashes.tolist() * len(encoder.known))[: len(encoder.known)]  # hashes that now stand for other words
+    assert encoder.encode([b"a B c"])[1].tolist() == reference_ids(["a b c"])[0]
 
 
 def test_jaccard_keeps_one_of_each_group(spark, rows):
