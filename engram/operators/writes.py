@@ -43,20 +43,24 @@ def next_status(status: Column, wanted: Column, terminal: tuple[str, ...] = ("co
 
 
 def latest_wins(claims: DataFrame, keys: list[str]) -> DataFrame:
-    """`claims` with status, valid_to and superseded_by after replaying arrivals (`seq`) under the rule "newer or equal supersedes".
+    """`claims` with state, valid_to and superseded_by after replaying arrivals (`seq`) under the rule "newer or equal supersedes".
 
-    A claim is a record when none that arrived before was observed later. A
-    record is displaced by the next record; any other claim by the record that
-    held when it arrived. Late claims are kept as history.
+    `keys` name the entity and the predicate. Only claims of status "active"
+    take part; others keep their status as state. A claim is a record when none
+    that arrived before was observed later. A record is displaced by the next
+    record; any other claim by the record that held when it arrived. Late claims
+    are kept as history.
     """
-    arrival = Window.partitionBy(*keys).orderBy("seq")
+    c = claims.withColumn("__live", F.coalesce(F.col("status") == "active", F.lit(False)))
+    arrival = Window.partitionBy(*keys, "__live").orderBy("seq")
     so_far = arrival.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     best = F.max(F.struct("observed_at", "seq", "id")).over(so_far)
-    c = claims.withColumn("__best", best).withColumn("__record", F.col("__best.seq") == F.col("seq"))
-    among = Window.partitionBy(*keys, "__record").orderBy("seq")
+    c = c.withColumn("__best", best).withColumn("__record", F.col("__best.seq") == F.col("seq"))
+    among = Window.partitionBy(*keys, "__live", "__record").orderBy("seq")
     following = F.lead(F.struct("observed_at", "seq", "id")).over(among)
-    c = c.withColumn("__next", F.when(F.col("__record"), following).otherwise(F.col("__best")))
-    return c.withColumns({"state": F.when(F.col("__next").isNull(), "active").otherwise("superseded"), "valid_to": F.col("__next.observed_at"), "superseded_by": F.col("__next.id")}).drop("__best", "__record", "__next")
+    c = c.withColumn("__next", F.when(F.col("__live"), F.when(F.col("__record"), following).otherwise(F.col("__best"))))
+    state = F.when(~F.col("__live"), F.col("status")).when(F.col("__next").isNull(), "active").otherwise("superseded")
+    return c.withColumns({"state": state, "valid_to": F.col("__next.observed_at"), "superseded_by": F.col("__next.id")}).drop("__live", "__best", "__record", "__next")
 
 
 def accumulate(claims: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,17 +84,19 @@ def _by_key(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield held
 
 
-def _explicit(ids: list, values: list, times: list, sure: list, least: float) -> tuple[list, list]:
+def _explicit(ids: list, values: list, times: list, sure: list, status: list, least: float) -> tuple[list, list]:
     """States and successors of one key's claims in order of arrival."""
-    state, by = ["active"] * len(ids), [None] * len(ids)
+    state, by = list(status), [None] * len(ids)
     active: list[int] = []
     for i, (value, at, c) in enumerate(zip(values, times, sure, strict=True)):
+        if status[i] != "active":
+            continue
         for j in [j for j in active if values[j] != value]:
-            if c >= least and at >= times[j]:
-                state[j], by[j] = "superseded", ids[i]
-                active.remove(j)
-            else:
+            if not (c >= least and at >= times[j]):
                 state[i] = "disputed"
+                break
+            state[j], by[j] = "superseded", ids[i]
+            active.remove(j)
         if state[i] == "active":
             active.append(i)
     return state, by
@@ -99,7 +105,9 @@ def _explicit(ids: list, values: list, times: list, sure: list, least: float) ->
 def explicit_only(claims: DataFrame, keys: list[str], least: float = 0.85) -> DataFrame:
     """An ordered fold of arrivals per key: a confident, not older, different value supersedes; a different value otherwise is disputed.
 
-    An equal value leaves both active. Keys are hash-partitioned and sorted by
+    The first dispute ends a claim's turn: it displaces no claim after that one.
+    An equal value leaves both active. Only claims of status "active" take part;
+    others keep their status as state. Keys are hash-partitioned and sorted by
     arrival, and a task folds its keys one after the other: the rule depends on
     every earlier outcome of a key, so one key's claims are held together.
     """
@@ -108,9 +116,9 @@ def explicit_only(claims: DataFrame, keys: list[str], least: float = 0.85) -> Da
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _by_key(frames, keys):
             group = pdf[keys].fillna("").astype(str).agg("\x00".join, axis=1).to_numpy()
-            ids, values, times, sure = (pdf[c].tolist() for c in ("id", "value", "observed_at", "confidence"))
+            ids, values, times, sure, status = (pdf[c].tolist() for c in ("id", "value", "observed_at", "confidence", "status"))
             cuts = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1]), len(group)]
-            parts = [_explicit(ids[a:b], values[a:b], times[a:b], sure[a:b], least) for a, b in zip(cuts, cuts[1:], strict=False)]
+            parts = [_explicit(ids[a:b], values[a:b], times[a:b], sure[a:b], status[a:b], least) for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pdf.assign(state=[x for p in parts for x in p[0]], superseded_by=pd.array([x for p in parts for x in p[1]], dtype="Int64"))
 
     schema = T.StructType([*claims.schema.fields, T.StructField("state", T.StringType()), T.StructField("superseded_by", T.LongType())])

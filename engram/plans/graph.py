@@ -61,11 +61,11 @@ def terminal_states(spark, d):
     return b.events(spark, d).select("id", writes.next_status(F.col("source_type"), F.lit("failed"), ("purchase", "error")).alias("state"))
 
 
-REPLAY = ", m AS (SELECT *, max(struct_pack(o := observed_at, s := seq, i := id)) OVER (PARTITION BY entity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS best FROM v_claims), r AS (SELECT *, best.s = seq AS rec FROM m), n AS (SELECT *, CASE WHEN rec THEN lead(struct_pack(o := observed_at, s := seq, i := id)) OVER (PARTITION BY entity_id, rec ORDER BY seq) ELSE best END AS nxt FROM r)"
+REPLAY = ", l AS (SELECT *, status = 'active' AS live FROM v_claims), m AS (SELECT *, max(struct_pack(o := observed_at, s := seq, i := id)) OVER (PARTITION BY entity_id, predicate, live ORDER BY seq ROWS UNBOUNDED PRECEDING) AS best FROM l), r AS (SELECT *, best.s = seq AS rec FROM m), n AS (SELECT *, CASE WHEN NOT live THEN NULL WHEN rec THEN lead(struct_pack(o := observed_at, s := seq, i := id)) OVER (PARTITION BY entity_id, predicate, live, rec ORDER BY seq) ELSE best END AS nxt FROM r)"
 
 
 def _replayed(spark, d):
-    return writes.latest_wins(b.claims(spark, d), ["entity_id"])
+    return writes.latest_wins(b.claims(spark, d), ["entity_id", "predicate"])
 
 
 @query("op_w3", sql(f"{REPLAY} SELECT id, nxt.i AS superseded_by FROM n", "v_claims"))
@@ -73,7 +73,7 @@ def successor(spark, d):
     return _replayed(spark, d).select("id", "superseded_by")
 
 
-@query("op_g3", sql(f"{REPLAY} SELECT id, CASE WHEN nxt IS NULL THEN 'active' ELSE 'superseded' END AS state, epoch_us(nxt.o) AS valid_to_us, nxt.i AS superseded_by FROM n", "v_claims"))
+@query("op_g3", sql(f"{REPLAY} SELECT id, CASE WHEN NOT live THEN status WHEN nxt IS NULL THEN 'active' ELSE 'superseded' END AS state, epoch_us(nxt.o) AS valid_to_us, nxt.i AS superseded_by FROM n", "v_claims"))
 def supersession(spark, d):
     return _replayed(spark, d).select("id", "state", F.unix_micros("valid_to").alias("valid_to_us"), "superseded_by")
 
@@ -88,10 +88,20 @@ def accumulate(spark, d):
     return writes.accumulate(b.claims(spark, d), ["entity_id", "predicate"]).select("id", "entity_id", "value")
 
 
-@query("op_g3_explicit")
+EXPLICIT = """, o AS (SELECT *, row_number() OVER (PARTITION BY entity_id, predicate ORDER BY seq) AS rn FROM v_claims WHERE status = 'active'),
+f AS (SELECT entity_id, predicate, rn, id, false AS disputed, []::BIGINT[] AS gone, [struct_pack(i := id, v := value, t := observed_at)] AS act FROM o WHERE rn = 1
+UNION ALL SELECT entity_id, predicate, rn, id, bad IS NOT NULL, g, list_concat(list_filter(act, lambda x: NOT list_contains(g, x.i)), CASE WHEN bad IS NULL THEN [struct_pack(i := id, v := value, t := observed_at)] ELSE [] END) FROM (
+  SELECT *, list_transform(list_filter(act[1:coalesce(bad - 1, len(act))], lambda x: x.v <> value), lambda x: x.i) AS g FROM (
+    SELECT o.*, f.act, list_filter(list_transform(f.act, lambda x, k: CASE WHEN x.v <> o.value AND NOT (o.confidence >= 0.85 AND o.observed_at >= x.t) THEN k END), lambda k: k IS NOT NULL)[1] AS bad
+    FROM f JOIN o ON o.entity_id = f.entity_id AND o.predicate = f.predicate AND o.rn = f.rn + 1))),
+g AS (SELECT unnest(gone) AS id, id AS by FROM f)
+SELECT c.id, CASE WHEN g.by IS NOT NULL THEN 'superseded' WHEN f.disputed THEN 'disputed' ELSE c.status END AS state, g.by AS superseded_by FROM v_claims c LEFT JOIN f ON f.id = c.id LEFT JOIN g ON g.id = c.id"""
+
+
+@query("op_g3_explicit", sql(EXPLICIT, "v_claims").replace("WITH ", "WITH RECURSIVE ", 1))
 def explicit(spark, d):
-    """An ordered fold that SQL can't express; tests hold it against a sequential replay."""
-    return writes.explicit_only(b.claims(spark, d).select("id", "entity_id", "predicate", "value", "observed_at", "seq", "confidence"), ["entity_id", "predicate"]).select("id", "state", "superseded_by")
+    """An ordered fold; the SQL repeats it by recursion over arrivals."""
+    return writes.explicit_only(b.claims(spark, d).select("id", "entity_id", "predicate", "value", "observed_at", "seq", "confidence", "status"), ["entity_id", "predicate"]).select("id", "state", "superseded_by")
 
 
 @query("op_x16", sql("""SELECT id, CASE id % 3 WHEN 0 THEN CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN '{"text":"' || value || '"}' END WHEN 1 THEN '{"boolean":' || (lower(trim(value)) IN ('true', '1', 'yes')) || '}' ELSE '{"text":"' || value || '"}' END AS json FROM v_claims""", "v_claims"))

@@ -88,44 +88,55 @@ def test_web_query():
     assert q.groups == ((("budget",), (("road", "map"),), ("draft",)), (("launch",), (), ()))
 
 
-def replay_latest(claims):
-    active, by = None, {}
-    for i, at in claims:
-        if active is None or at >= active[1]:
-            if active is not None:
-                by[active[0]] = i
-            active = (i, at)
-        else:
-            by[i] = active[0]
-    return by
-
-
-def claims_frame(spark, rows):
-    base = dt.datetime(2020, 1, 1)
-    return spark.createDataFrame([(i, k, v, base + dt.timedelta(days=d), i, c) for i, k, v, d, c in rows], "id bigint, entity_id string, value string, observed_at timestamp, seq bigint, confidence double")
+def replay(claims, strategy, least=0.85):
+    """Each arriving claim meets all active ones of its entity and predicate; a claim that loses or is disputed stops there."""
+    state, by = {}, {}
+    for new in claims:
+        state[new.id] = new.status
+        if new.status != "active":
+            continue
+        for old in [c for c in claims if state.get(c.id) == "active" and c.id != new.id and (c.entity_id, c.predicate) == (new.entity_id, new.predicate)]:
+            if strategy == "latest_wins":
+                if new.observed_at >= old.observed_at:
+                    state[old.id], by[old.id] = "superseded", new.id
+                else:
+                    state[new.id], by[new.id] = "superseded", old.id
+                    break
+            elif new.confidence >= least and new.value != old.value and new.observed_at >= old.observed_at:
+                state[old.id], by[old.id] = "superseded", new.id
+            elif new.value != old.value:
+                state[new.id] = "disputed"
+                break
+    return {i: (s, by.get(i)) for i, s in state.items()}
 
 
 def test_supersession_replay(spark):
     r = random.Random(1)
-    rows = [(i, f"e{r.randrange(6)}", r.choice("xyz"), r.randrange(12), r.choice([0.5, 0.9])) for i in range(300)]
-    got = {x.id: x.superseded_by for x in writes.latest_wins(claims_frame(spark, rows), ["entity_id"]).collect()}
-    for e in {x[1] for x in rows}:
-        by = replay_latest([(i, d) for i, k, _, d, _ in rows if k == e])
-        assert all(got[i] == by.get(i) for i, k, *_ in rows if k == e)
-    fold = {x.id: (x.state, x.superseded_by) for x in writes.explicit_only(claims_frame(spark, rows), ["entity_id"]).collect()}
-    for e in {x[1] for x in rows}:
-        state, by, active = {}, {}, []
-        for i, _, v, d, c in [x for x in rows if x[1] == e]:
-            state[i] = "active"
-            for j, w, dj in [a for a in active if a[1] != v]:
-                if c >= 0.85 and d >= dj:
-                    state[j], by[j] = "superseded", i
-                    active.remove((j, w, dj))
-                else:
-                    state[i] = "disputed"
-            if state[i] == "active":
-                active.append((i, v, d))
-        assert all(fold[i] == (state[i], by.get(i)) for i in state)
+    base = dt.datetime(2020, 1, 1)
+    rows = [(i, f"e{r.randrange(6)}", r.choice("pq"), r.choice("xyz"), base + dt.timedelta(days=r.randrange(12)), i, r.choice([0.5, 0.9]), r.choice(["active"] * 5 + ["retracted"])) for i in range(300)]
+    claims = spark.createDataFrame(rows, "id bigint, entity_id string, predicate string, value string, observed_at timestamp, seq bigint, confidence double, status string")
+    arrivals = sorted(claims.collect(), key=lambda c: c.seq)
+    for strategy, rule in (("latest_wins", writes.latest_wins), ("explicit_only", writes.explicit_only)):
+        got = {x.id: (x.state, x.superseded_by) for x in rule(claims, ["entity_id", "predicate"]).collect()}
+        want = replay(arrivals, strategy)
+        assert got == want and {"superseded", "retracted", "active"} <= {s for s, _ in want.values()}
+
+
+@pytest.mark.parametrize(
+    ("rule", "old_day", "new_day", "sure", "states"),
+    [
+        (writes.latest_wins, 1, 2, 0.5, ("superseded", "active")),
+        (writes.latest_wins, 2, 1, 0.9, ("active", "superseded")),
+        (writes.explicit_only, 1, 2, 0.9, ("superseded", "active")),
+        (writes.explicit_only, 1, 2, 0.5, ("active", "disputed")),
+        (writes.explicit_only, 2, 1, 0.9, ("active", "disputed")),
+    ],
+)
+def test_supersession_of_two_claims(spark, rule, old_day, new_day, sure, states):
+    day = lambda n: dt.datetime(2026, 1, n)
+    rows = [(1, "e", "status", "open", day(old_day), 1, 0.9, "active"), (2, "e", "status", "done", day(new_day), 2, sure, "active"), (3, "e", "owner", "ann", day(9), 3, 0.9, "active")]
+    claims = spark.createDataFrame(rows, "id bigint, entity_id string, predicate string, value string, observed_at timestamp, seq bigint, confidence double, status string")
+    assert [x.state for x in rule(claims, ["entity_id", "predicate"]).orderBy("id").collect()] == [*states, "active"]
 
 
 def test_rate_limit_replay(spark):
