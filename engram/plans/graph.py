@@ -98,7 +98,7 @@ g AS (SELECT unnest(gone) AS id, id AS by FROM f)
 SELECT c.id, CASE WHEN g.by IS NOT NULL THEN 'superseded' WHEN f.disputed THEN 'disputed' ELSE c.status END AS state, g.by AS superseded_by FROM v_claims c LEFT JOIN f ON f.id = c.id LEFT JOIN g ON g.id = c.id"""
 
 
-@query("op_g3_explicit", sql(EXPLICIT, "v_claims").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("op_g3_explicit", sql(EXPLICIT, "v_claims", recursive=True))
 def explicit(spark, d):
     """An ordered fold; the SQL repeats it by recursion over arrivals."""
     return writes.explicit_only(b.claims(spark, d).select("id", "entity_id", "predicate", "value", "observed_at", "seq", "confidence", "status"), ["entity_id", "predicate"]).select("id", "state", "superseded_by")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import composite, cosine, indel_ratio
 from ..functions.text import EMAIL
-from ..operators import chunking, integrate, listing, resolution, rollups, visibility
+from ..operators import integrate, listing, resolution, rollups, visibility
 from ..operators.chunking import EMOJI_ONLY
 from ..operators.sanitizing import dictionary, emails_of, with_secrets
 from ..sources import bindings as b
@@ -96,10 +96,11 @@ def report(spark, d):
     return reduce(DataFrame.union, rows)
 
 
-@query("op_x21", "SELECT doc_id, doc_id % 3 = 0 AS emoji_only FROM documents")
-def emoji_only(spark, d):
-    x = F.when(F.col("doc_id") % 3 == 0, F.lit("\U0001f600 ✨")).when(F.col("doc_id") % 3 == 1, F.lit("ok \U0001f600")).otherwise("")
-    return b.table(spark, d, "documents").select("doc_id", x.rlike(EMOJI_ONLY).alias("emoji_only"))
+@query("op_x21", r"SELECT doc_id, len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: regexp_full_match(w, '[\p{So}\p{Sk}\p{Sm}\x{200d}\x{fe0f}\x{fe0e}]+')))::BIGINT AS symbols FROM documents")
+def symbols(spark, d):
+    """Words of a text that are emoji or other symbols only."""
+    words = F.split("text", r"[ \t\n\r]+")
+    return b.table(spark, d, "documents").select("doc_id", F.size(F.filter(words, lambda w: w.rlike(EMOJI_ONLY))).cast("bigint").alias("symbols"))
 
 
 @query("op_x5")
@@ -123,14 +124,6 @@ def verified_duplicates(spark, d):
     return resolution.shortlist(e, 5, 0.3).filter("a % 4 = b % 4").select("a", "b")
 
 
-@query("op_c1")
-def dispatch(spark, d):
-    """Chunks by source type: turns for conversations, paragraphs for documents."""
-    turns = chunking.chunk_turns(b.turns(spark, d), "conv_id", "turn", "author", "text", 300).select(F.lit("slack").alias("source_type"), F.col("conv_id").alias("source_id"), "chunk_index", "total")
-    paras = chunking.chunk_paragraphs(b.table(spark, d, "documents"), "doc_id", "text", 300).select(F.lit("manual").alias("source_type"), F.col("doc_id").alias("source_id"), "chunk_index", "total")
-    return turns.unionByName(paras)
-
-
 @query("op_e10", rf"WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS email FROM documents) SELECT email, count(*) AS n FROM e GROUP BY email")
 def corpus_emails(spark, d):
     """Addresses of the corpus, each with its pseudonym, counted; texts with secrets are the gate's."""

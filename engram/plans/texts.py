@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions import tokens
 from ..operators import chunking as c
 from ..operators.listing import ordered_text
 from ..sources import bindings as b
@@ -65,9 +66,11 @@ def estimates(spark, d):
     return docs(spark, d).select("doc_id", c.estimate_tokens(F.col("text")).alias("n_tokens"))
 
 
-@query("op_x19", "SELECT doc_id, length(text) // 4 AS n_tokens, md5(substr(text, 1, 3200)) AS head, greatest((length(text) - 1) // 3200, 0) + 1 AS pieces FROM documents")
+@query("op_x19")
 def truncation(spark, d):
-    return docs(spark, d).select("doc_id", c.estimate_tokens(F.col("text")).alias("n_tokens"), F.md5(F.substring("text", 1, 3200)).alias("head"), F.size(c.hard_split(F.col("text"), 800)).cast("bigint").alias("pieces"))
+    """Exact BPE counts, the first 800 tokens and the number of pieces of 800; tests hold them against the tokenizer."""
+    n = tokens.count_tokens()("text")
+    return docs(spark, d).select("doc_id", n.alias("n_tokens"), F.md5(tokens.truncate_tokens(800)("text")).alias("head"), F.greatest(F.ceil(n / 800), F.lit(1)).alias("pieces"))
 
 
 @query("op_x22", "SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\\n\\n+'), lambda p: trim(p)), lambda p: p <> ''))::BIGINT AS paragraphs, len(string_split_regex(text, '\\n---+\\n'))::BIGINT AS sections FROM documents")
@@ -186,15 +189,52 @@ def unnest(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.explode(F.split("source", "r")).alias("part"))
 
 
-@query("op_c2", sql(", f AS (SELECT *, (author IS DISTINCT FROM lag(author) OVER w)::INT AS fresh FROM v_turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM f) SELECT conv_id, island::BIGINT AS island, min(author) AS author, min(author) || ': ' || string_agg(text, chr(10) ORDER BY turn, text) AS segment FROM g GROUP BY conv_id, island", "v_turns"))
+THREADED = ", t AS (SELECT *, turn // 6 AS thread FROM v_turns), f AS (SELECT *, (author IS DISTINCT FROM lag(author) OVER w)::INT AS fresh FROM t WHERE trim(text) <> '' WINDOW w AS (PARTITION BY conv_id, thread ORDER BY turn)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, thread ORDER BY turn) AS island FROM f)"
+
+
+def threaded(spark, d):
+    """Conversations in threads of six turns."""
+    return b.turns(spark, d).withColumn("thread", F.floor(F.col("turn") / 6))
+
+
+@query("op_c2", sql(f"{THREADED} SELECT conv_id, thread::VARCHAR AS thread, island::BIGINT AS island, string_agg(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) ORDER BY turn) AS segment FROM g GROUP BY conv_id, thread, island", "v_turns"))
 def author_segments(spark, d):
-    return c.turn_texts(b.turns(spark, d), "conv_id", "turn", "author", "text")
+    return c.message_groups(threaded(spark, d), "conv_id", "turn", "author", "text", "thread").filter("island is not null").select("conv_id", "thread", "island", "segment")
 
 
 @query("op_w6")
 def packed_turns(spark, d):
-    """Conversations packed into chunks of at most 200 tokens; tested against a sequential replay."""
-    return c.chunk_turns(b.turns(spark, d), "conv_id", "turn", "author", "text", 200)
+    """Conversations packed by thread into chunks of at most 200 tokens; tested against a sequential replay."""
+    return c.chunk_messages(threaded(spark, d), "conv_id", "turn", "author", "text", "thread", 200)
+
+
+def chats(spark, d):
+    """(source_id, kind, text): conversations as chat exports, every other one in JSON, and documents as transcripts, documents and notes."""
+    t = threaded(spark, d)
+    message = F.struct(F.col("author").alias("user"), "text", F.col("turn").cast("string").alias("ts"), F.col("thread").cast("string").alias("thread_ts"))
+    as_json = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]))
+    as_text = ordered_text(F.concat_ws(": ", "author", "text"), F.col("turn"), separator="\n")
+    sent = t.groupBy("conv_id").agg(as_json.alias("json"), as_text.alias("plain")).select(F.concat(F.lit("chat:"), "conv_id").alias("source_id"), F.lit("slack").alias("kind"), F.when(F.col("conv_id") % 2 == 0, F.col("json")).otherwise(F.col("plain")).alias("text"))
+    kinds = F.array(*[F.lit(k) for k in ("meeting_transcript", "document", "manual", "github")])
+    return sent.unionByName(docs(spark, d).select(F.concat(F.lit("doc:"), "doc_id").alias("source_id"), kinds[(F.col("doc_id") % 4).cast("int")].alias("kind"), "text"))
+
+
+@query("op_c1")
+def chunks_by_source(spark, d):
+    return c.chunk_sources(chats(spark, d), "source_id", "kind", "text", 300)
+
+
+@query("op_c3")
+def plain_chat_chunks(spark, d):
+    """Plain-text chats in chunks of at most 200 tokens; tested by cases."""
+    return c.chunk_plain_chat(chats(spark, d).filter("kind = 'slack' and not startswith(text, '[')"), "source_id", "text", 200)
+
+
+@query("op_c4")
+def turn_chunks(spark, d):
+    """Transcripts by speaker turns in chunks of at most 300 tokens; tested by cases."""
+    lines = threaded(spark, d).groupBy("conv_id").agg(ordered_text(F.concat_ws(": ", F.initcap("author"), "text"), F.col("turn"), separator="\n").alias("text"))
+    return c.chunk_turns(lines, "conv_id", "text", 300)
 
 
 @query("op_c5")
@@ -203,6 +243,7 @@ def paragraph_chunks(spark, d):
     return c.chunk_paragraphs(docs(spark, d), "doc_id", "text", 500)
 
 
-@query("op_c4")
-def speaker_turns(spark, d):
-    return c.speaker_lines(docs(spark, d), "doc_id", "text").groupBy("doc_id", "speaker").agg(F.count("*").alias("n_lines"))
+@query("op_c6")
+def legacy_chunks(spark, d):
+    """Documents whole, or their paragraphs as they are, in chunks of at most 500 tokens; names found before go to later chunks."""
+    return c.legacy_chunks(docs(spark, d).withColumn("source", F.substring("text", 1, 5)), "doc_id", "text", F.array("source"), 500)

@@ -1,13 +1,16 @@
 """Scalar rules and folds against literal cases and sequential replays."""
 
 import datetime as dt
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import similarity
 from engram.functions import text as t
+from engram.functions import tokens
 from engram.functions.access import Caller, allowed_levels
 from engram.operators import chunking, listing, resolution, sanitizing, visibility, writes
 from engram.operators.search import WebQuery
@@ -152,25 +155,103 @@ def test_rate_limit_replay(spark):
                 kept.append(at)
 
 
-def test_packing_replay(spark):
-    r = random.Random(9)
-    texts = ["\n\n".join("w" * r.randint(1, 90) + ("." if r.random() < 0.5 else "") for _ in range(r.randint(0, 12))) for _ in range(40)] + ["", "\n\n\n"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
-    got = {}
-    for x in chunking.chunk_paragraphs(rows, "id", "text", 25).collect():
+def slow_pack(parts, joint, limit, count, pieces, inner=None):
+    out, cur = [], ""
+    for p in parts:
+        if count(p) > limit:
+            out += [cur] if cur else []
+            cur = ""
+            out += slow_pack(re.split(r"(?<=[.!?])\s+", p), " ", limit, count, pieces) if inner is None and joint != " " else pieces(p)
+        elif cur and count((cur + joint + p).strip()) > limit:
+            out.append(cur)
+            cur = p
+        else:
+            cur = (cur + joint + p).strip() if cur else p
+    return out + ([cur] if cur else [])
+
+
+@pytest.mark.parametrize("vocabulary", [None, tokens.VOCABULARY])
+def test_packing_replay(spark, vocabulary):
+    c, r = tokens.counter(vocabulary), random.Random(9)
+    pieces = lambda t: c.pieces(t, 25)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9)))
+    sentence = lambda: " ".join(word() for _ in range(r.choice([3, 8, 60]))) + r.choice([".", "!", "", "? "])
+    texts = ["\n\n".join(" ".join(sentence() for _ in range(r.randint(0, 5))) + r.choice(["", "\u00a0", " \n"]) for _ in range(r.randint(0, 9))) for _ in range(40)] + ["", "\n\n\n", "ein " * 300]
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "id bigint, text string")
+    got, seen = {}, chunking.chunk_paragraphs(rows, "id", "text", 25, vocabulary).collect()
+    for x in seen:
         got.setdefault(x.id, {})[x.chunk_index] = x.chunk
+        assert x.n_tokens == c.count(x.chunk) <= 25
+    assert all(x.total == len(got[x.id]) for x in seen) and got[99] == {0: ""}
+    for i, text in enumerate(texts):
+        parts = [p.strip() for p in re.split(r"\n\n+", text) if p.strip()]
+        assert [got[i][k] for k in sorted(got[i])] == (slow_pack(parts, "\n\n", 25, c.count, pieces) or [""])
+    old = chunking.legacy_chunks(rows, "id", "text", F.array(F.lit("ann")), 25, vocabulary).collect()
     for i, text in enumerate(texts):
-        chunks, cur = [], None
-        for p in (p.strip(" ") for p in __import__("re").split(r"\n\n+", text)):
-            if not p:
-                continue
-            if cur is not None and len(cur + "\n\n" + p) // 4 <= 25:
-                cur += "\n\n" + p
-            else:
-                chunks += [cur] if cur is not None else []
-                cur = p
-        chunks += [cur] if cur is not None else []
-        assert [got[i][k] for k in sorted(got[i])] == (chunks or [""])
+        own = sorted((x.chunk_index, x.chunk, x.prior_entities) for x in old if x.id == i)
+        want = [text] if c.count(text) <= 25 else []
+        if not want:
+            cur = ""
+            for p in text.split("\n\n"):
+                if c.count(p) > 25:
+                    want += ([cur] if cur else []) + pieces(p)
+                    cur = ""
+                elif cur and c.count(cur + "\n\n" + p) > 25:
+                    want.append(cur)
+                    cur = p
+                else:
+                    cur = cur + "\n\n" + p if cur else p
+            want += [cur] if cur else []
+        assert own == [(k, w, ["ann"] if k else []) for k, w in enumerate(want)]
+
+
+def chunks_of(spark, kind, text, limit=3000):
+    rows = spark.createDataFrame([("x", kind, text)], "id string, kind string, text string")
+    return [r.chunk for r in chunking.chunk_sources(rows, "id", "kind", "text", limit).orderBy("chunk_index").collect()]
+
+
+def test_chats_in_json(spark):
+    say = lambda user, text, thread=None: {"user": user, "text": text, "ts": "1"} | ({"thread_ts": thread} if thread else {})
+    talk = [say("U1", "one"), say("U2", "in thread", "t9"), say("U1", " two "), say("U1", " "), say("U3", "👍🎉"), say("U2", "three"), say("U4", "🎉", "t1"), say("U2", "late", "t9")]
+    assert chunks_of(spark, "slack", json.dumps(talk)) == ["one\ntwo\nthree", "in thread\nlate", ""]
+    long = " ".join(f"This is sentence number {i}." for i in range(12))
+    got = chunks_of(spark, "slack", json.dumps([say("U1", "short"), say("U2", long), say("U1", "end")]), 30)
+    assert got[0] == "short" and got[-1] == "end" and len(got) > 4 and all(x.endswith(".") for x in got[1:-1]) and " ".join(got[1:-1]) == long
+    assert chunks_of(spark, "slack", "[]") == [""] == chunks_of(spark, "slack", "  ")
+
+
+def test_chats_in_plain_text(spark):
+    talk = "hello there\nAnn: first\n  more \n\nAnn:\nAnn: second\n<@U2>: reply: yes\nBob Lee:\n<@U2>: again\n----\n🎉\n---\n\n---\nZoë: last"
+    rows = spark.createDataFrame([(1, talk), (2, None)], "id bigint, text string")
+    got = {}
+    for r in chunking.plain_groups(rows, "id", "text").filter("id = 1").orderBy("section", "island").collect():
+        got.setdefault(r.section, []).append(r.segment)
+    assert got == {0: ["hello there", "first\nmore\nsecond", "reply: yes", "again"], 1: ["🎉"], 2: [""], 3: ["last"]}
+    assert chunks_of(spark, "slack", talk) == ["hello there\nfirst\nmore\nsecond\nreply: yes\nagain", "", "", "last"]
+    assert chunks_of(spark, "slack", "Ann:\nBob:") == ["Ann:\nBob:"]
+
+
+def test_transcripts(spark):
+    text = "Agenda\n\n of today\n[Speaker 1]: Let's start.\n  and\n\ngo on\nSpeaker 1: more\n(Bob) :\nAnn: one\nBob:\nAnn: two"
+    rows = spark.createDataFrame([(1, text), (2, "no turns\n\nat all"), (3, "Ann:\nBob: "), (4, None)], "id bigint, text string")
+    got = [(r.speaker, r.segment) for r in chunking.speaker_turns(rows, "id", "text").orderBy("id", "island").collect()]
+    assert got == [(None, "Agenda\n\nof today"), ("Speaker 1", "Let's start.\nand\n\ngo on\nmore"), ("Ann", "one\ntwo")]
+    chunks = {r.id: r.chunk for r in chunking.chunk_turns(rows, "id", "text").collect()}
+    assert chunks == {1: "\n\n".join(s for _, s in got), 2: "no turns\n\nat all", 3: "Ann:\nBob:", 4: ""}
+    long = "Alice: " + " ".join(f"This is sentence number {i} about the project." for i in range(20))
+    cut = chunks_of(spark, "meeting_transcript", long, 50)
+    assert len(cut) >= 2 and all(x.endswith(".") for x in cut) and "Alice: " + " ".join(cut) == long
+
+
+def test_token_counts(spark):
+    texts = ["", "Hello wörld, 東京 🎉", "<|endoftext|> x", "word " * 2000, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
+    c = tokens.counter()
+    got = rows.select("id", "text", tokens.count_tokens()("text").alias("n"), tokens.truncate_tokens(5)("text").alias("head")).collect()
+    for r in got:
+        assert r.n == (None if r.text is None else c.count(r.text))
+        assert r.head == (r.text if r.text is None else "".join(c.pieces(r.text, 5)[:1]))
+    assert c.count("Hello world") == 2 and c.pieces("a b c d e f g", 3) == ["a b c", " d e f", " g"]
 
 
 def test_merge_and_rollback(spark):
