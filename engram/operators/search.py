@@ -78,7 +78,22 @@ def entity_text_channel(entities: DataFrame, claims: DataFrame, query: WebQuery,
     hits = joined.withColumn("__t", tokens(F.concat_ws(" ", "name", "predicate", "value"))).filter(query.matches(F.col("__t")))
     text = ordered_text(F.concat(F.col("predicate"), F.lit(": "), F.col("value")), -F.unix_micros("observed_at"), -F.col("id"))
     grouped = hits.groupBy("entity_id", "name").agg(text.alias("claims"), F.max(query.rank(F.col("__t"))).cast("double").alias("score"))
-    return grouped.select(F.concat(F.lit("entity:"), "entity_id").alias("key"), F.concat_ws(" - ", "name", "claims").alias("content"), "score").orderBy(F.desc("score"), "key").limit(limit)
+    return grouped.select(F.concat(F.lit("entity:"), "entity_id").alias("key"), F.concat_ws(": ", "name", "claims").alias("content"), "score").orderBy(F.desc("score"), "key").limit(limit)
+
+
+def full_text_channel(chunks: DataFrame, entities: DataFrame, visible_claims: DataFrame, query: WebQuery, caller: Caller, limit: int) -> DataFrame:
+    """(key, content, score): the best of matching chunks and of entities with a matching claim, `limit` of either and in all."""
+    both = text_channel(chunks, query, caller, limit).unionByName(entity_text_channel(entities, visible_claims, query, limit))
+    return both.orderBy(F.desc("score"), "key").limit(limit)
+
+
+def hidden_matches(chunks: DataFrame, entities: DataFrame, visible_claims: DataFrame, query: WebQuery, returned: DataFrame) -> DataFrame:
+    """(filtered_count): matching chunks of any access level and matching claims that may be seen, less the rows returned."""
+    texts = chunks.filter(F.col("source_type") != "entity").select(tokens(F.col("content")).alias("t"))
+    claims = visible_claims.filter("status = 'active'").join(entities.filter("not is_deleted").select(F.col("id").alias("entity_id"), "name"), "entity_id")
+    both = texts.union(claims.select(tokens(F.concat_ws(" ", "name", "predicate", "value")))).select(F.when(query.matches(F.col("t")), 1).otherwise(0).alias("n"))
+    counted = both.union(returned.select(F.lit(-1)))
+    return counted.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(0)).alias("filtered_count"))
 
 
 def name_channel(entities: DataFrame, visible_claims: DataFrame, query: str, limit: int, least: float = 0.1) -> DataFrame:

@@ -4,23 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.access import Caller
+from ..functions.access import rank_to_level
 from ..functions.similarity import cosine, trigram_similarity, trigrams
 from ..functions.text import fake_embedding
 from ..operators import search
+from ..operators.visibility import visible_claims
 from ..sources import bindings as b
 from ..sources.bindings import sql
 from .access import ACCESS, CLAIM_VIEWS, READER, access_of
 from .registry import query
 
-QUERY = search.WebQuery.parse("the and -trash")
+QUERY = search.WebQuery.parse("nicht or urgent priority -trash")
 DIM = 64
 PROBE = [((i * 7919) % 13 - 6) / 10 for i in range(DIM)]
 VEC = "[" + ", ".join(f"{x}::DOUBLE" for x in PROBE) + "]"
 TOK = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 SEEN = "access_level IN ('public', 'channel') AND source_type <> 'entity'"
 VECTOR = f"SELECT source_type || ':' || id AS key, content, round(list_cosine_similarity(embedding::DOUBLE[], {VEC}), 6) AS score FROM v_vectors WHERE {SEEN} ORDER BY score DESC, key LIMIT 20"
-TEXT = f"SELECT key, content, len(list_filter(t, lambda x: x IN ('the', 'and')))::DOUBLE AS score FROM (SELECT source_type || ':' || id AS key, content, {TOK.format('content')} AS t FROM v_vectors WHERE {SEEN}) WHERE list_contains(t, 'the') AND list_contains(t, 'and') AND NOT list_contains(t, 'trash') ORDER BY score DESC, key LIMIT 20"
+HIT = "(list_contains(t, 'nicht') OR (list_contains(t, 'urgent') AND list_contains(t, 'priority') AND NOT list_contains(t, 'trash')))"
+RANK = "len(list_filter(t, lambda x: x IN ('nicht', 'urgent', 'priority')))::DOUBLE"
+JOINED = f"j AS (SELECT c.entity_id, e.name, c.predicate, c.value, c.observed_at, c.id, {TOK.format("e.name || ' ' || c.predicate || ' ' || c.value")} AS t FROM v_claims c JOIN access a ON a.claim_id = c.id JOIN v_entities e ON e.id = c.entity_id WHERE a.max_tier_rank <= 1 AND c.status = 'active' AND NOT e.is_deleted)"
+MATCH = f"{ACCESS}, {JOINED}"
+
+
+def text_sql(limit: int = 20) -> str:
+    chunks = f"SELECT key, content, {RANK} AS score FROM (SELECT source_type || ':' || id AS key, content, {TOK.format('content')} AS t FROM v_vectors WHERE {SEEN}) WHERE {HIT} ORDER BY score DESC, key LIMIT {limit}"
+    entities = f"SELECT 'entity:' || entity_id AS key, name || ': ' || string_agg(predicate || ': ' || value, '; ' ORDER BY observed_at DESC, id DESC) AS content, max({RANK}) AS score FROM j WHERE {HIT} GROUP BY entity_id, name ORDER BY score DESC, key LIMIT {limit}"
+    return f"SELECT * FROM (SELECT * FROM ({chunks}) UNION ALL SELECT * FROM ({entities})) ORDER BY score DESC, key LIMIT {limit}"
+
+
+TEXT = text_sql()
 GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 NAME = "Customer#000000123"
 SIM = f"(len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))))"
@@ -32,14 +45,16 @@ def vector_rows(spark, d, limit=20):
     return search.vector_channel(b.vectors(spark, d), PROBE, READER, limit)
 
 
+def seen_claims(spark, d):
+    return visible_claims(b.claims(spark, d), access_of(spark, d), READER)
+
+
 def text_rows(spark, d, limit=20):
-    return search.text_channel(b.vectors(spark, d), QUERY, READER, limit)
+    return search.full_text_channel(b.vectors(spark, d), b.entities(spark, d), seen_claims(spark, d), QUERY, READER, limit)
 
 
 def name_rows(spark, d, limit=20):
-    from ..operators.visibility import visible_claims
-
-    return search.name_channel(b.entities(spark, d), visible_claims(b.claims(spark, d), access_of(spark, d), READER), NAME, limit)
+    return search.name_channel(b.entities(spark, d), seen_claims(spark, d), NAME, limit)
 
 
 @query("op_x7", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {VEC}), 6) AS similarity FROM embeddings")
@@ -64,9 +79,9 @@ def vector_channel(spark, d):
     return vector_rows(spark, d)
 
 
-@query("op_e2", sql(TEXT, "v_vectors"))
+@query("op_e2", sql(f"{MATCH} {text_sql(400)}", *CLAIM_VIEWS, "v_entities", "v_vectors"))
 def text_channel(spark, d):
-    return text_rows(spark, d)
+    return text_rows(spark, d, 400)
 
 
 @query("op_x9", f"SELECT doc_id FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents) WHERE (list_contains(t, 'the') AND list_contains(t, 'and') AND NOT list_contains(t, 'trash')) OR (list_contains(t, 'de') AND contains(' ' || array_to_string(t, ' ') || ' ', ' de la '))")
@@ -76,21 +91,15 @@ def web_search(spark, d):
     return t.filter(q.matches(F.col("t"))).select("doc_id")
 
 
-@query("op_x10", f"SELECT doc_id, len(list_filter({TOK.format('text')}, lambda x: x IN ('the', 'and')))::BIGINT AS rank FROM documents")
+@query("op_x10", f"SELECT doc_id, len(list_filter({TOK.format('text')}, lambda x: x IN ('nicht', 'urgent', 'priority')))::BIGINT AS rank FROM documents")
 def text_rank(spark, d):
     t = b.table(spark, d, "documents").select("doc_id", search.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", QUERY.rank(F.col("t")).cast("bigint").alias("rank"))
 
 
-MATCH = f"{ACCESS}, j AS (SELECT c.entity_id, e.name, c.predicate, c.value, c.observed_at, c.id, {TOK.format("e.name || ' ' || c.predicate || ' ' || c.value")} AS t FROM v_claims c JOIN access a ON a.claim_id = c.id JOIN v_entities e ON e.id = c.entity_id WHERE a.max_tier_rank <= 1 AND c.status = 'active' AND NOT e.is_deleted)"
-
-
-@query("op_j7", sql(f"{MATCH} SELECT 'entity:' || entity_id AS key, name || ' - ' || string_agg(predicate || ': ' || value, '; ' ORDER BY observed_at DESC, id DESC) AS content, max(len(list_filter(t, lambda x: x IN ('urgent', 'priority'))))::DOUBLE AS score FROM j WHERE list_contains(t, 'urgent') AND list_contains(t, 'priority') GROUP BY entity_id, name ORDER BY score DESC, key LIMIT 30", *CLAIM_VIEWS, "v_entities"))
+@query("op_j7", sql(f"{MATCH} SELECT 'entity:' || entity_id AS key, name || ': ' || string_agg(predicate || ': ' || value, '; ' ORDER BY observed_at DESC, id DESC) AS content, max(len(list_filter(t, lambda x: x IN ('urgent', 'priority'))))::DOUBLE AS score FROM j WHERE list_contains(t, 'urgent') AND list_contains(t, 'priority') GROUP BY entity_id, name ORDER BY score DESC, key LIMIT 30", *CLAIM_VIEWS, "v_entities"))
 def entity_text(spark, d):
-    from ..operators.visibility import visible_claims
-
-    seen = visible_claims(b.claims(spark, d), access_of(spark, d), READER)
-    return search.entity_text_channel(b.entities(spark, d), seen, search.WebQuery.parse("urgent priority"), 30)
+    return search.entity_text_channel(b.entities(spark, d), seen_claims(spark, d), search.WebQuery.parse("urgent priority"), 30)
 
 
 @query("op_e3", sql(f"{ACCESS}, {NAMES} {NAME_ROWS}", *CLAIM_VIEWS, "v_entities"))
@@ -104,18 +113,19 @@ def candidates_with_claims(spark, d):
     return rows.select(F.substring("key", 8, 100).alias("id"), F.regexp_replace("content", "^.*? - ", "").alias("claims"))
 
 
-@query("op_w2", sql(f", t AS ({TEXT}) SELECT key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM t", "v_vectors"))
+@query("op_w2", sql(f"{MATCH}, t AS ({TEXT}) SELECT key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM t", *CLAIM_VIEWS, "v_entities", "v_vectors"))
 def channel_ranks(spark, d):
     return search.ranked(text_rows(spark, d), "fts", 1).select("key", "rank")
 
 
-@query("op_u1", sql(f"SELECT key, score FROM ({TEXT}) UNION ALL SELECT key, score FROM ({VECTOR})", "v_vectors"))
+@query("op_u1", sql(f"{MATCH} SELECT key, score FROM ({text_sql(400)})", *CLAIM_VIEWS, "v_entities", "v_vectors"))
 def union_of_hits(spark, d):
-    return text_rows(spark, d).select("key", "score").unionByName(vector_rows(spark, d).select("key", "score"))
+    """Hits in chunks and in entities, which the text channel joins."""
+    return text_rows(spark, d, 400).select("key", "score")
 
 
 RANKED = ", ".join(f"r{i} AS (SELECT key, content, row_number() OVER (ORDER BY score DESC, key) AS rank, '{n}' AS channel, {i} AS priority FROM ({q}) x)" for i, (n, q) in enumerate((("vector", VECTOR), ("fts", TEXT), ("entity_name", NAME_ROWS))))
-FUSED = f"{ACCESS}, {NAMES}, {RANKED}, rows AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2), fused AS (SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, arg_min(content, priority) AS content, string_agg(channel, ',' ORDER BY priority) AS channels, min(struct_pack(p := priority, r := rank)) AS f FROM rows GROUP BY key)"
+FUSED = f"{MATCH}, {NAMES}, {RANKED}, rows AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2), fused AS (SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, arg_min(content, priority) AS content, string_agg(channel, ',' ORDER BY priority) AS channels, min(struct_pack(p := priority, r := rank)) AS f FROM rows GROUP BY key)"
 
 
 def fused(spark, d, limit=15, keep=None):
@@ -160,32 +170,36 @@ def citations(spark, d):
     return search.valid_citations(cited, included)
 
 
-@query("op_a9", sql(f", vis AS (SELECT count(*) AS returned FROM ({TEXT})) SELECT (SELECT count(*) FROM (SELECT {TOK.format('content')} AS t FROM v_vectors WHERE source_type <> 'entity') WHERE list_contains(t, 'the') AND list_contains(t, 'and') AND NOT list_contains(t, 'trash')) - returned AS filtered_count FROM vis", "v_vectors"))
+@query("op_a9", sql(f"{MATCH}, m AS (SELECT t FROM j UNION ALL SELECT {TOK.format('content')} FROM v_vectors WHERE source_type <> 'entity') SELECT greatest((SELECT count(*) FROM m WHERE {HIT}) - (SELECT count(*) FROM ({TEXT})), 0) AS filtered_count", *CLAIM_VIEWS, "v_entities", "v_vectors"))
 def filtered_count(spark, d):
-    v = b.vectors(spark, d).filter("source_type <> 'entity'").select(search.tokens(F.col("content")).alias("t"))
-    matched = v.agg(F.count_if(QUERY.matches(F.col("t"))).alias("matched"), F.lit(1).alias("k"))
-    return matched.join(text_rows(spark, d).agg(F.count("*").alias("returned"), F.lit(1).alias("k")), "k").select(F.greatest(F.col("matched") - F.col("returned"), F.lit(0)).alias("filtered_count"))
+    return search.hidden_matches(b.vectors(spark, d), b.entities(spark, d), seen_claims(spark, d), QUERY, text_rows(spark, d))
+
+
+VEC_OF = "list_transform(range(0, 64), lambda i: ('0x' || substr(sha256({0}), (i % 32 * 2 + 1)::INT, 2))::INT / 255.0::DOUBLE)"
+SHOWN = "array_to_string(list_transform({0}, lambda x: round(x, 4)::DECIMAL(10,4)::VARCHAR), ',')"
 
 
-@query("op_x29", "SELECT doc_id, ('0x' || substr(sha256(text), 1, 2))::INT / 255.0::DOUBLE AS first, ('0x' || substr(sha256(text), 63, 2))::INT / 255.0::DOUBLE AS last FROM documents")
+def shown(vector):
+    """A vector as text, so that every place of it is compared."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x, 4).cast("decimal(10,4)").cast("string")), ",")
+
+
+@query("op_x29", f"SELECT doc_id, {SHOWN.format(VEC_OF.format('text'))} AS vector FROM documents")
 def fake_vectors(spark, d):
-    v = b.table(spark, d, "documents").select("doc_id", fake_embedding(F.col("text")).alias("e"))
-    return v.select("doc_id", F.element_at("e", 1).alias("first"), F.element_at("e", 32).alias("last"))
+    return b.table(spark, d, "documents").select("doc_id", shown(fake_embedding(F.col("text"))).alias("vector"))
 
 
-@query("op_e6", sql("SELECT 'entity' AS source_type, id, name AS content FROM v_entities WHERE NOT is_deleted UNION ALL SELECT 'claim', id::VARCHAR, predicate || ': ' || value FROM v_claims WHERE status = 'active'", "v_entities", "v_claims"))
+@query("op_e6", sql(f", x AS (SELECT 'entity' AS source_type, id, name AS content, 'public' AS access_level FROM v_entities WHERE NOT is_deleted UNION ALL SELECT 'claim', c.id::VARCHAR, c.predicate || ': ' || c.value, CASE a.max_tier_rank WHEN 0 THEN 'public' WHEN 1 THEN 'channel' WHEN 2 THEN 'private' ELSE 'restricted' END FROM v_claims c JOIN access a ON a.claim_id = c.id WHERE c.status = 'active') SELECT source_type, id, content, access_level, {SHOWN.format(VEC_OF.format('content'))} AS vector FROM x".replace(", x AS", f"{ACCESS}, x AS", 1), *CLAIM_VIEWS, "v_entities"))
 def embed_after_run(spark, d):
-    e = b.entities(spark, d).filter("not is_deleted").select(F.lit("entity").alias("source_type"), "id", F.col("name").alias("content"))
-    c = b.claims(spark, d).filter("status = 'active'").select(F.lit("claim").alias("source_type"), F.col("id").cast("string").alias("id"), F.concat("predicate", F.lit(": "), "value").alias("content"))
-    both = e.unionByName(c).withColumn("embedding", fake_embedding(F.col("content")))
-    return both.filter(F.size("embedding") == DIM).select("source_type", "id", "content")
+    """Rows to embed after a run: live entities, and active claims at the level of their least visible source."""
+    e = b.entities(spark, d).filter("not is_deleted").select(F.lit("entity").alias("source_type"), "id", F.col("name").alias("content"), F.lit("public").alias("access_level"))
+    c = b.claims(spark, d).filter("status = 'active'").join(access_of(spark, d).select(F.col("claim_id").alias("id"), "max_tier_rank"), "id")
+    c = c.select(F.lit("claim").alias("source_type"), F.col("id").cast("string").alias("id"), F.concat("predicate", F.lit(": "), "value").alias("content"), rank_to_level(F.col("max_tier_rank")).alias("access_level"))
+    return e.unionByName(c).withColumn("vector", shown(fake_embedding(F.col("content"))))
 
 
-@query("op_e7", "SELECT d.doc_id, e.embedding IS NULL AS backfilled FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+@query("op_e7", f"SELECT d.doc_id, e.embedding IS NULL AS backfilled, CASE WHEN e.embedding IS NULL THEN {SHOWN.format(VEC_OF.format('d.text'))} END AS vector FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
 def embedding_backfill(spark, d):
     docs, v = b.table(spark, d, "documents").select("doc_id", "text"), b.table(spark, d, "embeddings")
-    j = docs.join(v, docs.doc_id == v.vec_id, "left").withColumn("filled", F.coalesce(F.col("embedding").cast("array<double>"), fake_embedding(F.col("text"))))
-    return j.filter(F.size("filled") == DIM).select("doc_id", F.col("embedding").isNull().alias("backfilled"))
-
-
-CALLER = Caller(0, ("read",))
+    j = docs.join(v, docs.doc_id == v.vec_id, "left")
+    return j.select("doc_id", F.col("embedding").isNull().alias("backfilled"), F.when(F.col("embedding").isNull(), shown(fake_embedding(F.col("text")))).alias("vector"))
