@@ -125,16 +125,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed:
     cut = cut.alias("c").join(at_cut.alias("a"), F.expr("c.source <=> a.source"), "left")
     cut = Scratch(docs.sparkSession, "mixed").table(cut.select("c.source", epochs, place, whole, part), "cuts")
 
-    own = docs.alias("d").join(small(cut, 256).alias("c"), F.expr("d.source <=> c.source")).filter(F.col("d.text").rlike(WORD))
+    own = docs.alias("d").join(small(cut, 256).alias("c"), F.expr("d.source <=> c.source"))
     key, at = _key(seed, "d.doc_id"), F.col(f"c.{place}")
     size = F.regexp_count("d.text", F.lit(WORD)).cast("bigint")
     own_place = F.struct(key.alias("key"), F.col("d.doc_id").alias("doc_id"), size.alias("size"), _row_hash(docs, "d.").alias(place))
     before = F.when(at.isNull(), F.lit(False)).when(key != at["key"], key < at["key"]).otherwise(own_place < at)
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
     times = F.col(f"c.{epochs}") + F.when(before, 1).otherwise(0)
-    often = own.select(*columns, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(copy)).select([f"`{c}`" for c in docs.columns])
+    often = own.filter(F.col("d.text").rlike(WORD)).select(*columns, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(copy)).select([f"`{c}`" for c in docs.columns])
 
-    tied = own.filter((key == at["key"]) & (own_place == at)).groupBy("c.source").agg(F.first(F.struct(*columns)).alias(place), F.first(F.coalesce(whole, F.lit(0))).alias(whole), F.first(F.coalesce(part, F.lit(0))).alias(part))
+    tied = own.filter(F.when(key == at["key"], own_place == at)).groupBy("c.source").agg(F.first(F.struct(*columns)).alias(place), F.first(F.coalesce(whole, F.lit(0))).alias(whole), F.first(F.coalesce(part, F.lit(0))).alias(part))
     tied = tied.withColumn(copy, F.explode(F.sequence(F.lit(1), (F.col(whole) + F.when(F.col(part) > 0, 1).otherwise(0)).cast("int"))))
     text = F.col(f"{place}.text")
     cut_text = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col(part).cast("int")), " ")
