@@ -31,7 +31,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), 0.0).otherwise(F.nanvl(F.coalesce(raw, F.lit(0.0)), F.lit(0.0)))
 
 
-def _jaro_winkler(a: str | None, b: str | None) -> float | None:
+def jaro_winkler_of(a: str | None, b: str | None) -> float | None:
     if a is None or b is None:
         return None
     if a == b:
@@ -63,7 +63,7 @@ def _jaro_winkler(a: str | None, b: str | None) -> float | None:
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity with the prefix boost above 0.7."""
-    return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def _lcs(a: str, b: str) -> int:
@@ -87,3 +87,36 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def composite(cos: Column, name: Column, same_run: Column, same_owner: Column) -> Column:
     """Ordering score of a pair in a batch; never a filter."""
     return 0.4 * cos + 0.3 * name + 0.2 * same_run.cast("double") + 0.1 * same_owner.cast("double")
+
+
+def ratio(a: str, b: str) -> float:
+    """2 * longest common subsequence / total length; 1 for two empty strings."""
+    return 2 * _lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter string with a window of its length in the longer one; windows may hang over either end."""
+    a, b = sorted((a, b), key=len)
+    if not a:
+        return float(not b)
+    both = lambda x, y: max((ratio(x, y[max(0, i) : i + len(x)]) for i in range(1 - len(x), len(y))), default=0.0)
+    return max(both(a, b), both(b, a)) if len(a) == len(b) else both(a, b)
+
+
+def weighted_ratio(a: str, b: str) -> float:
+    """The best of whole, word-wise and partial ratios; the latter weigh less, and count only for lengths that differ by half or more."""
+    if not a or not b:
+        return 0.0
+    x, y = a.split(), b.split()
+    common, only_x, only_y = (sorted(w) for w in (set(x) & set(y), set(x) - set(y), set(y) - set(x)))
+    sect, rest_x, rest_y = " ".join(common), " ".join(only_x), " ".join(only_y)
+    x, y = " ".join(sorted(x)), " ".join(sorted(y))
+    lengths = max(len(a), len(b)) / min(len(a), len(b))
+    if lengths < 1.5:
+        full_x, full_y = f"{sect} {rest_x}".strip(), f"{sect} {rest_y}".strip()
+        by_set = [ratio(full_x, full_y)] if only_x and only_y else [1.0] if common else [0.0]
+        by_set += [ratio(sect, full_x), ratio(sect, full_y)] if common else []
+        return max(ratio(a, b), 0.95 * max(ratio(x, y), *by_set))
+    weight = 0.9 if lengths <= 8 else 0.6
+    by_word = 1.0 if common else max(partial_ratio(x, y), partial_ratio(rest_x, rest_y))
+    return max(ratio(a, b), weight * partial_ratio(a, b), 0.95 * weight * by_word)

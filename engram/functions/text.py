@@ -54,6 +54,11 @@ DOMAIN_TYPES = {
 }
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 URL = r"""https?://[^\s<>"']+"""
+#: White space at either end, of any alphabet.
+BLANK = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+#: Russian letters that one Latin letter stands for, and those that take several.
+CYRILLIC = ("абвгдеёзийклмнопрстуфхыэъь", "abvgdeezijklmnoprstufhye''")
+CYRILLIC_PAIRS = (("ж", "zh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "sch"), ("ю", "ju"), ("я", "ja"))
 TRIMMED = " _-.,;:()[]{}'\""
 
 
@@ -63,9 +68,22 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def strip(text: Column) -> Column:
+    """Without white space, of any alphabet, at both ends."""
+    return F.regexp_replace(text, BLANK, "")
+
+
 def normalize_name(name: Column, unicode: bool = True) -> Column:
-    """Compatibility form, trimmed, lower-cased, without format characters; `unicode=False` skips the first step."""
-    return F.regexp_replace(F.lower(F.trim(nfkc(name) if unicode else name)), r"\p{Cf}", "")
+    """Compatibility form, stripped of white space, lower-cased, without format characters; `unicode=False` skips the first step."""
+    return F.regexp_replace(F.lower(strip(nfkc(name) if unicode else name)), r"\p{Cf}", "")
+
+
+def transliterate(name: Column) -> Column:
+    """A name, normalised, with Russian letters in Latin ones."""
+    latin = F.translate(normalize_name(name), *CYRILLIC)
+    for letter, letters in CYRILLIC_PAIRS:
+        latin = F.replace(latin, F.lit(letter), F.lit(letters))
+    return latin
 
 
 def sanitize(text: Column, max_chars: int = MAX_CHARS, unicode: bool = True) -> Column:
@@ -74,7 +92,8 @@ def sanitize(text: Column, max_chars: int = MAX_CHARS, unicode: bool = True) ->
 
 
 def any_match(text: Column, patterns) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(text.rlike(p), F.lit(False)) for p in patterns])
+    """Whether any pattern occurs; white space, letters and case are those of Unicode."""
+    return reduce(lambda a, b: a | b, [F.coalesce(text.rlike(f"(?U){p}"), F.lit(False)) for p in patterns])
 
 
 def injected(text: Column) -> Column:
@@ -84,7 +103,7 @@ def injected(text: Column) -> Column:
 def sanitize_context(text: Column, unicode: bool = True) -> Column:
     """Cut instruction-like phrases from the normalised text; a text without any stays as it is."""
     view = F.regexp_replace(nfkc(text) if unicode else text, r"\p{Cf}", "")
-    cut = reduce(lambda t, p: F.regexp_replace(t, p, "[REDACTED]"), REDACTED, view)
+    cut = reduce(lambda t, p: F.regexp_replace(t, f"(?U){p}", "[REDACTED]"), REDACTED, view)
     return F.when(any_match(view, REDACTED), cut).otherwise(text)
 
 

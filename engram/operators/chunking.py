@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.text import strip
 from ..functions.tokens import VOCABULARY, Counter, count_tokens, counter
 from ..sources.jsonl import messages
 from .listing import ordered_text
@@ -23,7 +24,6 @@ from .listing import ordered_text
 MAX_TOKENS = 3000
 EMOJI_ONLY = r"(?U)\A\s*[\p{So}\p{Sk}\p{Sm}\x{200d}\x{fe0f}\x{fe0e}]+\s*\z"
 LINES = r"\R|[\x1c-\x1e]"
-BLANK = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 SPEAKER = r"(?U)\A[\[({]?\s*(\w[\w\s]*)[\])}]?\s*:"
 AUTHOR = r"(?U)\A(<@\w+>|\w[\w\s]*):\s*(.*)\z"
 
@@ -33,11 +33,6 @@ def estimate_tokens(text: Column | str) -> Column:
     return F.floor(F.char_length(text) / 4)
 
 
-def strip(text: Column) -> Column:
-    """Without white space, of any alphabet, at both ends."""
-    return F.regexp_replace(text, BLANK, "")
-
-
 def author_groups(df: DataFrame, key: str | list[str], order: str, author: str, island: str = "island") -> DataFrame:
     """Number the runs of consecutive rows by one author, from 1."""
     w = Window.partitionBy(key).orderBy(order)

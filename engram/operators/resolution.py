@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import cosine, jaro_winkler
+from ..functions.similarity import jaro_winkler_of, weighted_ratio
+from ..functions.text import normalize_name, transliterate
 
 MERGE, ASK = 0.92, 0.85
 BATCH = 9
+#: Rows of a block in an exact search against all rows.
+CELL_ROWS = 2048
 
 
 def batch_numbers(df: DataFrame, kind: str, size: int, *order: Column) -> DataFrame:
@@ -21,32 +28,214 @@ def batch_numbers(df: DataFrame, kind: str, size: int, *order: Column) -> DataFr
     return numbered.filter("__n > 1").withColumn("batch", batch).drop("__n", "__rn")
 
 
-def shortlist(entities: DataFrame, k: int = 5, threshold: float = 0.9) -> DataFrame:
+def in_cells(left: DataFrame, right: DataFrame, on: str, id_left: str, id_right: str, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, rows: int = CELL_ROWS) -> DataFrame:
+    """What `compare` finds in every block of `left` against every block of `right` of the same `on`, `rows` rows each, about.
+
+    An exact search against all rows. A task holds two blocks; `compare` returns
+    what it looks for, such as the best few of each row, and not the pairs.
+    """
+
+    right = right.select([F.col(c).alias(c) for c in right.columns])  # `left` again has columns of its own
+
+    def blocks(df: DataFrame) -> DataFrame:
+        return df.groupBy(on).agg(F.ceil(F.count("*") / rows).cast("int").alias("__n"))
+
+    sizes = blocks(left).withColumnRenamed("__n", "__i").join(blocks(right).withColumnRenamed("__n", "__j"), on)
+    name = lambda df, key, own, other: df.join(sizes, on).withColumns({own: F.pmod(F.xxhash64(key), own).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+    a, b = name(left, id_left, "__i", "__j").groupBy(on, "__i", "__j"), name(right, id_right, "__j", "__i").groupBy(on, "__i", "__j")
+    return a.cogroup(b).applyInPandas(compare, schema)
+
+
+def shortlist(entities: DataFrame, k: int = 5, threshold: float = 0.9, rows: int = CELL_ROWS) -> DataFrame:
     """(a, b, similarity): of each entity (id, entity_type, name, embedding) its `k` nearest of the same type at `threshold` or more, as canonical pairs.
 
-    Names of fewer than four characters and type-less entities take no part.
+    Exact: blocks of a type are multiplied with each other, and each row's best
+    `k` of a block stay. Similarities are compared to nine decimals, then by id.
+    Names of fewer than four characters and type-less entities take no part, nor
+    do null vectors; vectors of different lengths have no similarity.
     """
-    e = entities.filter((F.length("name") >= 4) & (F.col("entity_type") != "unknown")).select("id", "entity_type", "embedding")
-    other = e.select(F.col("id").alias("other"), "entity_type", F.col("embedding").alias("__e"))
-    scored = e.join(other, "entity_type").filter("id <> other").select("id", "other", cosine(F.col("embedding"), F.col("__e")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    e = entities.filter((F.length("name") >= 4) & (F.col("entity_type") != "unknown") & F.col("embedding").isNotNull())
+    e = e.select("id", F.concat_ws(":", F.size("embedding").cast("string"), "entity_type").alias("kind"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda df: (x := np.array(df["embedding"].tolist(), float)) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["id", "other", "similarity"])
+        score = np.nan_to_num(np.round(unit(left) @ unit(right).T, 9), nan=0.0)
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        score[(ids[:, None] == others[None, :]) | (score < threshold)] = -2
+        order = np.lexsort((np.broadcast_to(others, score.shape), -score), axis=1)[:, :k]
+        top = np.take_along_axis(score, order, axis=1)
+        at, place = np.nonzero(top >= threshold)
+        return pd.DataFrame({"id": ids[at], "other": others[order[at, place]], "similarity": top[at, place]})
+
+    kind = dict(e.dtypes)["id"]
+    scored = in_cells(e, e, "kind", "id", "id", best, f"id {kind}, other {kind}, similarity double", rows)
     near = scored.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("__r") <= k)
     return near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def fuzzy_candidates(mentions: DataFrame, names: DataFrame, block: int = 2) -> DataFrame:
-    """(mention_id, entity_id, score): the best Jaro-Winkler match of every mention among names with a common `block`-gram.
+def _bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """Upper bounds of the Jaro-Winkler similarity of every pair, from lengths, common characters and common beginnings."""
+    letters = {c: i for i, c in enumerate(sorted(set("".join(a) + "".join(b))))}
+
+    def counted(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), max(len(letters), 1)), np.int32)
+        for i, t in enumerate(texts):
+            for c in t:
+                out[i, letters[c]] += 1
+        return out
+
+    x, y = counted(a), counted(b)
+    common = sum(((x >= n).astype(np.float32) @ (y >= n).astype(np.float32).T for n in range(1, min(x.max(initial=0), y.max(initial=0)) + 1)), np.zeros((len(a), len(b)), np.float32)).astype(float)
+    la, lb = (np.maximum(np.array([len(t) for t in texts], float), 1) for texts in (a, b))
+    jaro = np.where(common > 0, (common / la[:, None] + common / lb[None, :] + 1) / 3, 0)
+    heads = [np.array([[ord(c) for c in t[:4].ljust(4, "\0")] for t in texts], np.int32).reshape(len(texts), 4) for texts in (a, b)]
+    prefix = np.cumprod(heads[0][:, None, :] == heads[1][None, :, :], axis=2).sum(axis=2)
+    return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro) + 1e-9
+
+
+def nearest_names(mentions: DataFrame, names: DataFrame, rows: int = CELL_ROWS) -> DataFrame:
+    """(mention_id, entity_id, score): of each mention (mention_id, mention, latin) the most similar name (entity_id, name, latin), then the smallest id.
+
+    The score is the best Jaro-Winkler similarity of the two as they are and of
+    either one in Latin letters with the other as it is. Exact: a pair is scored
+    unless its bound is below the best so far. Null names take no part.
+    """
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            texts = [(left[c].tolist(), right[d].tolist()) for c, d in (("mention", "name"), ("latin", "name"), ("mention", "latin"))]
+            bound = np.max([_bounds(a, b) for a, b in texts], axis=0)
+            ids = right["entity_id"].tolist()
+            for i, mention_id in enumerate(left["mention_id"].tolist()):
+                top = None
+                for j in np.argsort(-bound[i], kind="stable").tolist():
+                    if top is not None and bound[i, j] < -top[0]:
+                        break
+                    found = (-max(jaro_winkler_of(x, y) for x, y in {(a[i], b[j]) for a, b in texts}), ids[j])
+                    top = found if top is None else min(top, found)
+                out.append((mention_id, top[1], -top[0]))
+        return pd.DataFrame(out, columns=["mention_id", "entity_id", "score"])
+
+    one = F.lit(1).alias("__all")
+    m = mentions.filter("mention is not null").select(one, "mention_id", "mention", F.coalesce("latin", "mention").alias("latin"))
+    n = names.filter("name is not null").select(one, "entity_id", "name", F.coalesce("latin", "name").alias("latin"))
+    kinds = f"mention_id {dict(m.dtypes)['mention_id']}, entity_id {dict(n.dtypes)['entity_id']}, score double"
+    scored = in_cells(m, n, "__all", "mention_id", "entity_id", best, kinds, rows)
+    found = scored.groupBy("mention_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "entity_id")).alias("b"))
+    return found.select("mention_id", F.col("b.entity_id").alias("entity_id"), (-F.col("b.s")).alias("score"))
+
 
-    A score of 0.85 or more needs most characters in common, so a pair without
-    any common pair of neighbouring characters is not lost above that band
-    except for names of fewer than five characters.
+Verifier = Callable[[str, str], bool]
+
+
+def share_a_word(a: str, b: str) -> bool:
+    """The verifier where no model is plugged in: two names with a common word of three letters or more."""
+    return bool({w for w in a.split() if len(w) > 2} & {w for w in b.split() if len(w) > 2})
+
+
+def resolve_runs(mentions: DataFrame, names: DataFrame, verify: Verifier = share_a_word, rows: int = CELL_ROWS) -> DataFrame:
+    """(run_id, seq, mention, entity_id, is_new, action, score): mentions (run_id, seq, mention) resolved against names (entity_id, name, is_alias).
+
+    In turn: an equal name, an equal alias, the most similar name or alias (from
+    four characters on) at 0.92 or more, or at 0.85 or more if `verify` agrees,
+    or else a new entity, named after the mention. Mentions of one run are
+    resolved in order, and later ones see the entities that earlier ones made;
+    a run is what was extracted from one event, so a task holds whole runs.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - block + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(block))))
-    m = mentions.select("mention_id", F.col("mention"), F.explode(grams(F.col("mention"))).alias("__g"))
-    n = names.select("entity_id", "name", F.explode(grams(F.col("name"))).alias("__g"))
-    pairs = m.join(n, "__g").select("mention_id", "mention", "entity_id", "name").distinct()
-    scored = pairs.select("mention_id", "entity_id", jaro_winkler("mention", "name").alias("score"))
-    best = scored.groupBy("mention_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "entity_id")).alias("b"))
-    return best.select("mention_id", F.col("b.entity_id").alias("entity_id"), (-F.col("b.s")).alias("score"))
+    known = names.select(F.col("entity_id").cast("string").alias("entity_id"), normalize_name(F.col("name")).alias("name"), "is_alias").filter("name <> ''")
+    exact = known.groupBy("name").agg(F.min(F.struct("is_alias", "entity_id")).alias("__x"))
+    m = mentions.select("run_id", "seq", "mention", normalize_name(F.col("mention")).alias("__norm"))
+    m = m.join(exact.withColumnRenamed("name", "__norm"), "__norm", "left")
+    distinct = m.filter("__x is null and char_length(__norm) >= 4").select(F.col("__norm").alias("mention_id")).distinct()
+    near = nearest_names(distinct.select("mention_id", F.col("mention_id").alias("mention"), transliterate(F.col("mention_id")).alias("latin")), known.select("entity_id", "name", transliterate(F.col("name")).alias("latin")), rows)
+    near = near.join(known.groupBy("entity_id").agg(F.min("name").alias("__their")), "entity_id").select(F.col("mention_id").alias("__norm"), F.col("entity_id").alias("__near"), F.col("score").alias("__score"), "__their")
+    m = m.join(near, "__norm", "left").withColumn("__latin", transliterate(F.col("__norm")))
+
+    def one_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made: dict[str, str] = {}
+        latin: dict[str, str] = {}
+        out = []
+        for r in pdf.sort_values("seq").itertuples():
+            norm, x = r.norm or "", r.x
+            entity, new, action, score = None, False, "exact", 1.0
+            if isinstance(x, str):
+                entity, action = x[1:], "alias" if x[0] == "1" else "exact"
+            elif norm in made:
+                entity = made[norm]
+            else:
+                best = (float(r.score), r.near, r.their) if isinstance(r.near, str) else (0.0, None, "")
+                if len(norm) >= 4:
+                    for name, made_id in made.items():
+                        s = max(jaro_winkler_of(a, b) for a, b in {(norm, name), (r.latin, name), (norm, latin[name])})
+                        if s > best[0]:
+                            best = (s, made_id, name)
+                score = best[0]
+                if best[1] is not None and score >= MERGE:
+                    entity, action = best[1], "merged"
+                elif best[1] is not None and score >= ASK and verify(norm, best[2]):
+                    entity, action = best[1], "verified"
+                else:
+                    entity, new, action = f"new:{r.run_id}:{r.seq}", True, "created"
+                    made[norm], latin[norm] = entity, r.latin
+            out.append((r.run_id, r.seq, r.mention, entity, new, action, score))
+        return pd.DataFrame(out, columns=["run_id", "seq", "mention", "entity_id", "is_new", "action", "score"])
+
+    kinds = dict(mentions.dtypes)
+    rows_of = m.select("run_id", "seq", "mention", F.col("__norm").alias("norm"), F.concat(F.col("__x.is_alias").cast("int").cast("string"), F.col("__x.entity_id")).alias("x"), F.col("__near").alias("near"), F.col("__score").alias("score"), F.col("__their").alias("their"), F.col("__latin").alias("latin"))
+    return rows_of.groupBy("run_id").applyInPandas(one_run, f"run_id {kinds['run_id']}, seq {kinds['seq']}, mention string, entity_id string, is_new boolean, action string, score double")
+
+
+def duplicate_names(entities: DataFrame, verify: Verifier = share_a_word, sure: float = 0.85, doubtful: float = 0.70, rows: int = CELL_ROWS) -> DataFrame:
+    """(a, b, score, method): pairs of entities (id, entity_type, name) of one type whose names are the same by weighted ratio, else by transliteration, else, from `doubtful` on, by `verify`.
+
+    Names of fewer than four characters take no part. Every pair of a type is
+    scored, in blocks; only those that are the same come out. Pairs are (smaller
+    id, larger id).
+    """
+    e = entities.filter(F.length("name") >= 4).select("id", "entity_type", "name", transliterate(F.col("name")).alias("latin"))
+
+    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        other = list(zip(right["id"], right["name"], right["latin"], strict=True))
+        for a, name, latin in zip(left["id"], left["name"], left["latin"], strict=True):
+            for b, their, their_latin in other:
+                if a >= b:
+                    continue
+                score = weighted_ratio(name, their)
+                if score >= sure:
+                    out.append((a, b, score, "fuzzy"))
+                    continue
+                across = max(jaro_winkler_of(x, y) for x, y in {(latin, their.lower()), (name.lower(), their_latin), (latin, their_latin)})
+                if across >= sure:
+                    out.append((a, b, across, "transliteration"))
+                elif max(score, across) >= doubtful and verify(name.lower(), their.lower()):
+                    out.append((a, b, max(score, across), "verified"))
+        return pd.DataFrame(out, columns=["a", "b", "score", "method"])
+
+    kind = dict(e.dtypes)["id"]
+    return in_cells(e, e, "entity_type", "id", "id", pairs, f"a {kind}, b {kind}, score double, method string", rows)
+
+
+def decide_batches(batched: DataFrame, decide: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
+    """(entity_type, batch, winner, loser): what `decide` says of each batch (rows of one entity_type and batch), as far as it is sound.
+
+    `decide` gets a batch and returns (winner, loser) ids. Ids from outside the
+    batch, a loser of its own, and a loser named twice are dropped.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, lost, out = set(pdf["id"]), set(), []
+        for winner, loser in decide(pdf):
+            if winner in ids and loser in ids and winner != loser and loser not in lost and winner not in lost:
+                lost.add(loser)
+                out.append((pdf["entity_type"].iloc[0], pdf["batch"].iloc[0], winner, loser))
+        return pd.DataFrame(out, columns=["entity_type", "batch", "winner", "loser"])
+
+    kinds = dict(batched.dtypes)
+    return batched.groupBy("entity_type", "batch").applyInPandas(run, f"entity_type string, batch bigint, winner {kinds['id']}, loser {kinds['id']}")
 
 
 def band(score: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
-from ..functions.text import slug_path
+from ..functions.text import slug_path, transliterate
 from ..operators import listing, resolution, writes
 from ..sources import bindings as b
 from ..sources.bindings import sql
@@ -167,22 +167,59 @@ def rollback(spark, d):
     return resolution.roll_back(after, audit, "id", ["entity_id"])
 
 
-@query("op_g1", sql(", x AS (SELECT s_suppkey AS mention_id, replace(s_name, '00', '0') AS mention FROM supplier), p AS (SELECT mention_id, c_custkey AS k, jaro_winkler_similarity(mention, replace(c_name, 'Customer', 'Supplier')) AS score FROM x CROSS JOIN customer WHERE c_custkey < 200), r AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, k) AS rn FROM p) SELECT mention_id, k AS entity_id, round(score, 9) AS score, CASE WHEN score >= 0.92 THEN 'merge' WHEN score >= 0.85 THEN 'ask' ELSE 'create' END AS decision FROM r WHERE rn = 1").replace(", x AS", "WITH x AS", 1))
+@query("op_g1", sql(", x AS (SELECT s_suppkey AS mention_id, replace(s_name, '00', '0') AS mention FROM supplier), p AS (SELECT mention_id, c_custkey AS k, jaro_winkler_similarity(mention, replace(c_name, 'Customer', 'Supplier')) AS score FROM x CROSS JOIN customer), r AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, k) AS rn FROM p) SELECT mention_id, k AS entity_id, round(score, 9) AS score, CASE WHEN score >= 0.92 THEN 'merge' WHEN score >= 0.85 THEN 'ask' ELSE 'create' END AS decision FROM r WHERE rn = 1").replace(", x AS", "WITH x AS", 1))
 def resolve(spark, d):
-    mentions = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("mention_id"), F.replace("s_name", F.lit("00"), F.lit("0")).alias("mention"))
-    names = b.table(spark, d, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("entity_id"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("name"))
-    best = resolution.fuzzy_candidates(mentions, names)
+    mentions = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("mention_id"), F.replace("s_name", F.lit("00"), F.lit("0")).alias("mention")).withColumn("latin", F.col("mention"))
+    names = b.table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("name")).withColumn("latin", F.col("name"))
+    best = resolution.nearest_names(mentions, names)
     return best.select("mention_id", "entity_id", F.round("score", 9).alias("score"), resolution.band(F.col("score")).alias("decision"))
 
 
+@query("op_g2")
+def resolve_runs(spark, d):
+    """Orders as runs that mention parts by edited names; later mentions of a run see what earlier ones made. Tested by sequential replay."""
+    p = b.table(spark, d, "part").select("p_partkey", "p_name")
+    x = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("p_partkey")).filter("p_partkey % 40 = 0").join(p, "p_partkey")
+    edited = F.when(F.col("seq") % 3 == 0, F.col("p_name")).when(F.col("seq") % 3 == 1, F.reverse("p_name")).otherwise(F.concat("p_name", F.lit(" x")))
+    names = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 6 == 0).alias("is_alias"))
+    return resolution.resolve_runs(x.select("run_id", "seq", edited.alias("mention")), names).withColumn("score", F.round("score", 9))
+
+
+@query("op_g8")
+def duplicate_names(spark, d):
+    """Parts of one type with alike names; tested on known pairs."""
+    p = b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("entity_type"), F.col("p_name").alias("name"))
+    return resolution.duplicate_names(p).withColumn("score", F.round("score", 9))
+
+
+@query("op_g10", "WITH p AS (SELECT s_suppkey AS id, s_nationkey::VARCHAR AS entity_type, s_acctbal AS bal, count(*) OVER (PARTITION BY s_nationkey) AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier), q AS (SELECT *, CASE WHEN n % 9 = 1 AND rn > n - 5 THEN (n - 1) // 9 ELSE (rn - 1) // 9 END AS batch FROM p WHERE n > 1), w AS (SELECT *, first_value(id) OVER (PARTITION BY entity_type, batch ORDER BY id) AS winner FROM q) SELECT entity_type, batch::BIGINT AS batch, winner, id AS loser FROM w WHERE id <> winner AND bal < 0")
+def batch_decisions(spark, d):
+    """Batches of a nation's suppliers; the decision function here merges those in debt into a batch's first."""
+    s = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("entity_type"), "s_acctbal")
+    batched = resolution.batch_numbers(s, "entity_type", resolution.BATCH, F.col("id")).withColumn("batch", F.col("batch").cast("bigint"))
+
+    def in_debt(pdf):
+        first = pdf["id"].min()
+        return [(first, i) for i in sorted(pdf["id"][pdf["s_acctbal"] < 0])] + [(first, -1)]
+
+    return resolution.decide_batches(batched, in_debt)
+
+
+@query("op_x3", sql("SELECT id, lower(name) AS latin FROM v_entities", "v_entities"))
+def transliterated(spark, d):
+    """Names spelt in Russian letters and back; tests hold every letter."""
+    russian = F.translate(F.lower("name"), "abvgdezijklmnoprstufh", "абвгдезийклмнопрстуфх")
+    return b.entities(spark, d).select("id", transliterate(russian).alias("latin"))
+
+
 @query("op_x4", "SELECT p_partkey, round(jaro_winkler_similarity(p_name, p_type), 9) AS score FROM part")
 def string_similarity(spark, d):
     return b.table(spark, d, "part").select("p_partkey", F.round(jaro_winkler("p_name", "p_type"), 9).alias("score"))
 
 
-@query("op_j9", "WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 400), s AS (SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rn FROM s WHERE s >= 0.3) SELECT least(id, other) AS a, greatest(id, other) AS b, round(max(s), 6) AS similarity FROM r WHERE rn <= 5 GROUP BY 1, 2")
+@query("op_j9", "WITH e AS (SELECT vec_id, label, embedding FROM embeddings), s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rn FROM s WHERE s >= 0.3) SELECT least(id, other) AS a, greatest(id, other) AS b, round(max(s), 6) AS similarity FROM r WHERE rn <= 5 GROUP BY 1, 2")
 def duplicate_shortlist(spark, d):
-    e = b.table(spark, d, "embeddings").filter("vec_id < 400").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("entity_type"), F.lit("some name").alias("name"), "embedding")
+    e = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("entity_type"), F.lit("some name").alias("name"), "embedding")
     return resolution.shortlist(e, 5, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -117,10 +117,10 @@ def composite_scores(spark, d):
     return v.withColumnRenamed("vec_id", "a").join(o, "a").select("a", "b", F.round(composite(cosine(F.col("embedding"), F.col("other")), F.lit(1.0), same(2), same(3)), 6).alias("score"))
 
 
-@query("op_g9", "WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 300), s AS (SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rn FROM s WHERE s >= 0.3) SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM r WHERE rn <= 5 AND id % 4 = other % 4")
+@query("op_g9", "WITH e AS (SELECT vec_id, label, embedding FROM embeddings), s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rn FROM s WHERE s >= 0.3) SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM r WHERE rn <= 5 AND id % 4 = other % 4")
 def verified_duplicates(spark, d):
     """Shortlisted pairs that the verifier accepts: here, whose aliases (id modulo 4) overlap."""
-    e = b.table(spark, d, "embeddings").filter("vec_id < 300").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("entity_type"), F.lit("some name").alias("name"), "embedding")
+    e = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("entity_type"), F.lit("some name").alias("name"), "embedding")
     return resolution.shortlist(e, 5, 0.3).filter("a % 4 = b % 4").select("a", "b")
 
 

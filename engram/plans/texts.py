@@ -157,9 +157,11 @@ def artifacts(spark, d):
     return docs(spark, d).filter(t.is_artifact_name(name)).select("doc_id")
 
 
-@query("op_f20", "SELECT page_id FROM pages WHERE length(url) <= 512 AND len(string_split(url, '/')) <= 10 AND NOT regexp_matches(url, '\\.\\.|//')")
+@query("op_f20", "SELECT page_id FROM (SELECT page_id, regexp_replace(url, '^https?://', '') || CASE WHEN page_id % 9 = 0 THEN '/../x' WHEN page_id % 9 = 1 THEN '/a/b/c/d/e/f/g/h/i/j' ELSE '' END AS path FROM pages) WHERE length(path) <= 512 AND len(string_split(path, '/')) <= 10 AND NOT regexp_matches(path, '\\.\\.|//')")
 def good_paths(spark, d):
-    return b.table(spark, d, "pages").filter(t.valid_path(F.col("url"))).select("page_id")
+    tail = F.when(F.col("page_id") % 9 == 0, "/../x").when(F.col("page_id") % 9 == 1, "/a/b/c/d/e/f/g/h/i/j").otherwise("")
+    p = b.table(spark, d, "pages").select("page_id", F.concat(F.regexp_replace("url", "^https?://", ""), tail).alias("path"))
+    return p.filter(t.valid_path(F.col("path"))).select("page_id")
 
 
 @query("op_f10", sql("SELECT id FROM v_events WHERE access_level <> 'private' OR ws = 1", "v_events"))

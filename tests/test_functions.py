@@ -81,6 +81,88 @@ def test_similarity(spark):
     assert [r.c for r in v.select(similarity.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 0.0, 0.0, 0.0]
 
 
+def test_shortlist_is_exact(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice("ab"), "name" if i % 11 else "abc", [r.gauss(0, 1) for _ in range(3)]) for i in range(70)]
+    rows += [(70, "a", "name", rows[0][3]), (71, "a", "name", [0.0] * 3), (72, "a", "name", None), (73, "unknown", "name", rows[0][3]), (74, "a", "name", [float("nan")] * 3), (75, "a", "name", [1.0])]
+    frame = spark.createDataFrame(rows, "id bigint, entity_type string, name string, embedding array<double>")
+    fine = [x for x in rows if x[1] != "unknown" and len(x[2]) >= 4 and x[3] and len(x[3]) == 3]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / max(sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5, 1e-300)
+    want = set()
+    for a in fine:
+        near = sorted((-round(cos(a[3], b[3]), 9), b[0]) for b in fine if b[0] != a[0] and b[1] == a[1] and cos(a[3], b[3]) >= 0.6)
+        want |= {(min(a[0], b), max(a[0], b)) for _, b in near[:3]}
+    for block in (2048, 9):
+        got = resolution.shortlist(frame, 3, 0.6, rows=block).collect()
+        assert {(x.a, x.b) for x in got} == want and len(got) == len(want)
+
+
+def test_nearest_names_loses_none(spark):
+    """Against every pair, with names that share no two neighbouring characters."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdef жя") for _ in range(r.randint(1, 9)))
+    names = [(i, word()) for i in range(90)] + [(90, "acbdfe"), (91, "acbd"), (92, None), (93, "")]
+    mentions = [(i, word()) for i in range(60)] + [(60, "abcdef"), (61, "abcd"), (62, None), (63, names[3][1])]
+    latin = lambda t: t if t is None else t.replace("ж", "zh").replace("я", "ja")
+    jw = similarity.jaro_winkler_of
+    m = spark.createDataFrame([(i, t, latin(t)) for i, t in mentions], "mention_id bigint, mention string, latin string")
+    n = spark.createDataFrame([(i, t, latin(t)) for i, t in names], "entity_id bigint, name string, latin string")
+    want = {}
+    for i, t in mentions:
+        if t is not None:
+            want[i] = min((-max(jw(t, x), jw(latin(t), x), jw(t, latin(x))), j) for j, x in names if x is not None)
+    for block in (2048, 7):
+        got = {x.mention_id: (-x.score, x.entity_id) for x in resolution.nearest_names(m, n, rows=block).collect()}
+        assert got == want and -want[60][0] >= 0.89 and -want[61][0] >= 0.92
+
+
+def test_resolution_of_runs(spark):
+    names = [("1", "Acme Corp", False), ("2", "Müller", False), ("3", "mueller", True), ("4", "Иванов", False), ("5", "Bob", False)]
+    runs = {
+        1: ["ACME Corp", " mueller", "Ivanov", "Acme Korp", "Bot", "Zephyr Ltd", "zephyr ltd", "Zephyr Ltdd", "Zephyr Limited"],
+        2: ["Zephyr Ltd", "Acme Group", "Amce Cropr", "Mulleer"],
+        3: [None, ""],
+    }
+    frame = spark.createDataFrame([(k, i, t) for k, ts in runs.items() for i, t in enumerate(ts)], "run_id bigint, seq bigint, mention string")
+    got = {(x.run_id, x.seq): (x.entity_id, x.is_new, x.action) for x in resolution.resolve_runs(frame, spark.createDataFrame(names, "entity_id string, name string, is_alias boolean")).collect()}
+    assert [got[1, i] for i in range(9)] == [
+        ("1", False, "exact"), ("3", False, "alias"), ("4", False, "merged"), ("1", False, "merged"), ("new:1:4", True, "created"),
+        ("new:1:5", True, "created"), ("new:1:5", False, "exact"), ("new:1:5", False, "merged"), ("new:1:5", False, "merged"),
+    ]
+    assert got[2, 0] == ("new:2:0", True, "created") and got[3, 0] == ("new:3:0", True, "created")
+    for agrees in (True, False):
+        again = resolution.resolve_runs(frame, spark.createDataFrame(names, "entity_id string, name string, is_alias boolean"), verify=lambda a, b, yes=agrees: yes).filter("score between 0.85 and 0.9199").collect()
+        assert again and all((x.action, x.is_new) == (("verified", False) if agrees else ("created", True)) for x in again)
+
+
+def test_duplicate_names(spark):
+    rows = [(1, "t", "Acme Holding"), (2, "t", "Holding Acme"), (3, "t", "Иванов"), (4, "t", "Ivanov"), (5, "u", "Acme Holding"), (6, "t", "Acme Corporation"), (7, "t", "abc"), (8, "t", "Zeta")]
+    frame = spark.createDataFrame(rows, "id bigint, entity_type string, name string")
+    for block in (2048, 2):
+        got = {(x.a, x.b): x.method for x in resolution.duplicate_names(frame, rows=block).collect()}
+        assert got == {(1, 2): "fuzzy", (3, 4): "transliteration"} | {k: v for k, v in got.items() if 6 in k} and all(v in ("fuzzy", "verified") for v in got.values() if v != "transliteration")
+    assert resolution.duplicate_names(frame, verify=lambda a, b: False).filter("method = 'verified'").count() == 0
+
+
+def test_weighted_ratio():
+    assert similarity.weighted_ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == pytest.approx(0.95)
+    assert similarity.weighted_ratio("this is a test", "this is a test!") == pytest.approx(28 / 29)
+    assert similarity.weighted_ratio("", "x") == 0 and similarity.weighted_ratio("same", "same") == 1
+    assert similarity.partial_ratio("test", "this is a test!") == 1.0
+    assert similarity.weighted_ratio("Acme", "Acme Corporation of America") == pytest.approx(0.9)
+
+
+def test_batch_decisions(spark):
+    rows = spark.createDataFrame([(1, "t", 0), (2, "t", 0), (3, "t", 0), (4, "t", 1), (5, "t", 1)], "id bigint, entity_type string, batch bigint")
+    said = {0: [(1, 2), (1, 2), (2, 3), (1, 1), (1, 4)], 1: [(9, 4), (4, 5)]}
+    got = resolution.decide_batches(rows, lambda pdf: said[int(pdf["batch"].iloc[0])]).collect()
+    assert sorted((x.batch, x.winner, x.loser) for x in got) == [(0, 1, 2), (1, 4, 5)]
+
+
+def test_transliteration(spark):
+    assert one(spark, t.transliterate(F.col("a")), a="Щука ЖЮЯ цех Ёлка объём") == "schuka zhjuja tseh elka ob'em"
+
+
 def test_cursor_round_trip():
     at = dt.datetime(2026, 1, 2, 3, 4, 5, tzinfo=dt.UTC)
     assert listing.decode_cursor(listing.encode_cursor(at, "abc")) == (at, "abc")
