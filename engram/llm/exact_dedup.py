@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, tasks_for
 
 HOT_SHARE = 1024
 PREFIX = 32
@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     hot = scratch.table(counts.filter(F.col("count") * HOT_SHARE > total).select("h", F.ceil(F.col("count") * HOT_SHARE / max(total, 1)).cast("int").alias("parts")), "hot")
     salted = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "size"), "parts")).otherwise(0)).drop("parts")
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(docs.select("doc_id", "text"))
     spread = salted.withColumn("prefix", F.substring("norm", 1, PREFIX)).repartitionByRange(n, "prefix", "h", "salt")
     equal = Window.partitionBy("prefix", "h", "salt", "norm")
     first = equal.orderBy(F.desc("size"), F.col("doc_id").asc_nulls_last())

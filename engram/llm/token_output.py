@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small
+from .scratch import Scratch, small, tasks_for
 from .text import slices, texts_of
 from .tokens import VOCABULARY, Encoder
 
@@ -46,8 +46,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     Null and empty texts have the end id alone; null doc_ids come first; rows of
     one doc_id are kept, in one range. An empty table writes no rows.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = rows.repartitionByRange(tasks_for(rows), "doc_id").sortWithinPartitions("doc_id")
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
     encoded = rows.mapInArrow(_encode(vocabulary, end_id), "doc_id bigint, part int, seq bigint, ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(STRIPE_BYTES), "compression": "zstd"}

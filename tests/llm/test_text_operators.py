@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.llm import exact_dedup, jaccard_join, line_dedup, mixing, sharding, substring_dedup, text, token_counts, token_output, tokens
-from engram.llm.scratch import Scratch
+from engram.llm.scratch import Scratch, SortedRun, stored_order
 from engram.llm.text import mix
 
 from .conftest import brute_words, frame
@@ -183,7 +183,12 @@ def test_exact_dedup(spark, rows):
     assert Counter(r.keep_id for r in got if r.kept) == Counter(min(g)[1] for g in groups.values())
 
 
-def test_line_dedup(spark, rows):
+@pytest.mark.parametrize("share", [1024, 20, 1 << 40])
+def test_line_dedup(spark, rows, share, monkeypatch):
+    """With hot lines as they come, with more of them, and with every line hot."""
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0 if share == 20 else 32 << 20)
+    tables = set(r.tableName for r in spark.sql("show tables").collect())
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     holders = defaultdict(set)
     for d, t, _ in rows:
@@ -198,6 +203,21 @@ def test_line_dedup(spark, rows):
     for fanout, batches in ((2, 4), (3, 1)):
         got = line_dedup.line_dedup(frame(spark, rows), batches=batches, fanout=fanout).collect()
         assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == sorted(want)
+    assert set(r.tableName for r in spark.sql("show tables").collect()) == tables
+
+
+def test_runs_are_joined_in_stored_order(spark):
+    """A merge join of two runs needs neither exchange nor sort."""
+    scratch = Scratch(spark, "test")
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("key"), F.col("id").alias("first"))
+    a, b = (SortedRun(scratch, rows.filter(f"first % 3 = {i}"), "key", 4) for i in (0, 1))
+    with stored_order(spark):
+        df = a.read().hint("merge").join(b.read().withColumnRenamed("first", "other"), "key", "full")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 3334
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan
+    a.drop()
+    b.drop()
 
 
 def test_mixing(spark, rows):
