@@ -383,6 +383,58 @@ def test_passages_adjacent_in_one_text_and_apart_in_the_other():
     assert any(a <= 90 and b >= 136 for a, b, *_ in substring_dedup.passages(x, y, 46, 75))
 
 
+def planted(seed, groups, variants, edits):
+    """Documents that hold edited copies of a 60-word passage amid other words: rows, and for each document its passage."""
+    r = np.random.default_rng(seed)
+    word = lambda: "w" + str(r.integers(0, 1 << 40))
+    rows, own = [], {}
+    for _ in range(groups):
+        base = [word() for _ in range(60)]
+        for v in range(variants):
+            p = list(base)
+            for at in r.choice(60, edits[v], replace=False):
+                p[at] = word()
+            text = [word() for _ in range(r.integers(5, 80))] + p + [word() for _ in range(r.integers(5, 80))]
+            own[len(rows)] = (p, len(rows) // variants)
+            rows.append((len(rows), " ".join(text), "s"))
+    return rows, own
+
+
+def qualifying(own):
+    """Documents whose passage is similar to that of another one of their group."""
+    sets = {d: shingles(" ".join(p)) for d, (p, _) in own.items()}
+    out = defaultdict(set)
+    for a in own:
+        for b in own:
+            if a < b and own[a][1] == own[b][1] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                out[a].add(b)
+                out[b].add(a)
+    return out
+
+
+def test_substring_recall(spark):
+    """Against brute force, by the number of edited words; clean documents have no row."""
+    for edits in (0, 1, 2):
+        rows, own = planted(edits, 150, 2, (0, edits))
+        want = qualifying(own)
+        found = {r.doc_id for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+        assert len(want) >= 30 and len(set(want) & found) >= 0.97 * len(want) and found <= set(own)
+
+
+@pytest.mark.parametrize("crowd", [64, 4])
+def test_substring_members_that_the_first_lacks(spark, crowd, monkeypatch):
+    """Two exact passages amid variants that are too different: each document that has a partner finds one."""
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+    rows, own = planted(7, 12, 24, [4] * 22 + [0, 0])
+    want = qualifying(own)
+    found = defaultdict(set)
+    for r in substring_dedup.substring_dedup(frame(spark, rows).coalesce(1 if crowd == 4 else 3)).collect():
+        found[r.doc_id].add(r.partner_id)
+    exact = [d for d, (p, g) in own.items() if d % 24 >= 22]
+    assert all(d in want for d in exact) and sum(bool(found[d]) for d in exact) >= 0.95 * len(exact)
+    assert sum(bool(found[d]) for d in want) >= 0.9 * len(want)
+
+
 def test_compact_windows():
     r = np.random.default_rng(3)
     v, least = r.integers(0, 1 << 62, 120, dtype=np.uint64), 10
