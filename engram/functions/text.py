@@ -118,6 +118,12 @@ def strip_legal_forms(name: Column) -> Column:
     return F.array_join(words, " ")
 
 
+def clean_name(name: Column) -> Column:
+    """A name without XML tags, control characters and white space at its ends; null if it holds a script tag."""
+    plain = F.regexp_replace(name, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    return F.when(~plain.rlike(r"(?iU)<\s*script"), strip(F.regexp_replace(plain, r"<[^>]+>", "")))
+
+
 def strip_name(name: Column) -> Column:
     return F.btrim(F.lower(name), F.lit(TRIMMED))
 
@@ -171,11 +177,42 @@ def content_key(text: Column) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)
 
 
+#: Words for days from the anchor, and the months of both languages by number.
+DAYS = {"today": 0, "tomorrow": 1, "yesterday": -1, "day after tomorrow": 2, "сегодня": 0, "завтра": 1, "вчера": -1, "послезавтра": 2, "позавчера": -2}
+MONTHS = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
+    "января": 1, "февраля": 2, "марта": 3, "апреля": 4, "мая": 5, "июня": 6, "июля": 7, "августа": 8, "сентября": 9, "октября": 10, "ноября": 11, "декабря": 12,
+}
+_SPANS = (("day", r"days?|день|дня|дней"), ("week", r"weeks?|недел[юиь]|недель"), ("month", r"months?|месяц(?:а|ев)?"), ("year", r"years?|год(?:а)?|лет"))
+
+
 def iso_date(text: Column, anchor: Column, past: int = 10, future: int = 2) -> Column:
-    """struct(iso, reason) of ISO dates and today / tomorrow / yesterday, within a window of years around `anchor`."""
-    trimmed = F.lower(F.trim(text))
-    day = anchor.cast("date")
-    parsed = F.when(trimmed == "today", day).when(trimmed == "tomorrow", F.date_add(day, 1)).when(trimmed == "yesterday", F.date_add(day, -1)).otherwise(F.try_to_date(F.substring(trimmed, 1, 10), "yyyy-MM-dd"))
+    """struct(iso, reason) of dates in English and Russian, at midnight, within a window of years around `anchor`.
+
+    ISO dates; "31.12.2026" and "31/12/2026"; a day and a month by name, with or
+    without a year; words such as "tomorrow"; "in 3 days", "через 2 недели", "a
+    week ago". A date without a year is the next one from the anchor on.
+    """
+    t, day = F.lower(strip(text)), anchor.cast("date")
+    known = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    parts = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
+    iso = F.try_to_date(F.regexp_extract(t, r"\A(\d{4}-\d{2}-\d{2})(?:[t ].*)?\z", 1), "yyyy-MM-dd")
+    dotted = r"\A(\d{1,2})[./](\d{1,2})[./](\d{4})\z"
+    made = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), "yyyy-MM-dd")
+    numeric = F.when(t.rlike(dotted), made(parts(dotted, 3), parts(dotted, 2), parts(dotted, 1)))
+    named = r"(?U)\A(?:(\d{1,2})(?:st|nd|rd|th)? (\p{L}+)|(\p{L}+) (\d{1,2})(?:st|nd|rd|th)?),?(?: (\d{4}))?(?: года?)?\z"
+    d, month, year = F.coalesce(parts(named, 1), parts(named, 4)), F.try_element_at(known(MONTHS), F.coalesce(parts(named, 2), parts(named, 3), F.lit(""))), parts(named, 5)
+    this = made(F.coalesce(year, F.year(day).cast("string")), month, d)
+    later = F.coalesce(*[made((F.year(day) + i).cast("string"), month, d) for i in (1, 2, 3, 4)])
+    by_name = F.when(year.isNotNull(), this).when(this >= day, this).otherwise(later)
+    relative = None
+    for unit, words in _SPANS:
+        pattern = rf"(?U)\A(?:(in|через) )?(?:(\d{{1,3}}|an?|один|одну) )?(?:{words})( ago| назад)?\z"
+        count = F.coalesce(parts(pattern, 2).try_cast("int"), F.lit(1)) * F.when(parts(pattern, 3).isNotNull(), -1).otherwise(1)
+        ok = t.rlike(pattern) & (parts(pattern, 1).isNotNull() != parts(pattern, 3).isNotNull())
+        moved = {"day": F.date_add(day, count), "week": F.date_add(day, 7 * count), "month": F.add_months(day, count), "year": F.add_months(day, 12 * count)}[unit]
+        relative = F.when(ok, moved) if relative is None else relative.when(ok, moved)
+    parsed = F.coalesce(F.date_add(day, F.try_element_at(known(DAYS), t)), iso, numeric, by_name, relative)
     inside = (parsed >= F.add_months(day, -12 * past)) & (parsed <= F.add_months(day, 12 * future))
-    reason = F.when(F.coalesce(trimmed, F.lit("")) == "", "empty_input").when(parsed.isNull(), "unparseable_relative_date").when(~inside, "out_of_sanity_window")
+    reason = F.when(F.coalesce(t, F.lit("")) == "", "empty_input").when(parsed.isNull(), "unparseable_relative_date").when(~inside, "out_of_sanity_window")
     return F.struct(F.when(reason.isNull(), F.concat(parsed.cast("string"), F.lit("T00:00:00+00:00"))).alias("iso"), reason.alias("reason"))

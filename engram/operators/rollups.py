@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .listing import ordered_text
+
 USAGE = ("tokens_in", "tokens_out", "tokens_cached", "cache_write_5m", "cache_write_1h", "cost_usd")
 
 #: US dollars for a million tokens (in, out, cache read, 5-minute write, 1-hour write) and the least prompt a model caches.
@@ -94,10 +96,24 @@ def across_tenants(child: DataFrame, parent: DataFrame, child_key: str, parent_k
     return c.join(p, F.col(f"c.{child_key}") == F.col(f"p.{parent_key}")).agg(F.count_if(F.col("c.ws") != F.col("p.ws")).alias("crossing"))
 
 
-def prf(predicted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """(tp, n_predicted, n_expected, precision, recall, f1) on sets of keys."""
-    p = predicted.select(*keys).distinct().withColumn("__p", F.lit(1))
-    e = expected.select(*keys).distinct().withColumn("__e", F.lit(1))
-    counts = p.join(e, keys, "full").agg(F.count_if(F.col("__p").isNotNull() & F.col("__e").isNotNull()).alias("tp"), F.count("__p").alias("n_predicted"), F.count("__e").alias("n_expected"))
+def prf_by(predicted: DataFrame, expected: DataFrame, keys: list[str], by: str | None = None) -> DataFrame:
+    """(by, tp, n_predicted, n_expected, precision, recall, f1) on sets of keys."""
+    groups = [by] if by else []
+    p = predicted.select(*groups, *keys).distinct().withColumn("__p", F.lit(1))
+    e = expected.select(*groups, *keys).distinct().withColumn("__e", F.lit(1))
+    counts = p.join(e, [*groups, *keys], "full").groupBy(*groups).agg(F.count_if(F.col("__p").isNotNull() & F.col("__e").isNotNull()).alias("tp"), F.count("__p").alias("n_predicted"), F.count("__e").alias("n_expected"))
     out = counts.withColumn("precision", F.coalesce(F.try_divide("tp", "n_predicted"), F.lit(0.0))).withColumn("recall", F.coalesce(F.try_divide("tp", "n_expected"), F.lit(0.0)))
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
+def prf(predicted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """`prf_by` over all rows."""
+    return prf_by(predicted, expected, keys)
+
+
+def report_markdown(traces: DataFrame) -> DataFrame:
+    """(markdown): usage by stage as a table."""
+    g = traces.groupBy("stage").agg(F.count("*").alias("n"), F.sum("tokens_in").alias("tin"), F.try_divide(F.sum("tokens_cached"), F.sum(total_input())).alias("hit"))
+    line = F.format_string("| %s | %d | %d | %.4f |", "stage", "n", "tin", "hit")
+    head = "# Report\n\n| stage | calls | tokens in | cache hits |\n|-|-|-|-|\n"
+    return g.agg(F.concat(F.lit(head), ordered_text(line, F.col("stage"), separator="\n")).alias("markdown"))

@@ -2,17 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EMAIL, SECRETS, URL, any_match
 
 
+#: Chat mentions, links and phone numbers.
+USER, CHANNEL, LINK = r"<@(U[A-Z0-9]+)>", r"<#(C[A-Z0-9]+)\|[^>]*>", r"<(https?://[^>]+)>"
+PHONE = r"(?:\+?\d{1,3}[\s\-.]?(?:\(\d{2,4}\)[\s\-.]?)\d{3}[\s\-.]\d{2}[\s\-.]\d{2}|\+?\d{1,3}[\s\-.]?\d{3}[\s\-.]\d{3}[\s\-.]\d{4}|8[\s\-]?\d{3}[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2})"
+#: Ranges in which values are numbered apart.
+RANGES = 64
+
+
+def numbered(values: DataFrame, order: list[str], name: str = "n", ranges: int = RANGES) -> DataFrame:
+    """`values` with `name`, their place from 1 in the order of columns, the first of them a number: counted in ranges of it, then within each."""
+    first = F.col(order[0]).cast("double")
+    cuts = values.agg(F.percentile_approx(first, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    part = sum((F.when(first > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    rows = values.withColumn("__part", part)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = rows.groupBy("__part").agg(F.count("*").alias("__c")).select("__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return rows.withColumn("__inside", inside).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__inside")).drop("__part", "__inside", "__start")  # `ranges` rows at most
+
+
 def dictionary(df: DataFrame, key: str, order: str, prefix: str, digits: int = 4) -> DataFrame:
     """(key, pseudonym): values numbered by first appearance. One row for each distinct value."""
     first = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__first"))
-    n = F.row_number().over(Window.orderBy("__first", key))
-    return first.select(key, F.concat(F.lit(prefix), F.lpad(n.cast("string"), digits, "0")).alias("__pseudonym"))
+    return numbered(first, ["__first", key]).select(key, F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), digits, "0")).alias("__pseudonym"))
+
+
+def replace_found(df: DataFrame, key: str, text: str, pattern: str, rename: Callable[[Column], Column]) -> DataFrame:
+    """`df` with what `pattern` finds in its texts (the first group, or all) replaced by `rename` of its number.
+
+    Distinct values are numbered by first appearance, by `key` (a number that
+    names a row) and then by their place in the text; values are equal as found.
+    """
+    group = 1 if re.compile(pattern.replace("(?U)", "")).groups else 0
+    cut = df.withColumns({"__plain": F.split(text, pattern), "__found": F.regexp_extract_all(text, F.lit(pattern), F.lit(group))})
+    places = cut.select(F.col(key).alias("__key"), F.posexplode("__found").alias("__at", "__value"))
+    first = places.groupBy("__value").agg(F.min(F.struct("__key", "__at")).alias("__f")).select("__value", F.col("__f.__key").alias("__k"), F.col("__f.__at").alias("__a"))
+    names = numbered(first, ["__k", "__a"]).select("__value", rename(F.col("n")).alias("__name"))
+    named = places.join(names, "__value").groupBy("__key").agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", "__name"))), lambda s: s["__name"]).alias("__names"))
+    joined = cut.join(named, F.col(key) == F.col("__key"), "left")
+    whole = F.array_join(F.zip_with("__plain", F.coalesce("__names", F.array().cast("array<string>")), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    return joined.withColumn(text, F.when(F.col(text).isNotNull(), whole)).select(df.columns)
+
+
+def sanitize_texts(df: DataFrame, key: str, text: str, company: str = "Example", company_names: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with mentions of users and channels, links, addresses, phone numbers and the company's names in its texts replaced, in this order."""
+    two = lambda n: F.lpad(n.cast("string"), 2, "0") if n is not None else n
+    padded = lambda n: F.when(n < 100, two(n)).otherwise(n.cast("string"))
+    df = replace_found(df, key, text, USER, lambda n: F.concat(F.lit("<@U_FAKE_"), padded(n), F.lit(">")))
+    df = replace_found(df, key, text, CHANNEL, lambda n: F.concat(F.lit("<#C_FAKE_"), padded(n), F.lit("|fake-channel>")))
+    df = df.withColumn(text, hash_urls(F.regexp_replace(text, LINK, "<$1>")))
+    df = replace_found(df, key, text, EMAIL, lambda n: F.concat(F.lit("user_"), padded(n), F.lit("@example.com")))
+    df = replace_found(df, key, text, PHONE, lambda n: F.concat(F.lit("+1-555-01"), padded(n)))
+    if company_names:
+        df = df.withColumn(text, F.regexp_replace(text, r"(?iU)\b(?:" + "|".join(r"\s+".join(re.escape(w) for w in c.split()) for c in company_names) + r")\b", company))
+    return df
 
 
 def pseudonymize(df: DataFrame, key: str, order: str, prefix: str, digits: int = 4) -> DataFrame:

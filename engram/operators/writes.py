@@ -138,8 +138,9 @@ def claim_value(raw: Column, kind: Column) -> Column:
 
 
 def rate_limited(requests: DataFrame, key: str, at: str, limit: int, window_seconds: float) -> DataFrame:
-    """`requests` with `allowed`: a sliding window that counts admitted requests only, replayed in order (`at` in seconds, then `seq`).
+    """`requests` with `allowed` and `retry_after`: a sliding window that counts admitted requests only, replayed in order (`at` in seconds, then `seq`).
 
+    retry_after: seconds until the oldest admitted request leaves the window; null if allowed.
     Keys are hash-partitioned and sorted; a task keeps one key's admitted
     requests of the window, `limit` of them at most.
     """
@@ -148,15 +149,16 @@ def rate_limited(requests: DataFrame, key: str, at: str, limit: int, window_seco
         kept: list[float] = []
         current = object()
         for pdf in frames:
-            out = []
+            out, wait = [], []
             for k, t in zip(pdf[key].tolist(), pdf[at].tolist(), strict=True):
                 if k != current:
                     current, kept = k, []
                 kept = [x for x in kept if x > t - window_seconds]
                 out.append(len(kept) < limit)
+                wait.append(None if out[-1] else (kept[0] if kept else t) + window_seconds - t)
                 if out[-1]:
                     kept.append(t)
-            yield pdf.assign(allowed=out)
+            yield pdf.assign(allowed=out, retry_after=pd.Series(wait, index=pdf.index, dtype="float64"))
 
-    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())])
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])
     return requests.repartition(key).sortWithinPartitions(key, at, "seq").mapInPandas(fold, schema)

@@ -157,16 +157,6 @@ def merged_entities(spark, d):
     return resolution.merge_entities(b.entities(spark, d), mapping(spark, d)).select("id", "is_deleted", "merged_into", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("op_g7", sql("SELECT id, entity_id FROM v_claims", "v_claims"))
-def rollback(spark, d):
-    """Repointing claims to a merge's winner, and its reversal from the audit, give the rows back."""
-    before = b.claims(spark, d).select("id", "entity_id")
-    pairs = b.table(spark, d, "customer").filter("c_custkey % 4 = 1").select(F.concat(F.lit("c:"), "c_custkey").alias("loser"), F.concat(F.lit("c:"), F.col("c_custkey") - 1).alias("winner"))
-    after = resolution.repoint(before, pairs, ["entity_id"])
-    audit = resolution.merge_audit(before, after, "id", ["entity_id"])
-    return resolution.roll_back(after, audit, "id", ["entity_id"])
-
-
 @query("op_g1", sql(", x AS (SELECT s_suppkey AS mention_id, replace(s_name, '00', '0') AS mention FROM supplier), p AS (SELECT mention_id, c_custkey AS k, jaro_winkler_similarity(mention, replace(c_name, 'Customer', 'Supplier')) AS score FROM x CROSS JOIN customer), r AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, k) AS rn FROM p) SELECT mention_id, k AS entity_id, round(score, 9) AS score, CASE WHEN score >= 0.92 THEN 'merge' WHEN score >= 0.85 THEN 'ask' ELSE 'create' END AS decision FROM r WHERE rn = 1").replace(", x AS", "WITH x AS", 1))
 def resolve(spark, d):
     mentions = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("mention_id"), F.replace("s_name", F.lit("00"), F.lit("0")).alias("mention")).withColumn("latin", F.col("mention"))
@@ -256,15 +246,6 @@ def dirty_flags(spark, d):
     return b.entities(spark, d).join(touched, "id", "left").select("id", F.coalesce("touched", F.lit(False)).alias("is_dirty"))
 
 
-@query("op_g13", sql("SELECT id, CASE WHEN n % 2 = 0 THEN '{\"assignee\":\"a' || n || '\",\"status\":\"done\"}' ELSE '{\"status\":\"open\"}' END AS properties FROM v_entities", "v_entities"))
-def property_merge(spark, d):
-    base = F.create_map(F.lit("status"), F.lit("open"))
-    change = F.when(F.col("n") % 2 == 0, F.create_map(F.lit("status"), F.lit("done"), F.lit("assignee"), F.concat(F.lit("a"), "n")))
-    merged = F.map_concat(F.map_filter(base, lambda k, _: ~F.coalesce(F.map_contains_key(change, k), F.lit(False))), F.coalesce(change, F.create_map().cast("map<string,string>")))
-    ordered = F.map_from_entries(F.array_sort(F.map_entries(merged)))
-    return b.entities(spark, d).select("id", F.to_json(ordered).alias("properties"))
-
-
 @query("op_t5")
 def limiter(spark, d):
     """Requests admitted by a sliding window of 3 in an hour for each actor; an ordered fold, tested by replay."""

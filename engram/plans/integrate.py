@@ -25,12 +25,6 @@ def named(spark, d):
     return e.withColumn("name", F.when(F.col("n") % 7 == 0, F.md5("name")).otherwise(F.col("name")))
 
 
-@query("op_g11", sql("SELECT id, is_deleted OR n % 7 = 0 AS is_deleted FROM v_entities", "v_entities"))
-def panoramic(spark, d):
-    e = named(spark, d)
-    return integrate.apply_noise(e, integrate.valid_actions(integrate.propose_noise(e), e)).select("id", "is_deleted")
-
-
 @query("op_f16", "WITH live AS (SELECT p_partkey FROM part WHERE p_partkey % 50 <> 0), act AS (SELECT l_orderkey, bool_and(l_partkey IN (SELECT p_partkey FROM live)) AS ok FROM lineitem GROUP BY 1) SELECT l_orderkey AS id FROM act WHERE ok AND l_orderkey IN (SELECT p_partkey FROM live)")
 def proposed_actions(spark, d):
     """Actions (an order names its parts) whose ids are all live."""

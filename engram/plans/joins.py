@@ -71,13 +71,21 @@ def resolved_relations(spark, d):
     return x.join(teams, "s").join(e.select(F.col("id").alias("t"), F.col("id").alias("target_id")), "t").select("l_orderkey", "l_linenumber", "source_id", "target_id")
 
 
-@query("op_j14", sql(", top AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC, id DESC) AS rn FROM v_claims) SELECT e.id, count(t.id) AS n_claims, coalesce(string_agg(t.value, ',' ORDER BY t.rn), '') AS newest FROM v_entities e LEFT JOIN top t ON t.entity_id = e.id AND t.rn <= 5 WHERE e.entity_type = 'person' GROUP BY e.id", "v_claims", "v_entities"))
+@query("op_j14", sql(", top AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC, id DESC) AS rn FROM v_claims), c AS (SELECT entity_id, count(*) AS n, string_agg(value, ',' ORDER BY rn) AS newest FROM top WHERE rn <= 50 GROUP BY 1), ends AS (SELECT source_id AS entity_id, target_id AS other, created_at, id FROM v_relations UNION ALL SELECT target_id, source_id, created_at, id FROM v_relations), rtop AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id DESC) AS rn FROM ends), r AS (SELECT entity_id, count(*) AS n, string_agg(other, ',' ORDER BY rn) AS newest FROM rtop WHERE rn <= 50 GROUP BY 1) SELECT e.id, coalesce(c.n, 0) AS n_claims, coalesce(c.newest, '') AS claims, coalesce(r.n, 0) AS n_relations, coalesce(r.newest, '') AS relations FROM v_entities e LEFT JOIN c ON c.entity_id = e.id LEFT JOIN r ON r.entity_id = e.id", "v_claims", "v_entities", "v_relations"))
 def context_load(spark, d):
-    """Entities with their newest claims (five here, fifty by default elsewhere), in one join."""
-    top = listing.top_k_per(b.claims(spark, d), "entity_id", 5, F.desc("observed_at"), F.desc("id"), rank="rn")
-    packed = top.groupBy("entity_id").agg(F.count("*").alias("n_claims"), listing.ordered_text(F.col("value"), F.col("rn"), separator=",").alias("newest"))
-    e = b.entities(spark, d).filter("entity_type = 'person'").select("id")
-    return e.join(packed, e.id == packed.entity_id, "left").select("id", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("newest", F.lit("")).alias("newest"))
+    """Entities with their fifty newest claims and relations, in two joins."""
+
+    def newest(df, item, at):
+        top = listing.top_k_per(df, "entity_id", 50, F.desc(at), F.desc("id"), rank="rn")
+        return top.groupBy("entity_id").agg(F.count("*").alias("n"), listing.ordered_text(F.col(item), F.col("rn"), separator=",").alias("newest"))
+
+    r = b.relations(spark, d)
+    ends = r.select(F.col("source_id").alias("entity_id"), F.col("target_id").alias("other"), "created_at", "id").union(r.select("target_id", "source_id", "created_at", "id"))
+    c, r = newest(b.claims(spark, d), "value", "observed_at").alias("c"), newest(ends, "other", "created_at").alias("r")
+    e = b.entities(spark, d).select("id")
+    j = e.join(c, F.col("id") == F.col("c.entity_id"), "left").join(r, F.col("id") == F.col("r.entity_id"), "left")
+    none, zero = F.lit(""), F.lit(0)
+    return j.select("id", F.coalesce("c.n", zero).alias("n_claims"), F.coalesce("c.newest", none).alias("claims"), F.coalesce("r.n", zero).alias("n_relations"), F.coalesce("r.newest", none).alias("relations"))
 
 
 @query("op_j15", sql("SELECT c.predicate, r.n_nationkey % 4 AS run, count(*) AS n, round(avg(c.confidence), 9) AS confidence FROM v_claims c JOIN customer ON entity_id = 'c:' || c_custkey JOIN nation r ON c_nationkey = n_nationkey GROUP BY 1, 2", "v_claims"))

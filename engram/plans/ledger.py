@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rollups as r
+from ..operators import search
 from ..sources import bindings as b
 from ..sources.bindings import sql
 from .registry import query
@@ -66,9 +67,9 @@ def cost(spark, d):
     return r.cost(t, r.price_table(spark)).select("id", F.round("cost", 9).alias("cost"))
 
 
-@query("op_a24", sql(f"SELECT t.id, {INPUT} AS total_input, round(tokens_cached / {INPUT}, 4) AS hit_ratio FROM v_traces t JOIN {PRICE} p ON p.model = t.model WHERE {INPUT} < p.cache_minimum AND {INPUT} > 0 AND tokens_cached > 600", "v_traces"))
+@query("op_a24", sql(f"SELECT t.id, {INPUT} AS total_input, round(tokens_cached / {INPUT}, 4) AS hit_ratio FROM v_traces t JOIN {PRICE} p ON p.model = t.model WHERE {INPUT} < p.cache_minimum AND {INPUT} > 0", "v_traces"))
 def cache_alarms(spark, d):
-    t = r.cost(b.traces(spark, d).filter("tokens_cached > 600"), r.price_table(spark)).withColumn("total_input", r.total_input())
+    t = r.cost(b.traces(spark, d), r.price_table(spark)).withColumn("total_input", r.total_input())
     return t.filter("total_input < cache_minimum and total_input > 0").select("id", "total_input", F.round(F.col("tokens_cached") / F.col("total_input"), 4).alias("hit_ratio"))
 
 
@@ -110,9 +111,11 @@ def run_comparison(spark, d):
     return x.withColumn("crystal_pct", F.round(100.0 * F.col("crystal") / F.col("total"), 4))
 
 
-@query("op_a5", sql("SELECT ws, max(value) AS best FROM v_events GROUP BY ws", "v_events"))
+@query("op_a5", sql("SELECT entity_id, max(len(list_filter(string_split_regex(lower(predicate || ' ' || value), '[^a-z0-9]+'), lambda w: w IN ('priority', 'high', 'urgent'))))::BIGINT AS best FROM v_claims GROUP BY entity_id", "v_claims"))
 def best_rank(spark, d):
-    return b.events(spark, d).groupBy("ws").agg(F.max("value").alias("best"))
+    """The best text rank among an entity's claims."""
+    rank = search.WebQuery.parse("priority high urgent").rank(search.tokens(F.concat_ws(" ", "predicate", "value")))
+    return b.claims(spark, d).groupBy("entity_id").agg(F.max(rank).cast("bigint").alias("best"))
 
 
 @query("op_q1", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_nationkey < 20)")

@@ -10,12 +10,23 @@ SCHEMA = "id string, raw_text string, ts string, channel_id string, actor string
 MESSAGES = "array<struct<user:string,text:string,ts:string,thread_ts:string>>"
 
 
+def _problem(fields: dict[str, Column], corrupt: Column) -> Column:
+    missing = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(name)) for name, c in fields.items()]))
+    return F.when(corrupt.isNotNull(), "not JSON").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
+
+
+def check_lines(lines: DataFrame, line: str) -> DataFrame:
+    """`lines` with the event's fields and `problem`, as `read_events` gives them for a file."""
+    parsed = F.from_json(line, SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.withColumn("__e", parsed)
+    names = [f.split()[0] for f in SCHEMA.split(", ")][:-1]
+    return rows.select(*lines.columns, *[F.col(f"__e.{c}").alias(f"event_{c}") for c in names], _problem({c: F.col(f"__e.{c}") for c in REQUIRED}, F.col("__e._corrupt")).alias("problem"))
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON-lines corpus with `problem`: null, or why the line is refused (not JSON, or a required field missing)."""
     rows = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]))
-    problem = F.when(F.col("_corrupt").isNotNull(), "not JSON").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
-    return rows.withColumn("problem", problem).drop("_corrupt")
+    return rows.withColumn("problem", _problem({c: F.col(c) for c in REQUIRED}, F.col("_corrupt"))).drop("_corrupt")
 
 
 def accepted(spark: SparkSession, path: str) -> DataFrame:
