@@ -173,7 +173,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of `docs` that hold no item, with all their columns."""
+    """The rows of `docs` that hold no item, with all their columns; null and empty texts hold none, and repeated rows go or stay together."""
     for items in _blocks(benchmark, n):
         docs = docs.mapInArrow(_search(items, least, clean=True), docs.schema)
     return docs

@@ -543,7 +543,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component; rows with a null doc_id stay."""
+    """The rows of `docs` whose doc_id is the smallest of its component; rows with a null doc_id stay, and so do all rows of a doc_id that stays."""
     joined = jaccard_join(docs, **kw)
     scratch = Scratch(docs.sparkSession, "keep")
     drop = scratch.table(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "drop")

@@ -166,10 +166,20 @@ def grade_of(quality: str = "quality", toxic: str = "toxic"):
 
 
 def train(docs: DataFrame, ratings: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on the rows of `docs` (doc_id, text) with a grade in `ratings` (doc_id, grade), `max_train` of them at most."""
+    """Fit on the rows of `docs` (doc_id, text) with a grade in `ratings` (doc_id, grade), `max_train` doc_ids at most.
+
+    Of a doc_id's ratings the lowest counts, and of its rows the one with the
+    smallest hash of the text. Null doc_ids and grades take no part; null and
+    empty texts have their shape alone. Without ratings the model keeps what its
+    first thresholds keep. Ratings are taken by MD5 of doc_id, so the fitted
+    rows depend on the tables alone.
+    """
     some = ratings.filter("doc_id is not null and grade is not null").select("doc_id", "grade").orderBy(F.md5(F.col("doc_id").cast("string")), "grade").limit(max_train)
     some = Scratch(docs.sparkSession, "ratings").table(some.groupBy("doc_id").agg(F.min("grade").alias("grade")), "sample")
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(_features, "grade int, features binary").limit(2 * max_train).toPandas()
+    rated = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    one = rated.groupBy("doc_id").agg(F.min_by(F.struct("grade", "text"), F.xxhash64("text")).alias("r")).select("r.grade", "r.text")
+    rows = one.mapInArrow(_features, "grade int, features binary").toPandas()
+    rows = rows.sort_values(["grade", "features"], ignore_index=True)
     return fit(rows["grade"].to_numpy(int), [np.frombuffer(f, np.uint32) for f in rows["features"]])
 
 
@@ -198,7 +208,7 @@ def score(docs: DataFrame, model: Model, least: float = KEEP_PROBABILITY) -> Dat
 
 
 def select(docs: DataFrame, model: Model, least: float = KEEP_PROBABILITY) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns."""
+    """The rows of `docs` that are kept, with all their columns; each row by itself, so nulls, repeated rows and empty tables need no rule."""
     return docs.mapInArrow(_score(model, least, keep=True), docs.schema)
 
 

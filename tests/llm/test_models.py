@@ -31,7 +31,37 @@ def test_ordinal_fit_orders_grades():
     features = [np.array([10 + g, *r.integers(100, 140, 5)], np.uint32) for g in grades]
     model = quality.fit(grades, features)
     at = dict(zip(model.feature.tolist(), model.weight.tolist(), strict=True))
-    assert at.get(10, 0) < at.get(11, 0) < at.get(12, 0) or at.get(10, 0) < at.get(12, 0)
+    assert at.get(10, 0) < at.get(11, 0) < at.get(12, 0)
+    score = np.array([sum(at.get(f, 0) for f in set(x.tolist())) for x in features])
+    assert (model.tails(score).sum(axis=1).round() == grades).mean() > 0.95
+
+
+def slow_loss(grades, features, weight, threshold):
+    """Mean of -log P(grade), a mean over grades of means over their rows, written out from the model's definition."""
+    by = {}
+    for g, f in zip(grades.tolist(), features, strict=True):
+        s = sum(weight.get(int(x), 0.0) for x in set(f.tolist()))
+        below = [0.0, *(1 / (1 + np.exp(-(t - s))) for t in threshold), 1.0]
+        by.setdefault(g, []).append(-np.log(below[g + 1] - below[g]))
+    return np.mean([np.mean(v) for v in by.values()])
+
+
+def test_ordinal_fit_is_at_the_maximum_of_the_likelihood():
+    """No small step of any weight or threshold makes the slow likelihood better."""
+    r = np.random.default_rng(6)
+    features = [np.unique(r.choice(8, r.integers(1, 6))).astype(np.uint32) for _ in range(240)]
+    true = np.linspace(-2, 2, 8)
+    score = np.array([true[f].sum() for f in features]) + r.logistic(size=240)
+    grades = np.digitize(score, [-1.0, 1.2])
+    model = quality.fit(grades, features, steps=2500, rate=0.02, penalty=0.0, least_docs=1)
+    weight, threshold = dict(zip(model.feature.tolist(), model.weight.tolist(), strict=True)), model.threshold.tolist()
+    best = slow_loss(grades, features, weight, threshold)
+    for step in (-0.05, 0.05):
+        for f in weight:
+            assert slow_loss(grades, features, weight | {f: weight[f] + step}, threshold) > best - 1e-4
+        for k in range(2):
+            moved = [t + step * (i == k) for i, t in enumerate(threshold)]
+            assert slow_loss(grades, features, weight, moved) > best - 1e-4
 
 
 def test_classifier_edges(spark, rows):
@@ -114,6 +144,31 @@ def test_decontamination_of_edited_and_partial_copies(spark):
     assert {f.doc_id for f in decontamination.decontaminate(table, bench).collect()} == {5, 6}
 
 
+def test_decontamination_recall(spark):
+    """Of 30-word items with 0 to 8 words changed, every copy that an alignment of all pairs finds."""
+    r = np.random.default_rng(12)
+    word = lambda: "w" + str(r.integers(0, 1 << 40))
+    items = [[word() for _ in range(30)] for _ in range(40)]
+    rows, copies = [], []
+    for edits in range(9):
+        for i, item in enumerate(items):
+            t = list(item)
+            for at in r.choice(30, edits, replace=False):
+                t[at] = word()
+            copies.append((edits, i, [word() for _ in range(20)] + t + [word() for _ in range(20)]))
+            rows.append((len(rows), " ".join(copies[-1][2]), "s"))
+    code = {w: n for n, w in enumerate({w for _, _, t in copies for w in t} | {w for x in items for w in x})}
+    coded = lambda ws: np.array([code[w] for w in ws], np.uint64)
+    words, want = [coded(x) for x in items], set()
+    for d, (_, _, t) in enumerate(copies):
+        own = set(t)
+        want |= {(d, i) for i, x in enumerate(words) if own & set(items[i]) and decontamination.align(x, coded(t))[0] >= 30}
+    assert len(want) == 360
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    found = {(f.doc_id, f.item_id) for f in decontamination.contamination(frame(spark, rows), bench).collect()}
+    assert found == want
+
+
 def test_pipeline_stages_hold_against_operators(spark, tmp_path):
     """Each stage's rows, found again from the operator's own result on the same input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 400")
