@@ -7,19 +7,20 @@ row is one drained set. State is per tenant and ends with each drain.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LEAST = 10
 MAX_AGE_SECONDS = 1800
 
 
-def drained(changes: DataFrame, least: int = LEAST, max_age_seconds: int = MAX_AGE_SECONDS) -> DataFrame:
-    """(ws, ids array<bigint>, reason) from a stream of (ws, id): reason is `count` or `age`. Nulls are left out."""
-
+def _step(least: int, max_age_seconds: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids = set(state.get[0]) if state.exists else set()
         if state.hasTimedOut:
@@ -38,5 +39,30 @@ def drained(changes: DataFrame, least: int = LEAST, max_age_seconds: int = MAX_A
         if fresh:  # the clock starts with the first change and is not set again
             state.setTimeoutDuration(max_age_seconds * 1000)
 
+    return step
+
+
+def drained(changes: DataFrame, least: int = LEAST, max_age_seconds: int = MAX_AGE_SECONDS) -> DataFrame:
+    """(ws, ids array<bigint>, reason) from a stream of (ws, id): reason is `count` or `age`. Nulls are left out.
+
+    A set never outlives `max_age_seconds`, so it needs no expiry of its own.
+    """
     clean = changes.filter("ws is not null and id is not null").select("ws", "id")
-    return clean.groupBy("ws").applyInPandasWithState(step, "ws bigint, ids array<bigint>, reason string", "ids array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return clean.groupBy("ws").applyInPandasWithState(_step(least, max_age_seconds), "ws bigint, ids array<bigint>, reason string", "ids array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def with_recent(drained_sets: DataFrame, rows: DataFrame, as_of: datetime, hours: int = 48) -> DataFrame:
+    """(ws, id), each once: drained ids and, of the tenants that fired, the rows (ws, id, updated_at) changed in the last `hours`."""
+    fired = drained_sets.select("ws", F.explode("ids").alias("id"))
+    recent = rows.filter(F.col("updated_at") >= F.lit(as_of) - F.make_dt_interval(hours=F.lit(hours))).join(drained_sets.select("ws").distinct(), "ws", "left_semi")
+    return fired.union(recent.select("ws", "id")).distinct()
+
+
+def consolidate(drained_sets: DataFrame, load: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None], checkpoint: str, hours: int = 48) -> DataStreamWriter:
+    """A writer that gives `handle` (ids of a micro-batch with those of `load()` that changed lately, batch id); a replayed batch id means the same drained sets."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        now = batch.sparkSession.sql("SELECT now()").first()[0]
+        handle(with_recent(batch, load(), now, hours), batch_id)
+
+    return drained_sets.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -1,8 +1,11 @@
 """Streams of changes and events, run to the end of what is there."""
 
+import datetime as dt
 import json
 import os
 
+import pandas as pd
+
 from engram.streaming import dirty, upsert
 
 
@@ -17,6 +20,49 @@ def test_drain_by_count(spark, tmp_path):
     assert [(r.ws, r.ids, r.reason) for r in spark.table("drained").collect()] == [(1, list(range(14)), "count")]
 
 
+class State:
+    """A group's state, as the engine keeps it."""
+
+    def __init__(self):
+        self.value, self.timeout, self.hasTimedOut = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_drain_by_age():
+    step, state = dirty._step(10, 1800), State()
+    assert list(step((7,), iter([pd.DataFrame({"id": [3, 1]})]), state)) == [] and state.value == ([1, 3],) and state.timeout == 1_800_000
+    state.timeout = None
+    assert list(step((7,), iter([pd.DataFrame({"id": [3, 2]})]), state)) == [] and state.timeout is None  # the clock is not set again
+    state.hasTimedOut = True
+    out = list(step((7,), iter([]), state))[0]
+    assert out.iloc[0].tolist() == [7, [1, 2, 3], "age"] and not state.exists
+    state.hasTimedOut = False
+    assert list(step((7,), iter([pd.DataFrame({"id": [9]})]), state)) == [] and state.timeout == 1_800_000
+
+
+def test_drained_and_recent_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps({"ws": w, "id": i}) for w in (1, 2) for i in range(10 if w == 1 else 3)))
+    now = dt.datetime.now()
+    rows = spark.createDataFrame([(1, 5, now), (1, 77, now - dt.timedelta(hours=40)), (1, 78, now - dt.timedelta(hours=60)), (2, 79, now)], "ws bigint, id bigint, updated_at timestamp")
+    sets = dirty.drained(spark.readStream.schema("ws bigint, id bigint").json(str(tmp_path / "in")))
+    got = []
+    q = dirty.consolidate(sets, lambda: rows, lambda ids, _: got.extend((r.ws, r.id) for r in ids.collect()), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(got) == [(1, i) for i in range(10)] + [(1, 77)]
+
+
 def test_upserts_replay(spark, tmp_path):
     (tmp_path / "in").mkdir()
     row = lambda seq, i, text, level: json.dumps({"source_type": "chat", "source_id": str(i), "access_level": level, "raw_text": text, "seq": seq})
