@@ -47,7 +47,7 @@ from .text import digest, shingled, texts_of
 #: Shingles of one chunk of sets, about, in the first and in the second step.
 CHUNK_TOKENS, LEFT_TOKENS = 1_000_000, 250_000
 #: Shingles of one bucket of lists, about, and of the groups that a task takes. A larger group is divided.
-BUCKET_TOKENS, GROUP_TOKENS = 2_000_000, 1_000_000
+BUCKET_TOKENS, GROUP_TOKENS = 2_000_000, 400_000
 #: Sets of one chunk that share a shingle are tied together there if they are more than this.
 CROWD = 64
 #: Rounds of pivots of a group above `GROUP_TOKENS`.

@@ -1,13 +1,14 @@
 """Classifier, decontamination and pipeline."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from engram.llm import decontamination, jaccard_join, mixing, quality, sharding
+from engram.llm import decontamination, quality
+from engram.llm.text import mix as hash_mix
 
 from .conftest import brute_words, frame
+from .test_text_operators import brute_components, scalar_jump
 
 SF = "/root/testdata/sf0.01"
 #: Held-out accuracy needs more than the few hundred labels of SF.
@@ -169,31 +170,60 @@ def test_decontamination_recall(spark):
     assert found == want
 
 
-def test_pipeline_stages_hold_against_operators(spark, tmp_path):
-    """Each stage's rows, found again from the operator's own result on the same input."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 400")
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage's rows, found again from its input by slow versions of the rules."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300 and n_chars < 6000")
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "sharding"]
-    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
 
     def written(df, name):
         df.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
-        return spark.read.parquet(f"{tmp_path}/{name}")
+        back = spark.read.parquet(f"{tmp_path}/{name}")
+        assert back.columns == docs.columns
+        return back, back.toPandas()
 
-    one = written(stages["quality classifier"](spark, docs, SF), "1")
-    model = quality.train(docs, quality.ratings_of(spark, SF))
     pdf = docs.toPandas()
-    good = model.tails(model.score([t.encode() for t in pdf.text]))[:, 1] >= 0.5
-    assert ids(one) == sorted(pdf.doc_id[good]) and one.columns == docs.columns
-    two = written(stages["n-gram Jaccard join"](spark, one, SF), "2")
-    comp = jaccard_join.jaccard_join(one).toPandas()
-    assert ids(two) == sorted(comp[comp.doc_id == comp.component_id].doc_id)
-    three = written(stages["benchmark decontamination"](spark, two, SF), "3")
-    bad = {r.doc_id for r in decontamination.contamination(two, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    assert ids(three) == sorted(set(ids(two)) - bad)
-    four = written(stages["mixing sources to target weights"](spark, three, SF), "4")
-    assert four.columns == docs.columns
-    assert sum(len(brute_words(r.text)) for r in four.collect()) == sum(r.taken for r in mixing.mix(three).collect())
+    one, kept = written(stages["quality classifier"](spark, docs, SF), "1")
+    model = quality.train(docs, quality.ratings_of(spark, SF))
+    weight = dict(zip(model.feature.tolist(), model.weight.tolist(), strict=True))
+
+    def good(text):
+        row, feature = quality._chunk([text.encode()])
+        score = sum(weight.get(f, 0.0) for f in set(feature.tolist()))
+        return 1 / (1 + np.exp(model.threshold[1] - score)) >= 0.5
+
+    assert sorted(kept.doc_id) == sorted(i for i, t in zip(pdf.doc_id, pdf.text, strict=True) if good(t)) and 0 < len(kept) < len(pdf)
+    two, unique = written(stages["n-gram Jaccard join"](spark, one, SF), "2")
+    comps = brute_components([(i, t, None) for i, t in zip(kept.doc_id, kept.text, strict=True)])
+    assert sorted(unique.doc_id) == sorted({c for _, c in comps.values()}) and len(unique) < len(kept)
+    three, clean = written(stages["benchmark decontamination"](spark, two, SF), "3")
+    items = [brute_words(t) for t in spark.read.parquet(f"{SF}/benchmark.parquet").toPandas().text]
+    texts = {i: brute_words(t) for i, t in zip(unique.doc_id, unique.text, strict=True)}
+    code = {w: n for n, w in enumerate({w for x in [*texts.values(), *items] for w in x})}
+    coded = lambda ws: np.array([code[w] for w in ws], np.uint64)
+
+    def leaks(words):
+        own = set(words)
+        return any(len(own & set(x)) * 2 >= len(x) and decontamination.align(coded(x), coded(words))[0] >= len(x) for x in items)
+
+    assert sorted(clean.doc_id) == sorted(i for i, ws in texts.items() if not leaks(ws)) and len(clean) < len(unique)
+    four, mix = written(stages["mixing sources to target weights"](spark, three, SF), "4")
+    size = {s: sum(len(texts[i]) for i in g.doc_id) for s, g in clean.groupby("source")}
+    limit, target = {s: 3 * n for s, n in size.items()}, {}
+    weights = {s: i % 3 + 1 for i, s in enumerate(sorted(size))}
+    while len(target) < len(size):  # share what is left until none is above
+        free = [s for s in size if s not in target]
+        level = (sum(size.values()) - sum(target.values())) / sum(weights[s] for s in free)
+        over = {s: limit[s] for s in free if level * weights[s] > limit[s]}
+        target |= over or {s: level * weights[s] for s in free}
+    whole = dict(zip(clean.doc_id, clean.text, strict=True))
+    for s, g in mix.groupby("source"):
+        assert sum(len(brute_words(t)) for t in g.text) == int(target[s] + 1e-6)
+        cut = [(i, t) for i, t in zip(g.doc_id, g.text, strict=True) if t != whole[i]]
+        assert len(cut) <= 1 and all(brute_words(whole[i])[: len(brute_words(t))] == brute_words(t) for i, t in cut)
+        assert g.doc_id.value_counts().max() - g.doc_id.value_counts().min() <= 1 or size[s] > target[s]
     five = stages["sharding"](spark, four, SF).toPandas()
-    assert ids(four) == sorted(five.doc_id)
-    assert isinstance(five, pd.DataFrame) and sharding.SHARDS > five["shard"].max()
+    assert sorted(five.doc_id) == sorted(mix.doc_id)
+    for r in five.itertuples():
+        assert r.shard == scalar_jump(int(hash_mix(np.array([r.doc_id], np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0]), 24)
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in five.groupby("shard"))
