@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .listing import ordered_text
@@ -49,10 +49,33 @@ def cache_hit_ratio(traces: DataFrame, key: str = "stage") -> DataFrame:
 
 
 def latency(traces: DataFrame, key: str = "stage", least: int = 5) -> DataFrame:
-    """(key, n, p50, p95): nearest-rank percentiles, null below `least` samples."""
-    enough = F.count("duration_ms") >= least
-    p = lambda q: F.when(enough, F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY duration_ms)").cast("bigint"))
-    return traces.groupBy(key).agg(F.count("duration_ms").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    """(key, n, p50, p95): nearest-rank percentiles, null below `least` samples.
+
+    Equal durations are counted first, so a key with most of the rows has no
+    more to order than its distinct durations.
+    """
+    counts = traces.groupBy(key, "duration_ms").agg(F.count("duration_ms").alias("__c"))
+    w = Window.partitionBy(key)
+    ranked = counts.withColumns({"__up": F.sum("__c").over(w.orderBy(F.col("duration_ms").asc_nulls_first())), "__n": F.sum("__c").over(w)})
+    first = lambda q: F.min(F.when((F.col("__n") >= least) & (F.col("__up") >= F.ceil(F.col("__n") * F.lit(q))), F.col("duration_ms")))
+    return ranked.groupBy(key).agg(F.max("__n").alias("n"), first(0.5).alias("p50"), first(0.95).alias("p95"))
+
+
+def percentile_cont(df: DataFrame, value: str, q: float) -> DataFrame:
+    """(n, value): the interpolated percentile over all rows, from counts of distinct values; null without any."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    cuts = [x for x in counts.agg(F.percentile_approx("v", [i / 32 for i in range(1, 32)], 1000)).first()[0] or []]
+    part = sum((F.when(F.col("v") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    parts = counts.withColumn("p", part)
+    sums = parts.groupBy("p").agg(F.sum("c").alias("s"))
+    all_ = Window.orderBy("p")  # a row for each of 32 ranges
+    sums = sums.select("p", (F.sum("s").over(all_) - F.col("s")).alias("before"), F.sum("s").over(all_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    up = parts.join(F.broadcast(sums), "p").withColumn("up", F.col("before") + F.sum("c").over(Window.partitionBy("p").orderBy("v")))
+    at = (F.col("n") - 1) * F.lit(q)
+    place = lambda r: F.min(F.when(F.col("up") > r, F.col("v")))
+    out = up.agg(F.max("n").alias("n"), place(F.floor(at)).alias("lo"), place(F.ceil(at)).alias("hi"))
+    share = (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
+    return out.select(F.coalesce("n", F.lit(0)).alias("n"), (F.col("lo") + share * (F.col("hi") - F.col("lo"))).alias("value"))
 
 
 def cost(usage: DataFrame, prices: DataFrame, default: str = DEFAULT_MODEL) -> DataFrame:

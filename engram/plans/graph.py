@@ -29,11 +29,11 @@ def vector_replace(spark, d):
     return writes.replace_by_source(v, fresh, ["id"])
 
 
-@query("op_s12", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10 UNION ALL SELECT r_regionkey + 8, upper(r_name) FROM region WHERE r_regionkey + 8 NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 10)")
+@query("op_s12", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT s_suppkey, upper(s_name) FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 > 0)")
 def seed_if_absent(spark, d):
-    n = b.table(spark, d, "nation").filter("n_nationkey < 10").select("n_nationkey", "n_name")
-    r = b.table(spark, d, "region").select((F.col("r_regionkey") + 8).alias("n_nationkey"), F.upper("r_name").alias("n_name"))
-    return writes.insert_if_absent(n, r, ["n_nationkey"])
+    p = b.table(spark, d, "part").filter("p_partkey % 3 > 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    s = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.upper("s_name").alias("name"))
+    return writes.insert_if_absent(p, s, ["id"])
 
 
 @query("op_s13", sql("SELECT claim_id, event_id FROM v_claim_sources UNION SELECT id, id % 100 FROM v_claims", "v_claims", "v_claim_sources"))
@@ -116,12 +116,13 @@ def transitions(spark, d):
     return b.claims(spark, d).withColumn("target", F.element_at(allowed, F.col("status"))).filter("target is not null").select("id", "status", "target")
 
 
-@query("op_f14", "SELECT n_nationkey AS source, n_regionkey AS target FROM nation WHERE NOT (n_nationkey % 6 BETWEEN 1 AND 4 AND n_regionkey % 5 BETWEEN 1 AND 4 AND n_nationkey % 6 >= n_regionkey % 5)")
+@query("op_f14", sql("SELECT id, source_id AS source, target_id AS target FROM (SELECT *, substr(source_id, 3)::BIGINT % 6 AS s, substr(target_id, 3)::BIGINT % 5 AS t FROM v_relations) WHERE NOT (s BETWEEN 1 AND 4 AND t BETWEEN 1 AND 4 AND s >= t)", "v_relations"))
 def tier_inversion(spark, d):
-    """part_of edges that point up the hierarchy, or whose ends have no tier."""
+    """Edges that point up the hierarchy, or whose ends have no tier."""
     ranks = F.create_map(*[F.lit(x) for i in range(1, 5) for x in (i, i)])
-    n = b.table(spark, d, "nation").withColumns({"s": F.try_element_at(ranks, F.col("n_nationkey") % 6), "t": F.try_element_at(ranks, F.col("n_regionkey") % 5)})
-    return n.filter(~F.coalesce(F.col("s") >= F.col("t"), F.lit(False))).select(F.col("n_nationkey").alias("source"), F.col("n_regionkey").alias("target"))
+    tier = lambda c, k: F.try_element_at(ranks, (F.substring(c, 3, 20).cast("bigint") % k).cast("int"))
+    r = b.relations(spark, d).withColumns({"s": tier("source_id", 6), "t": tier("target_id", 5)})
+    return r.filter(~F.coalesce(F.col("s") >= F.col("t"), F.lit(False))).select("id", F.col("source_id").alias("source"), F.col("target_id").alias("target"))
 
 
 @query("op_g5", "WITH x AS (SELECT l_orderkey, count(*) FILTER (WHERE l_partkey % 50 = 0) AS bad FROM lineitem GROUP BY 1) SELECT l.l_orderkey, l.l_linenumber FROM lineitem l JOIN x USING (l_orderkey) WHERE x.bad = 0")
@@ -234,10 +235,10 @@ def markdown(spark, d):
     return e.join(g, e.id == g.entity_id).select("id", F.concat(F.lit("# "), "name", F.lit("\n\n## Claims\n"), "lines").alias("markdown"))
 
 
-@query("op_s9", "SELECT string_agg('# ' || r_name, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r_regionkey) AS export FROM region")
+@query("op_s9", "SELECT p_brand AS subtree, string_agg('# ' || p_name, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p_partkey) AS export FROM part GROUP BY p_brand")
 def subtree_export(spark, d):
-    r = b.table(spark, d, "region")
-    return r.agg(listing.ordered_text(F.concat(F.lit("# "), "r_name"), F.col("r_regionkey"), separator="\n\n---\n\n").alias("export"))
+    p = b.table(spark, d, "part")
+    return p.groupBy(F.col("p_brand").alias("subtree")).agg(listing.ordered_text(F.concat(F.lit("# "), "p_name"), F.col("p_partkey"), separator="\n\n---\n\n").alias("export"))
 
 
 @query("op_g16", sql("SELECT e.id, e.id IN (SELECT entity_id FROM v_claims WHERE status = 'retracted') AS is_dirty FROM v_entities e", "v_entities", "v_claims"))

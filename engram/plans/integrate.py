@@ -15,7 +15,7 @@ from ..operators.sanitizing import dictionary, emails_of, with_secrets
 from ..sources import bindings as b
 from ..sources import jsonl
 from ..sources.bindings import sql
-from .access import ACCESS, CLAIM_VIEWS, READER, access_of
+from .access import ACCESS, ADMIN, CLAIM_VIEWS, READER, access_of
 from .registry import query
 
 
@@ -41,14 +41,22 @@ def prompt_lines(spark, d):
     return e.join(facts, e.id == facts.entity_id, "left").select("id", F.format_string("- %s | %s | %s | %s", "id", "name", "entity_type", F.coalesce("facts", F.lit(""))).alias("line"))
 
 
-@query("op_g15", sql(f"{ACCESS}, g AS (SELECT c.entity_id, string_agg('- **' || predicate || '**: ' || value, chr(10) ORDER BY observed_at DESC, id DESC) AS lines FROM v_claims c JOIN access a ON a.claim_id = c.id WHERE status = 'active' AND max_tier_rank <= 1 GROUP BY 1) SELECT e.id, '# ' || e.name || chr(10) || chr(10) || '## Claims' || chr(10) || g.lines AS markdown FROM v_entities e JOIN g ON g.entity_id = e.id WHERE NOT e.is_deleted", *CLAIM_VIEWS, "v_entities"))
+TREE = ", g AS (SELECT {0} AS caller, c.entity_id, string_agg('- **' || predicate || '**: ' || value, chr(10) ORDER BY observed_at DESC, id DESC) AS lines FROM v_claims c JOIN access a ON a.claim_id = c.id WHERE status = 'active' AND max_tier_rank <= {1} GROUP BY 2)"
+NODE = "SELECT g.caller, e.id, '# ' || e.name || chr(10) || chr(10) || '## Claims' || chr(10) || g.lines AS markdown FROM v_entities e JOIN g ON g.entity_id = e.id WHERE NOT e.is_deleted"
+
+
+@query("op_g15", sql(f"{ACCESS}{TREE.format(repr('reader'), 1)}{TREE.format(repr('admin'), 3).replace(', g AS', ', h AS')} {NODE} UNION ALL {NODE.replace('g.', 'h.').replace('JOIN g', 'JOIN h')}", *CLAIM_VIEWS, "v_entities"))
 def tree_read(spark, d):
-    """What a reader sees of entity nodes: visible claims only, no node without one."""
-    seen = visibility.visible_claims(b.claims(spark, d), access_of(spark, d), READER).filter("status = 'active'")
-    line = F.concat(F.lit("- **"), "predicate", F.lit("**: "), "value")
-    g = seen.groupBy("entity_id").agg(listing.ordered_text(line, -F.unix_micros("observed_at"), -F.col("id"), separator="\n").alias("lines"))
-    e = b.entities(spark, d).filter("not is_deleted")
-    return e.join(g, e.id == g.entity_id).select(e.id, F.concat(F.lit("# "), "name", F.lit("\n\n## Claims\n"), "lines").alias("markdown"))
+    """What a reader and an administrator see of entity nodes: visible claims only, no node without one."""
+    access, e = access_of(spark, d), b.entities(spark, d).filter("not is_deleted")
+
+    def seen_by(name, caller):
+        claims = visibility.visible_claims(b.claims(spark, d), access, caller).filter("status = 'active'")
+        line = F.concat(F.lit("- **"), "predicate", F.lit("**: "), "value")
+        g = claims.groupBy("entity_id").agg(listing.ordered_text(line, -F.unix_micros("observed_at"), -F.col("id"), separator="\n").alias("lines"))
+        return e.join(g, e.id == g.entity_id).select(F.lit(name).alias("caller"), e.id, F.concat(F.lit("# "), "name", F.lit("\n\n## Claims\n"), "lines").alias("markdown"))
+
+    return seen_by("reader", READER).unionByName(seen_by("admin", ADMIN))
 
 
 @query("op_x36", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a' || doc_id || ',b' END AS items FROM documents")

@@ -10,22 +10,14 @@ from ..sources import bindings as b
 from ..sources.bindings import sql
 from .registry import query
 
-#: Ranks of hierarchy tiers; here a name's first letter stands for the tier.
-TIERS = "CASE left({0}, 1) WHEN 'A' THEN 1 WHEN 'E' THEN 2 WHEN 'M' THEN 3 ELSE 4 END"
 
-
-def _edges(spark, d):
-    n, r = b.table(spark, d, "nation"), b.table(spark, d, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-
-
-@query("op_j5", "SELECT n.n_nationkey AS source, r.r_regionkey AS target, st.rank AS source_rank, tt.rank AS target_rank FROM nation n JOIN region r ON n_regionkey = r_regionkey JOIN (SELECT n_nationkey AS k, n_nationkey % 4 + 1 AS rank FROM nation) st ON st.k = n.n_nationkey JOIN (SELECT r_regionkey AS k, r_regionkey % 4 + 1 AS rank FROM region) tt ON tt.k = r.r_regionkey WHERE st.rank >= tt.rank")
+@query("op_j5", sql(", k AS (SELECT id, n % 4 + 1 AS rank FROM v_entities) SELECT r.id, r.source_id AS source, r.target_id AS target, a.rank AS source_rank, b.rank AS target_rank FROM v_relations r JOIN k a ON a.id = r.source_id JOIN k b ON b.id = r.target_id WHERE a.rank >= b.rank", "v_relations", "v_entities"))
 def hierarchy_join(spark, d):
-    n, r = b.table(spark, d, "nation"), b.table(spark, d, "region")
-    st = n.select(F.col("n_nationkey").alias("source"), (F.col("n_nationkey") % 4 + 1).alias("source_rank"))
-    tt = r.select(F.col("r_regionkey").alias("target"), (F.col("r_regionkey") % 4 + 1).alias("target_rank"))
-    edges = n.select(F.col("n_nationkey").alias("source"), F.col("n_regionkey").alias("target"))
-    return edges.join(st, "source").join(tt, "target").filter("source_rank >= target_rank").select("source", "target", "source_rank", "target_rank")
+    """Edges with the tiers of both ends, where they don't point up."""
+    tier = b.entities(spark, d).select(F.col("id").alias("end"), (F.col("n") % 4 + 1).alias("rank"))
+    r = b.relations(spark, d).select("id", F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    both = r.join(tier.withColumnsRenamed({"end": "source", "rank": "source_rank"}), "source").join(tier.withColumnsRenamed({"end": "target", "rank": "target_rank"}), "target")
+    return both.filter("source_rank >= target_rank").select("id", "source", "target", "source_rank", "target_rank")
 
 
 @query("op_g17", "WITH bad AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 4 >= n_regionkey % 4) SELECT n_regionkey AS target, count(*) AS inverted, min(n_nationkey) AS sample FROM bad GROUP BY 1")

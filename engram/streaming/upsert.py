@@ -2,8 +2,8 @@
 
 Each micro-batch reads the newest snapshot, merges its rows and writes a
 snapshot named by the batch id. A replayed batch writes the same snapshot
-again from the one before it, so replays change nothing. Late rows are kept:
-no watermark drops them.
+again from the one before it, so replays change nothing; the two newest are
+kept. Late rows are kept: no watermark drops them.
 """
 
 from __future__ import annotations
@@ -44,5 +44,8 @@ def upsert_stream(events: DataFrame, path: str, checkpoint: str, payload: list[s
             old = last.limit(0)
         merged = upsert_events(old, last, KEYS, payload).drop("inserted")
         merged.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for done in _snapshots(spark, path)[:-2]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={done}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
