@@ -49,7 +49,7 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more, and the shuffle files behind them, which go with the driver's garbage."""
+        """Delete tables that nothing reads any more, and the shuffle files of finished jobs, which go with the driver's garbage."""
         for df in tables:
             self.delete(df._engram_path)
         self.spark._jvm.System.gc()
