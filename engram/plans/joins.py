@@ -20,7 +20,7 @@ def hierarchy_join(spark, d):
     return both.filter("source_rank >= target_rank").select("id", "source", "target", "source_rank", "target_rank")
 
 
-@query("op_g17", "WITH bad AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 4 >= n_regionkey % 4) SELECT n_regionkey AS target, count(*) AS inverted, min(n_nationkey) AS sample FROM bad GROUP BY 1")
+@query("op_g17", sql(", k AS (SELECT id, n % 4 + 1 AS rank FROM v_entities) SELECT r.target_id AS target, count(*) AS inverted, min(r.source_id) AS sample FROM v_relations r JOIN k a ON a.id = r.source_id JOIN k b ON b.id = r.target_id WHERE a.rank >= b.rank GROUP BY 1", "v_relations", "v_entities"))
 def hierarchy_audit(spark, d):
     bad = hierarchy_join(spark, d)
     return bad.groupBy("target").agg(F.count("*").alias("inverted"), F.min("source").alias("sample"))
