@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, substring_dedup, token_counts, token_output
+from . import clustering, decontamination, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, sharding, spelling, substring_dedup, token_counts, token_output
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_sharding": sharding.op10_sharding,
+    "op11_centroid_clustering": clustering.op11_centroid_clustering,
+    "op12_packing": packing.op12_packing,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op11_centroid_clustering": clustering.ORACLE,
 }
