@@ -2,8 +2,8 @@
 
 Each task encodes its documents. Whole windows of a long document stand alone;
 what is left of each document, less than a window, goes into a pool. A window
-takes the longest piece of the pool and fills what remains with the multiset of
-pieces whose lengths come closest to it: a subset-sum over the lengths and their
+takes the longest piece of the pool (or, where that leaves a gap, any) and fills
+what remains with the multiset of pieces whose lengths come closest to it: a subset-sum over the lengths and their
 counts, as bits of an integer, and from its steps the counts are traced back.
 The pool always holds several hundred pieces, so nearly every window is filled
 to the last place; at the end of a task, where the pool runs out, pieces are cut
@@ -98,12 +98,14 @@ class Packer:
 
     def pack(self) -> None:
         """One window from the pool."""
-        present = np.flatnonzero(self.count)[::-1].tolist()
-        chosen = [self._take(present[0])]
-        left = self.window - present[0]
-        for length, times in fill([(x, int(self.count[x])) for x in present if self.count[x]], left) if left else []:
-            chosen += [self._take(length) for _ in range(times)]
-            left -= length * times
+        lengths = [(x, int(self.count[x])) for x in np.flatnonzero(self.count)[::-1].tolist()]
+        longest, others = lengths[0][0], [(lengths[0][0], lengths[0][1] - 1), *lengths[1:]]
+        plan = [(longest, 1), *fill(others, self.window - longest)]
+        if sum(x * n for x, n in plan) < self.window:  # the longest may wait for another window
+            best = fill(lengths, self.window)
+            plan = best if sum(x * n for x, n in best) == self.window else plan
+        chosen = [self._take(x) for x, n in plan for _ in range(n)]
+        left = self.window - sum(x * n for x, n in plan)
         while left and self.held:  # no multiset fits: every piece that is left is longer
             chosen.append(self._cut(left))
             left = 0
