@@ -15,7 +15,7 @@ No text is shuffled, and sequences get their numbers from a sum over tasks.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ END_ID = 1
 POOL = 512
 
 
-def fill(lengths: list[tuple[int, int]], capacity: int) -> list[tuple[int, int]]:
+def fill(lengths: Iterable[tuple[int, int]], capacity: int) -> list[tuple[int, int]]:
     """Of `lengths` (length, count) the multiset (length, times) whose sum comes closest to `capacity` from below."""
     reach, steps, full = 1, [], 1 << capacity
     mask = 2 * full - 1
@@ -98,11 +98,11 @@ class Packer:
 
     def pack(self) -> None:
         """One window from the pool."""
-        lengths = [(x, int(self.count[x])) for x in np.flatnonzero(self.count)[::-1].tolist()]
-        longest, others = lengths[0][0], [(lengths[0][0], lengths[0][1] - 1), *lengths[1:]]
-        plan = [(longest, 1), *fill(others, self.window - longest)]
+        lengths = np.flatnonzero(self.count)[::-1].tolist()
+        longest = lengths[0]
+        plan = [(longest, 1), *fill(((x, self.count.item(x) - (x == longest)) for x in lengths), self.window - longest)]
         if sum(x * n for x, n in plan) < self.window:  # the longest may wait for another window
-            best = fill(lengths, self.window)
+            best = fill(((x, self.count.item(x)) for x in lengths), self.window)
             plan = best if sum(x * n for x, n in best) == self.window else plan
         chosen = [self._take(x) for x, n in plan for _ in range(n)]
         left = self.window - sum(x * n for x, n in plan)
