@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_artifact_name
+from ..sources.storage import written
 
 MAX_PASSES = 3
 
@@ -44,18 +42,7 @@ def signature(actions: DataFrame) -> str:
 
 def snapshots(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """A function that writes rows under ``spark.checkpoint.dir`` and reads them back; a session on one machine may leave it unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="engram-")
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{at.rstrip('/')}/engram-pass-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
+    return lambda df: written(df, "pass")
 
 
 def to_fixpoint(entities: DataFrame, propose: Callable[[DataFrame], DataFrame], apply: Callable[[DataFrame, DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], passes: int = MAX_PASSES) -> tuple[DataFrame, str]:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler_of, weighted_ratio
 from ..functions.text import normalize_name, transliterate
+from ..sources.storage import written
+from . import cells as cl
 
 MERGE, ASK = 0.92, 0.85
 BATCH = 9
@@ -49,10 +52,12 @@ def in_cells(left: DataFrame, right: DataFrame, on: str, id_left: str, id_right:
 def shortlist(entities: DataFrame, k: int = 5, threshold: float = 0.9, rows: int = CELL_ROWS) -> DataFrame:
     """(a, b, similarity): of each entity (id, entity_type, name, embedding) its `k` nearest of the same type at `threshold` or more, as canonical pairs.
 
-    Exact: blocks of a type are multiplied with each other, and each row's best
-    `k` of a block stay. Similarities are compared to nine decimals, then by id.
-    Names of fewer than four characters and type-less entities take no part, nor
-    do null vectors; vectors of different lengths have no similarity.
+    Exact, by cells with overlap: an entity is compared in every cell that can
+    hold one within the angle of `threshold`, by the angles that the cell's
+    members span, and in no other; each row's best `k` of a block stay.
+    Similarities are compared to nine decimals, then by id. Names of fewer than
+    four characters and type-less entities take no part, nor do null vectors;
+    vectors of different lengths have no similarity.
     """
     e = entities.filter((F.length("name") >= 4) & (F.col("entity_type") != "unknown") & F.col("embedding").isNotNull())
     e = e.select("id", F.concat_ws(":", F.size("embedding").cast("string"), "entity_type").alias("kind"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -63,18 +68,44 @@ def shortlist(entities: DataFrame, k: int = 5, threshold: float = 0.9, rows: int
             return pd.DataFrame(columns=["id", "other", "similarity"])
         score = np.nan_to_num(np.round(unit(left) @ unit(right).T, 9), nan=0.0)
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        score[(ids[:, None] == others[None, :]) | (score < threshold)] = -2
-        order = np.lexsort((np.broadcast_to(others, score.shape), -score), axis=1)[:, :k]
-        top = np.take_along_axis(score, order, axis=1)
-        at, place = np.nonzero(top >= threshold)
-        return pd.DataFrame({"id": ids[at], "other": others[order[at, place]], "similarity": top[at, place]})
+        at, place = np.nonzero((score >= threshold) & (ids[:, None] != others[None, :]))
+        order = np.lexsort((others[place], -score[at, place], at))
+        at, place = at[order], place[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        at, place = at[rank < k], place[rank < k]
+        return pd.DataFrame({"id": ids[at], "other": others[place], "similarity": score[at, place]})
 
     kind = dict(e.dtypes)["id"]
-    scored = in_cells(e, e, "kind", "id", "id", best, f"id {kind}, other {kind}, similarity double", rows)
+    placed, reaching = overlapping(e, threshold, rows)
+    scored = in_cells(reaching, placed, "place", "id", "id", best, f"id {kind}, other {kind}, similarity double", rows)
     near = scored.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("__r") <= k)
     return near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def overlapping(vectors: DataFrame, threshold: float, rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """`vectors` (id, kind, embedding) with `place`, a kind's cell: each once, in its own, and once for each cell that can hold a vector of `threshold` similarity or more.
+
+    Vectors that no cell can hold (of another length than most, or without a
+    direction) share a place of their kind; a threshold of 0 or less reaches all.
+    """
+    n = vectors.count()
+    centroids = cl.fit(vectors, "embedding", max(1, min(cl.MOST_CELLS, n // rows)))
+    own = written(cl.assigned(vectors, "embedding", centroids), "cells")
+    extents = cl.Extents.of(own, centroids)
+    near, dims = float(np.arccos(min(1.0, max(threshold - 1e-9, -1.0)))), centroids.shape[1]
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, ok = cl.units(batch.column("embedding").to_pylist(), dims)
+            found = extents.apart(x) <= near if extents.ids else np.zeros((len(x), 0), bool)
+            lists = [[extents.ids[c] for c in np.flatnonzero(f)] + [cl.NOWHERE] * (threshold <= 0) if k else [cl.NOWHERE] + (extents.ids if threshold <= 0 else []) for f, k in zip(found, ok.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), batch.column("embedding"), pa.array(lists, pa.list_(pa.int32()))], names=["id", "kind", "embedding", "cells"])
+
+    asked = vectors.mapInArrow(reach, vectors.select("id", "kind", "embedding", F.array(F.lit(0)).alias("cells")).schema).withColumn("cell", F.explode("cells"))
+    place = F.concat_ws("/", F.col("cell").cast("string"), "kind").alias("place")
+    return own.select("id", place, "embedding"), asked.select("id", place, "embedding")
+
+
 def _bounds(a: list[str], b: list[str]) -> np.ndarray:
     """Upper bounds of the Jaro-Winkler similarity of every pair, from lengths, common characters and common beginnings."""
     letters = {c: i for i, c in enumerate(sorted(set("".join(a) + "".join(b))))}

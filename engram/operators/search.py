@@ -31,7 +31,7 @@ class WebQuery:
     def parse(cls, text: str) -> WebQuery:
         groups = []
         for part in re.split(r"\s+or\s+", text, flags=re.IGNORECASE):
-            phrases = tuple(tuple(w.lower() for w in re.findall(r"\w+", p)) for p in re.findall(r'"([^"]*)"', part))
+            phrases = tuple(p for p in (tuple(w.lower() for w in re.findall(r"\w+", p)) for p in re.findall(r'"([^"]*)"', part)) if p)
             words, out = [], []
             for w in re.sub(r'"[^"]*"', " ", part).split():
                 (out if w.startswith("-") else words).extend(x.lower() for x in re.findall(r"\w+", w))
@@ -46,7 +46,7 @@ class WebQuery:
         joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
 
         def one(words, phrases, out):
-            parts = [F.array_contains(toks, w) for w in words] + [F.contains(joined, F.lit(f" {' '.join(p)} ")) for p in phrases if p] + [~F.array_contains(toks, w) for w in out]
+            parts = [F.array_contains(toks, w) for w in words] + [F.contains(joined, F.lit(f" {' '.join(p)} ")) for p in phrases] + [~F.array_contains(toks, w) for w in out]
             return reduce(lambda a, b: a & b, parts, F.lit(bool(words or phrases)))
 
         return reduce(lambda a, b: a | b, [one(*g) for g in self.groups])
@@ -57,9 +57,14 @@ class WebQuery:
         return F.size(F.filter(toks, lambda t: F.array_contains(wanted, t)))
 
 
+def visible_chunks(caller: Caller) -> Column:
+    """What a channel may show of chunks: the caller's levels, entities left out."""
+    return F.col("access_level").isin(*sorted(caller.levels)) & (F.col("source_type") != "entity")
+
+
 def vector_channel(chunks: DataFrame, query: list[float], caller: Caller, limit: int) -> DataFrame:
     """(key, content, score): nearest visible vectors, entities left out."""
-    seen = chunks.filter(F.col("access_level").isin(*sorted(caller.levels)) & (F.col("source_type") != "entity"))
+    seen = chunks.filter(visible_chunks(caller))
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = seen.select(F.concat_ws(":", "source_type", F.col("id").cast("string")).alias("key"), "content", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "key").limit(limit)
@@ -67,20 +72,30 @@ def vector_channel(chunks: DataFrame, query: list[float], caller: Caller, limit:
 
 def text_channel(chunks: DataFrame, query: WebQuery, caller: Caller, limit: int) -> DataFrame:
     """(key, content, score): visible chunks that match, by term frequency."""
-    seen = chunks.filter(F.col("access_level").isin(*sorted(caller.levels)) & (F.col("source_type") != "entity")).withColumn("__t", tokens(F.col("content")))
+    seen = chunks.filter(visible_chunks(caller)).withColumn("__t", tokens(F.col("content")))
     hits = seen.filter(query.matches(F.col("__t")))
     return hits.select(F.concat_ws(":", "source_type", F.col("id").cast("string")).alias("key"), "content", query.rank(F.col("__t")).cast("double").alias("score")).orderBy(F.desc("score"), "key").limit(limit)
 
 
-def entity_text_channel(entities: DataFrame, claims: DataFrame, query: WebQuery, limit: int) -> DataFrame:
-    """(key, content, score): entities whose name or a visible active claim matches; content lists the matching claims."""
+def claim_texts(entities: DataFrame, claims: DataFrame) -> DataFrame:
+    """Active claims with the name of their live entity, and `text`, what a search reads of them."""
     joined = claims.filter("status = 'active'").join(entities.filter("not is_deleted").select(F.col("id").alias("entity_id"), "name"), "entity_id")
-    hits = joined.withColumn("__t", tokens(F.concat_ws(" ", "name", "predicate", "value"))).filter(query.matches(F.col("__t")))
+    return joined.withColumn("text", F.concat_ws(" ", "name", "predicate", "value"))
+
+
+def entity_hits(claims: DataFrame, limit: int) -> DataFrame:
+    """(key, content, score): the entities of matching claims (entity_id, name, predicate, value, observed_at, id, score), best first."""
     text = ordered_text(F.concat(F.col("predicate"), F.lit(": "), F.col("value")), -F.unix_micros("observed_at"), -F.col("id"))
-    grouped = hits.groupBy("entity_id", "name").agg(text.alias("claims"), F.max(query.rank(F.col("__t"))).cast("double").alias("score"))
+    grouped = claims.groupBy("entity_id", "name").agg(text.alias("claims"), F.max("score").cast("double").alias("score"))
     return grouped.select(F.concat(F.lit("entity:"), "entity_id").alias("key"), F.concat_ws(": ", "name", "claims").alias("content"), "score").orderBy(F.desc("score"), "key").limit(limit)
 
 
+def entity_text_channel(entities: DataFrame, claims: DataFrame, query: WebQuery, limit: int) -> DataFrame:
+    """(key, content, score): entities whose name or a visible active claim matches; content lists the matching claims."""
+    hits = claim_texts(entities, claims).withColumn("__t", tokens(F.col("text"))).filter(query.matches(F.col("__t")))
+    return entity_hits(hits.withColumn("score", query.rank(F.col("__t"))), limit)
+
+
 def full_text_channel(chunks: DataFrame, entities: DataFrame, visible_claims: DataFrame, query: WebQuery, caller: Caller, limit: int) -> DataFrame:
     """(key, content, score): the best of matching chunks and of entities with a matching claim, `limit` of either and in all."""
     both = text_channel(chunks, query, caller, limit).unionByName(entity_text_channel(entities, visible_claims, query, limit))
@@ -100,7 +115,11 @@ def name_channel(entities: DataFrame, visible_claims: DataFrame, query: str, lim
     """(key, content, score): entities by trigram similarity of the name; three times `limit` candidates are taken before the access join."""
     q = trigrams(F.lit(query))
     cand = entities.filter("not is_deleted").select("id", "name", F.round(trigram_similarity(trigrams(F.col("name")), q), 6).alias("score")).filter(F.col("score") > least)
-    cand = cand.orderBy(F.desc("score"), "id").limit(3 * limit)
+    return with_claims(cand.orderBy(F.desc("score"), "id").limit(3 * limit), visible_claims, limit)
+
+
+def with_claims(cand: DataFrame, visible_claims: DataFrame, limit: int) -> DataFrame:
+    """(key, content, score): candidates (id, name, score), those without a visible active claim left out."""
     text = ordered_text(F.concat(F.col("predicate"), F.lit(": "), F.col("value")), -F.unix_micros("observed_at"), -F.col("id"))
     claims = visible_claims.filter("status = 'active'")
     packed = claims.join(cand.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").groupBy("entity_id").agg(text.alias("claims"))

@@ -8,11 +8,13 @@ from ..functions.access import rank_to_level
 from ..functions.similarity import cosine, trigram_similarity, trigrams
 from ..functions.text import fake_embedding
 from ..operators import search
+from ..operators.text_index import TextIndex, TrigramIndex
+from ..operators.vector_index import VectorIndex
 from ..operators.visibility import visible_claims
 from ..sources import bindings as b
 from ..sources.bindings import sql
 from .access import ACCESS, CLAIM_VIEWS, READER, access_of
-from .registry import query
+from .registry import ORACLES, query
 
 QUERY = search.WebQuery.parse("nicht or urgent priority -trash")
 DIM = 64
@@ -79,6 +81,19 @@ def vector_channel(spark, d):
     return vector_rows(spark, d)
 
 
+@query("op_l2_index", ORACLES["op_l2"])
+def indexed_nearest(spark, d):
+    """The nearest vectors from an inverted file built here; cells that can't hold one are not read."""
+    index = VectorIndex.build(b.table(spark, d, "embeddings").select("vec_id", "embedding"))
+    return index.nearest(PROBE, 25, "vec_id").select("vec_id", F.round(1 - F.col("score"), 6).alias("distance"))
+
+
+@query("op_e1_index", ORACLES["op_e1"])
+def indexed_vector_channel(spark, d):
+    index = VectorIndex.build(b.vectors(spark, d).withColumn("key", F.concat_ws(":", "source_type", F.col("id").cast("string"))))
+    return index.nearest(PROBE, 20, "key", keep=search.visible_chunks(READER)).select("key", "content", "score")
+
+
 @query("op_e2", sql(f"{MATCH} {text_sql(400)}", *CLAIM_VIEWS, "v_entities", "v_vectors"))
 def text_channel(spark, d):
     return text_rows(spark, d, 400)
@@ -124,6 +139,31 @@ def union_of_hits(spark, d):
     return text_rows(spark, d, 400).select("key", "score")
 
 
+@query("op_x9_index", ORACLES["op_x9"])
+def indexed_web_search(spark, d):
+    """The same search from postings, phrases by their places."""
+    index = TextIndex.build(b.table(spark, d, "documents"), "doc_id", "text")
+    return index.matches(search.WebQuery.parse('the and -trash OR de "de la"')).select(F.col("key").alias("doc_id"))
+
+
+@query("op_e2_index", ORACLES["op_e2"])
+def indexed_text_channel(spark, d):
+    """Chunks and claims from postings; a claim's level, which its sources set, is looked up for its hits only."""
+    chunks = b.vectors(spark, d).withColumn("key", F.concat_ws(":", "source_type", F.col("id").cast("string")))
+    texts = TextIndex.build(chunks, "key", "content", ["access_level", "source_type"])
+    of_chunks = texts.top(QUERY, 400, search.visible_chunks(READER)).select("key", F.col("text").alias("content"), F.col("score").cast("double").alias("score"))
+    claims = search.claim_texts(b.entities(spark, d), b.claims(spark, d))
+    hits = TextIndex.build(claims, "id", "text").matches(QUERY).select(F.col("key").alias("id"), "score")
+    seen = seen_claims(spark, d).join(hits, "id").join(claims.select("id", "name"), "id")
+    return of_chunks.unionByName(search.entity_hits(seen, 400)).orderBy(F.desc("score"), "key").limit(400)
+
+
+@query("op_e3_index", ORACLES["op_e3"])
+def indexed_name_channel(spark, d):
+    index = TrigramIndex.build(b.entities(spark, d).filter("not is_deleted"), "id", "name")
+    return search.with_claims(index.top(NAME, 60).withColumnRenamed("key", "id"), seen_claims(spark, d), 20)
+
+
 RANKED = ", ".join(f"r{i} AS (SELECT key, content, row_number() OVER (ORDER BY score DESC, key) AS rank, '{n}' AS channel, {i} AS priority FROM ({q}) x)" for i, (n, q) in enumerate((("vector", VECTOR), ("fts", TEXT), ("entity_name", NAME_ROWS))))
 FUSED = f"{MATCH}, {NAMES}, {RANKED}, rows AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2), fused AS (SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, arg_min(content, priority) AS content, string_agg(channel, ',' ORDER BY priority) AS channels, min(struct_pack(p := priority, r := rank)) AS f FROM rows GROUP BY key)"
 
