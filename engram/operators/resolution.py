@@ -14,6 +14,7 @@ from ..functions.similarity import jaro_winkler_of, weighted_ratio
 from ..functions.text import normalize_name, transliterate
 from ..sources.storage import written
 from . import cells as cl
+from .fuzzy import STEPS, most_alike
 
 MERGE, ASK = 0.92, 0.85
 BATCH = 9
@@ -126,13 +127,24 @@ def _bounds(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro) + 1e-9
 
 
-def nearest_names(mentions: DataFrame, names: DataFrame, rows: int = CELL_ROWS) -> DataFrame:
+def nearest_names(mentions: DataFrame, names: DataFrame, rows: int = CELL_ROWS, least: float = 0.0) -> DataFrame:
     """(mention_id, entity_id, score): of each mention (mention_id, mention, latin) the most similar name (entity_id, name, latin), then the smallest id.
 
     The score is the best Jaro-Winkler similarity of the two as they are and of
-    either one in Latin letters with the other as it is. Exact: a pair is scored
-    unless its bound is below the best so far. Null names take no part.
+    either one in Latin letters with the other as it is. Similarities from
+    `fuzzy.STEPS` on are found by signatures; only for a smaller `least` are the
+    mentions that have none of those compared with all names, in blocks, where a
+    pair is scored unless its bound is below the best so far. Null names take no
+    part.
     """
+    found = most_alike(mentions, names, max(least, STEPS[-1]))
+    if least >= STEPS[-1]:
+        return found
+    return found.unionByName(_nearest_of_all(mentions.join(found, "mention_id", "left_anti"), names, rows).filter(F.col("score") >= least))
+
+
+def _nearest_of_all(mentions: DataFrame, names: DataFrame, rows: int) -> DataFrame:
+    """The same against all names, in blocks."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -174,49 +186,56 @@ def resolve_runs(mentions: DataFrame, names: DataFrame, verify: Verifier = share
     four characters on) at 0.92 or more, or at 0.85 or more if `verify` agrees,
     or else a new entity, named after the mention. Mentions of one run are
     resolved in order, and later ones see the entities that earlier ones made;
-    a run is what was extracted from one event, so a task holds whole runs.
+    a run is what was extracted from one event, so a task holds whole runs. A
+    new entity's score is that of the best it was made beside in its run, or 0.
     """
     known = names.select(F.col("entity_id").cast("string").alias("entity_id"), normalize_name(F.col("name")).alias("name"), "is_alias").filter("name <> ''")
     exact = known.groupBy("name").agg(F.min(F.struct("is_alias", "entity_id")).alias("__x"))
     m = mentions.select("run_id", "seq", "mention", normalize_name(F.col("mention")).alias("__norm"))
     m = m.join(exact.withColumnRenamed("name", "__norm"), "__norm", "left")
     distinct = m.filter("__x is null and char_length(__norm) >= 4").select(F.col("__norm").alias("mention_id")).distinct()
-    near = nearest_names(distinct.select("mention_id", F.col("mention_id").alias("mention"), transliterate(F.col("mention_id")).alias("latin")), known.select("entity_id", "name", transliterate(F.col("name")).alias("latin")), rows)
+    near = nearest_names(distinct.select("mention_id", F.col("mention_id").alias("mention"), transliterate(F.col("mention_id")).alias("latin")), known.select("entity_id", "name", transliterate(F.col("name")).alias("latin")), rows, ASK)
     near = near.join(known.groupBy("entity_id").agg(F.min("name").alias("__their")), "entity_id").select(F.col("mention_id").alias("__norm"), F.col("entity_id").alias("__near"), F.col("score").alias("__score"), "__their")
     m = m.join(near, "__norm", "left").withColumn("__latin", transliterate(F.col("__norm")))
 
-    def one_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made: dict[str, str] = {}
-        latin: dict[str, str] = {}
-        out = []
-        for r in pdf.sort_values("seq").itertuples():
-            norm, x = r.norm or "", r.x
-            entity, new, action, score = None, False, "exact", 1.0
-            if isinstance(x, str):
-                entity, action = x[1:], "alias" if x[0] == "1" else "exact"
-            elif norm in made:
-                entity = made[norm]
-            else:
-                best = (float(r.score), r.near, r.their) if isinstance(r.near, str) else (0.0, None, "")
-                if len(norm) >= 4:
-                    for name, made_id in made.items():
-                        s = max(jaro_winkler_of(a, b) for a, b in {(norm, name), (r.latin, name), (norm, latin[name])})
-                        if s > best[0]:
-                            best = (s, made_id, name)
-                score = best[0]
-                if best[1] is not None and score >= MERGE:
-                    entity, action = best[1], "merged"
-                elif best[1] is not None and score >= ASK and verify(norm, best[2]):
-                    entity, action = best[1], "verified"
+    kinds, out_names = dict(mentions.dtypes), ["run_id", "seq", "mention", "entity_id", "is_new", "action", "score"]
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, made, latin = (), {}, {}
+        for batch in batches:
+            out = []
+            for run_id, seq, mention, norm, x, near, near_score, their, own_latin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if run != (run_id,):
+                    run, made, latin = (run_id,), {}, {}
+                norm = norm or ""
+                entity, new, action, score = None, False, "exact", 1.0
+                if x is not None:
+                    entity, action = x[1:], "alias" if x[0] == "1" else "exact"
+                elif norm in made:
+                    entity = made[norm]
                 else:
-                    entity, new, action = f"new:{r.run_id}:{r.seq}", True, "created"
-                    made[norm], latin[norm] = entity, r.latin
-            out.append((r.run_id, r.seq, r.mention, entity, new, action, score))
-        return pd.DataFrame(out, columns=["run_id", "seq", "mention", "entity_id", "is_new", "action", "score"])
+                    best = (near_score, near, their) if near is not None else (0.0, None, "")
+                    if len(norm) >= 4:
+                        for name, made_id in made.items():
+                            s = max(jaro_winkler_of(a, b) for a, b in {(norm, name), (own_latin, name), (norm, latin[name])})
+                            if s > best[0]:
+                                best = (s, made_id, name)
+                    score = best[0]
+                    if best[1] is not None and score >= MERGE:
+                        entity, action = best[1], "merged"
+                    elif best[1] is not None and score >= ASK and verify(norm, best[2]):
+                        entity, action = best[1], "verified"
+                    else:
+                        entity, new, action = f"new:{run_id}:{seq}", True, "created"
+                        made[norm], latin[norm] = entity, own_latin
+                out.append((run_id, seq, mention, entity, new, action, score))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            types = [batch.schema.field("run_id").type, batch.schema.field("seq").type, pa.string(), pa.string(), pa.bool_(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=out_names)
 
-    kinds = dict(mentions.dtypes)
     rows_of = m.select("run_id", "seq", "mention", F.col("__norm").alias("norm"), F.concat(F.col("__x.is_alias").cast("int").cast("string"), F.col("__x.entity_id")).alias("x"), F.col("__near").alias("near"), F.col("__score").alias("score"), F.col("__their").alias("their"), F.col("__latin").alias("latin"))
-    return rows_of.groupBy("run_id").applyInPandas(one_run, f"run_id {kinds['run_id']}, seq {kinds['seq']}, mention string, entity_id string, is_new boolean, action string, score double")
+    sorted_ = rows_of.repartition("run_id").sortWithinPartitions("run_id", "seq")
+    return sorted_.mapInArrow(in_order, f"run_id {kinds['run_id']}, seq {kinds['seq']}, mention string, entity_id string, is_new boolean, action string, score double")
 
 
 def duplicate_names(entities: DataFrame, verify: Verifier = share_a_word, sure: float = 0.85, doubtful: float = 0.70, rows: int = CELL_ROWS) -> DataFrame:

@@ -170,9 +170,9 @@ def resolve(spark, d):
 def resolve_runs(spark, d):
     """Orders as runs that mention parts by edited names; later mentions of a run see what earlier ones made. Tested by sequential replay."""
     p = b.table(spark, d, "part").select("p_partkey", "p_name")
-    x = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("p_partkey")).filter("p_partkey % 40 = 0").join(p, "p_partkey")
+    x = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("p_partkey")).join(p, "p_partkey")
     edited = F.when(F.col("seq") % 3 == 0, F.col("p_name")).when(F.col("seq") % 3 == 1, F.reverse("p_name")).otherwise(F.concat("p_name", F.lit(" x")))
-    names = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 6 == 0).alias("is_alias"))
+    names = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 6 == 0).alias("is_alias"))
     return resolution.resolve_runs(x.select("run_id", "seq", edited.alias("mention")), names).withColumn("score", F.round("score", 9))
 
 

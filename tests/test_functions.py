@@ -101,6 +101,25 @@ def test_sanitized_texts(spark):
     assert got[4] == "user_02@example.com at Initech; +1-555-0102 <#C_FAKE_01|fake-channel> <#C_FAKE_02|fake-channel>"
 
 
+def test_sanitized_texts_of_null_and_repeated_keys(spark):
+    """Every address is replaced, by one pseudonym each, whatever the keys are; others' texts are left alone."""
+    texts = ["mail a@b.com now", "c@d.org and a@b.com", "no address", None, "x@y.io, x@y.io", "<@U7> at c@d.org or e@f.gh"]
+    rows = [(k, x, "kept") for k in (None, None, 4, 4, 1) for x in texts]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string").repartition(4)
+    got = sanitizing.sanitize_texts(df, "doc_id", "text").collect()
+    assert len(got) == len(rows)
+    names = {}
+    for x in texts:
+        same = {r.text for r in got if r.text is not None and re.sub(r"user_\d\d@example.com", "@", r.text) == re.sub(r"[a-z]+@[a-z.]+[a-z]", "@", x or "?").replace("<@U7>", "<@U_FAKE_01>")}
+        assert x is None or len(same) == 1
+        for one_, fake in zip(re.findall(r"[a-z]+@[a-z.]+[a-z]", x or ""), re.findall(r"user_\d\d@example.com", "".join(same)), strict=True):
+            assert names.setdefault(one_, fake) == fake
+    assert sorted(names.values()) == [f"user_0{i}@example.com" for i in range(1, 5)] and sum(r.text is None for r in got) == 5
+    assert {r.kind for r in got} == {"kept"}
+    plan = sanitizing.sanitize_texts(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") <= 4 and plan.count("Join ") <= 4
+
+
 def test_numbering_in_ranges(spark):
     r = random.Random(3)
     rows = [(r.randrange(40), f"v{i}") for i in range(300)]

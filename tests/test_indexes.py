@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.functions.similarity import cosine, trigram_similarity, trigrams
-from engram.operators import cells, resolution
+from engram.functions.similarity import cosine, jaro_winkler_of, trigram_similarity, trigrams
+from engram.operators import cells, fuzzy, resolution
 from engram.operators.search import WebQuery, tokens
 from engram.operators.text_index import TextIndex, TrigramIndex
 from engram.operators.vector_index import VectorIndex
@@ -131,3 +131,53 @@ def test_trigram_index_is_a_scan(spark):
             want = sorted((-x.score, x.id) for x in scored.collect())
             assert sorted((-x.score, x.key) for x in index.similar(query, least).collect()) == want
             assert sorted((-x.score, x.key) for x in index.top(query, 9, least).collect()) == want[:9]
+
+
+def alike_names(r, n, letters="abcdefghijklmnoprstuvwyé -"):
+    """Names, each with edited ones: replaced, deleted, inserted and moved characters, and long names cut and repeated."""
+    names = set()
+    for _ in range(n):
+        name = [r.choice(letters) for _ in range(r.choice([*range(1, 16), 45, 90]))]
+        names.add("".join(name))
+        for _ in range(3):
+            for _ in range(r.randint(1, 3)):
+                at, kind = r.randrange(len(name)), r.random()
+                name[at : at + (kind < 0.6)] = [] if kind < 0.3 and len(name) > 1 else [r.choice(letters)]
+            names.add("".join(name))
+    return sorted(x for x in names if x)
+
+
+def test_no_alike_pair_is_filtered_out():
+    names = alike_names(random.Random(5), 90) + ["a", "aa", "ab", "abcd" * 30, "abcd" * 24]
+    rank = {(c, i): j for j, (c, i) in enumerate((c, i) for i in range(8, 0, -1) for c in "zyabcdefghijklmnoprstuvwé -")}
+    for least in (0.85, 0.9, 0.97):
+        signed = {n: set(fuzzy.Signatures(least, rank).of(n).tolist()) for n in names}
+        for i, a in enumerate(names):
+            assert all(signed[a] & signed[b] for b in names[i:] if jaro_winkler_of(a, b) >= least)
+
+
+def test_alike_pairs_and_few_candidates(spark):
+    """Equal to all pairs; twice the names give about twice the candidates where the pairs themselves do."""
+    counted = []
+    for n in (60, 120):
+        names = alike_names(random.Random(n), n)
+        df = spark.createDataFrame([(x,) for x in names] + [(None,), ("",), (names[0],)], "name string")
+        want = {(a, b) for a in names for b in names if jaro_winkler_of(a, b) >= 0.9}
+        assert {(r.a, r.b) for r in fuzzy.alike(df, df, 0.9).collect()} == want
+        counted.append(fuzzy.candidates(df.filter("name is not null"), df.filter("name is not null"), 0.9, fuzzy._rarity(df.filter("name is not null"))).count())
+        assert counted[-1] < 0.05 * len(names) ** 2
+    assert counted[1] < 3 * counted[0]
+
+
+def test_most_alike_in_steps(spark):
+    r = random.Random(9)
+    names = alike_names(r, 40)
+    latin = {x: x.replace("é", "e") for x in names}
+    mentions = [(i, x[: max(1, len(x) - r.randint(0, 2))] + r.choice(["", "q"])) for i, x in enumerate(names[::2])]
+    m = spark.createDataFrame([(i, x, x.replace("é", "e")) for i, x in mentions] + [(999, None, None)], "mention_id long, mention string, latin string")
+    n = spark.createDataFrame([(i, x, latin[x]) for i, x in enumerate(names)] + [(998, None, None)], "entity_id long, name string, latin string")
+    score = lambda a, b: max(jaro_winkler_of(a, b), jaro_winkler_of(a.replace("é", "e"), b), jaro_winkler_of(a, latin[b]))
+    want = {i: min((-score(x, b), j) for j, b in enumerate(names)) for i, x in mentions}
+    got = {x.mention_id: (-x.score, x.entity_id) for x in fuzzy.most_alike(m, n).collect()}
+    assert got == {i: w for i, w in want.items() if -w[0] >= 0.85}
+    assert fuzzy.most_alike(m.limit(0), n).collect() == []
