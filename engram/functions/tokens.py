@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
+import regex
 from pyspark.sql.types import LongType, StringType
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The last place of a text at which a word certainly begins.
+WORD = regex.compile(r"(?r)(?<=\S) (?=\p{L})")
 
 
 class Counter(Protocol):
@@ -21,6 +25,9 @@ class Counter(Protocol):
     def pieces(self, text: str, size: int) -> list[str]:
         """Consecutive parts of `size` tokens each."""
 
+    def ruler(self, text: str) -> Callable[[int, int], int]:
+        """A function that gives the tokens of a part text[a:b]; for one `a` and growing `b` it doesn't encode what it has seen anew."""
+
 
 class Characters:
     """A token for every four characters."""
@@ -31,6 +38,9 @@ class Characters:
     def pieces(self, text: str, size: int) -> list[str]:
         return [text[i : i + 4 * size] for i in range(0, len(text), 4 * size)]
 
+    def ruler(self, text: str) -> Callable[[int, int], int]:
+        return lambda a, b: (b - a) // 4
+
 
 class Bpe:
     """Byte-level BPE; special tokens' names in a text are ordinary text."""
@@ -43,7 +53,6 @@ class Bpe:
         with open(path, encoding="ascii") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(str.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
     def count(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text))
 
@@ -51,6 +60,27 @@ class Bpe:
         ids = self.encoding.encode_ordinary(text)
         return [self.encoding.decode(ids[i : i + size]) for i in range(0, len(ids), size)]
 
+    def ruler(self, text: str) -> Callable[[int, int], int]:
+        """Tokens never cross the words that the vocabulary's pattern finds; a blank between a visible character and a letter always begins one, whatever follows.
+
+        So what stands before the last such blank of a part is counted once, and
+        a longer part from the same place is counted from there on.
+        """
+        at = blank = counted = 0
+
+        def measure(a: int, b: int) -> int:
+            nonlocal at, blank, counted
+            if a != at or b < blank:
+                at, blank, counted = a, a, 0
+            n = counted + self.count(text[blank:b])
+            m = WORD.search(text, blank + 1, b)
+            if m:
+                counted += self.count(text[blank : m.start()])
+                blank = m.start()
+            return n
+
+        return measure
+
 
 @lru_cache(8)
 def counter(vocabulary: str | None = VOCABULARY) -> Counter:

@@ -63,8 +63,41 @@ def hard_split(text: Column, max_tokens: int) -> Column:
 
 
 def pack(parts: Iterable[str], joint: str, limit: int, tokens: Counter, divide: Callable[[str], list[str]], trim: bool = True) -> list[str]:
-    """Join consecutive parts while they stay within `limit` tokens; a part above it is divided, and its pieces stand apart."""
-    fits = lambda t: len(t.encode()) <= limit or tokens.count(t) <= limit  # noqa: E731  no token is shorter than a byte
+    """Join consecutive parts while they stay within `limit` tokens; a part above it is divided, and its pieces stand apart.
+
+    `trim`: white space around a joined text goes. A part is encoded once by
+    itself and once joined to what is open, not with all that stands before it.
+    """
+    parts = list(parts)
+    text = joint.join(parts)
+    ragged = trim and any(p != p.strip() or not p for p in parts)
+    if not ragged and (not parts or parts[0]) and len(text.encode("utf-8", "replace")) <= limit:  # no token is shorter than a byte
+        return [text] * bool(text)
+    if ragged:
+        return _pack_slowly(parts, joint, limit, tokens, divide, trim)
+    measure = tokens.ruler(text)
+    done, begin, at = [], None, 0  # the open chunk is text[begin:end]
+    end = 0
+    for part in parts:
+        first, last = at, at + len(part)
+        at = last + len(joint)
+        if len(part.encode("utf-8", "replace")) > limit and tokens.count(part) > limit:
+            done += [text[begin:end]] * (begin is not None and end > begin) + divide(part)
+            begin = None
+            continue
+        empty = begin is None or end == begin
+        if not empty and measure(begin, last) > limit:
+            done.append(text[begin:end])
+            empty = True
+        if empty:
+            begin = first
+        end = last
+    return done + [text[begin:end]] * (begin is not None and end > begin)
+
+
+def _pack_slowly(parts: Iterable[str], joint: str, limit: int, tokens: Counter, divide: Callable[[str], list[str]], trim: bool) -> list[str]:
+    """The same, joined texts encoded each for itself."""
+    fits = lambda t: len(t.encode("utf-8", "replace")) <= limit or tokens.count(t) <= limit
     done, open_ = [], ""
     for part in parts:
         if not fits(part):

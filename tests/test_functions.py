@@ -363,6 +363,17 @@ def slow_pack(parts, joint, limit, count, pieces, inner=None):
     return out + ([cur] if cur else [])
 
 
+def test_packing_by_ruler():
+    """Measuring within one encoding gives the chunks that encoding every joined text gives."""
+    r, alphabet = random.Random(4), [*"abcdefg ABC.,!?'\n\t 0123456éЖ東 ", "\n\n", "'s", "  ", "...", "!!!!"]
+    for c in (tokens.counter(), tokens.counter(None)):
+        for _ in range(400):
+            text, limit = "".join(r.choice(alphabet) for _ in range(r.randint(0, 300))), r.randint(2, 40)
+            cut = lambda s, limit=limit, c=c: c.pieces(s, limit)
+            for trim, parts, joint in ((False, text.split("\n\n"), "\n\n"), (True, [p.strip() for p in re.split(r"\n\n+", text) if p.strip()], "\n\n"), (True, re.split(r"(?<=[.!?])\s+", text), " "), (True, [p for p in text.split("\n") if p.strip()], "\n")):
+                assert chunking.pack(parts, joint, limit, c, cut, trim) == chunking._pack_slowly(parts, joint, limit, c, cut, trim)
+
+
 @pytest.mark.parametrize("vocabulary", [None, tokens.VOCABULARY])
 def test_packing_replay(spark, vocabulary):
     c, r = tokens.counter(vocabulary), random.Random(9)
