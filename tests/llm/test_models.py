@@ -170,6 +170,34 @@ def test_decontamination_recall(spark):
     assert found == want
 
 
+def test_decontamination_of_every_kind_of_edit(spark):
+    """Regular insertions and replacements, and random edits of all kinds, around the score: the same pairs and scores as alignment of all with all."""
+    r = np.random.default_rng(21)
+    common = [f"c{i}" for i in range(12)]
+    word = lambda: r.choice(common) if r.random() < 0.4 else f"w{r.integers(0, 1 << 40)}"
+    items = [[word() for _ in range(n)] for n in [30, 30, 3, 4, 5, 8, 15, 60] + [int(r.integers(12, 50)) for _ in range(16)]]
+    spread = [x for i in range(0, 30, 2) for x in [*items[0][i : i + 2], word()]]
+    third = [word() if i % 3 == 2 else w for i, w in enumerate(items[1])]
+    every = [x for w in items[6] for x in (w, word())]
+    thinned = [w for i, w in enumerate(items[7]) if i % 4]
+    texts = [[*[word() for _ in range(15)], *t, *[word() for _ in range(15)]] for t in (spread, third, every, thinned)]
+    for _ in range(220):
+        t = list(items[r.integers(len(items))])
+        for _ in range(int(r.integers(0, len(t)))):
+            at, kind = int(r.integers(len(t))), r.random()
+            t[at : at + (kind < 0.66)] = [] if kind < 0.33 and len(t) > 1 else [word()]
+        texts.append([*[word() for _ in range(int(r.integers(0, 30)))], *t, *[word() for _ in range(int(r.integers(0, 30)))]])
+    code = {w: i for i, w in enumerate({w for x in [*texts, *items] for w in x})}
+    coded = lambda ws: np.array([code[w] for w in ws], np.uint64)
+    best = {(d, i): decontamination.align(coded(x), coded(t))[0] / (2 * len(x)) for d, t in enumerate(texts) for i, x in enumerate(items)}
+    want = {k: round(s, 9) for k, s in best.items() if s >= 0.5}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = {}
+    for f in decontamination.contamination(frame(spark, [(d, " ".join(t), "s") for d, t in enumerate(texts)]), bench).collect():
+        got[f.doc_id, f.item_id] = max(round(f.score, 9), got.get((f.doc_id, f.item_id), 0))
+    assert got == want and {(0, 0), (1, 1), (2, 6), (3, 7)} <= set(want)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Each stage's rows, found again from its input by slow versions of the rules."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300 and n_chars < 6000")
