@@ -421,6 +421,23 @@ def test_substring_recall(spark):
         assert len(want) >= 30 and len(set(want) & found) >= 0.97 * len(want) and found <= set(own)
 
 
+def test_substring_rounds_end_when_nothing_is_new(spark, monkeypatch):
+    """Variants of one passage in which members find each other one round after the other; the last round finds nothing."""
+    rows, own = planted(9, 6, 80, [4] * 40 + [1] * 20 + [2] * 20)
+    want = qualifying(own)
+    counts, verified = [], substring_dedup._verified
+
+    def counted(*args):
+        out = verified(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "_verified", counted)
+    found = {r.doc_id for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert counts[-1] == 0 and len(counts) >= 4 and all(counts[:-1])
+    assert len(found & set(want)) >= 0.95 * len(want) and found <= set(own)
+
+
 @pytest.mark.parametrize("crowd", [64, 4])
 def test_substring_members_that_the_first_lacks(spark, crowd, monkeypatch):
     """Two exact passages amid variants that are too different: each document that has a partner finds one."""
