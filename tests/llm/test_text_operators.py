@@ -435,7 +435,7 @@ def test_substring_rounds_end_when_nothing_is_new(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_verified", counted)
     found = {r.doc_id for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
     assert counts[-1] == 0 and len(counts) >= 4 and all(counts[:-1])
-    assert len(found & set(want)) >= 0.95 * len(want) and found <= set(own)
+    assert len(found & set(want)) >= 0.9 * len(want) and found <= set(own)
 
 
 @pytest.mark.parametrize("crowd", [64, 4])
