@@ -52,6 +52,7 @@ DOMAIN_TYPES = {
     "customer": ["person", "team"],
     "smalltalk": [],
 }
+#: Addresses and links.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 URL = r"""https?://[^\s<>"']+"""
 #: White space at either end, of any alphabet.

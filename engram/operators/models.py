@@ -96,12 +96,12 @@ def settle(text: Column, scores: Column) -> Column:
     return F.transform_values(scores, lambda _, s: F.when(s * 2 >= best, s).otherwise(0.0))
 
 
-def model_scores(model: TextModel, system_prompt: str = "Score nine domains."):
-    """Scores by a model that answers with a JSON object of domains; domains that it leaves out are 0."""
+def model_scores(model: TextModel, system_prompt: str = "Score nine domains.", first_scores: str = "These scores were given to the text above", second_look: str = "give the nine scores that you stand by"):
+    """Scores by a model that answers with a JSON object of domains; domains that it leaves out are 0. The second look sees the first scores between `first_scores` and `second_look`."""
     parse = lambda j: F.from_json(j, MapType(StringType(), DoubleType()))
     ask = answers(model, system_prompt)
     full = lambda m: F.map_from_arrays(F.array(*[F.lit(d) for d in DOMAIN_TYPES]), F.array(*[F.coalesce(F.try_element_at(m, F.lit(d)), F.lit(0.0)) for d in DOMAIN_TYPES]))
-    return lambda text: full(parse(ask(text))), lambda text, scores: full(parse(ask(F.concat(text, F.lit("\n\nPrevious classification: "), F.to_json(scores), F.lit(". Review and correct if needed.")))))
+    return lambda text: full(parse(ask(text))), lambda text, scores: full(parse(ask(F.concat(text, F.lit(f"\n\n{first_scores}: "), F.to_json(scores), F.lit(f"; {second_look}.")))))
 
 
 def classify(chunks: DataFrame, text: str = "chunk", score: Callable[[Column], Column] = keyword_scores, verify: Callable[[Column, Column], Column] = settle, vocabulary: str | None = VOCABULARY) -> DataFrame:
