@@ -137,6 +137,15 @@ def claim_value(raw: Column, kind: Column) -> Column:
     )
 
 
+def admit(kept: list[float], t: float, limit: int, window_seconds: float) -> tuple[bool, float | None]:
+    """Whether a request at `t` is admitted, and else the seconds to wait; `kept`, the admitted ones of the window in order, is brought up to date."""
+    kept[:] = [x for x in kept if x > t - window_seconds]
+    if len(kept) < limit:
+        kept.append(t)
+        return True, None
+    return False, (min(kept) if kept else t) + window_seconds - t
+
+
 def rate_limited(requests: DataFrame, key: str, at: str, limit: int, window_seconds: float) -> DataFrame:
     """`requests` with `allowed` and `retry_after`: a sliding window that counts admitted requests only, replayed in order (`at` in seconds, then `seq`).
 
@@ -153,11 +162,9 @@ def rate_limited(requests: DataFrame, key: str, at: str, limit: int, window_seco
             for k, t in zip(pdf[key].tolist(), pdf[at].tolist(), strict=True):
                 if k != current:
                     current, kept = k, []
-                kept = [x for x in kept if x > t - window_seconds]
-                out.append(len(kept) < limit)
-                wait.append(None if out[-1] else (kept[0] if kept else t) + window_seconds - t)
-                if out[-1]:
-                    kept.append(t)
+                allowed, seconds = admit(kept, t, limit, window_seconds)
+                out.append(allowed)
+                wait.append(seconds)
             yield pdf.assign(allowed=out, retry_after=pd.Series(wait, index=pdf.index, dtype="float64"))
 
     schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])

@@ -1,61 +1,99 @@
 """Event-driven consolidation: changed ids collect per tenant and fire by number or by age.
 
 A tenant fires when `least` distinct ids have changed, or when the first of
-them is `max_age` old by processing time; firing drains the set. Every output
-row is one drained set. State is per tenant and ends with each drain.
+them is `max_age` old by processing time; firing drains the set. Ids are the
+keys of a map in the state store, the age is a timer, and a drained set comes
+out a row for each id, so no task holds a tenant's set in memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+
+from .state import keyed_state
 
 LEAST = 10
 MAX_AGE_SECONDS = 1800
-
-
-def _step(least: int, max_age_seconds: int):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids = set(state.get[0]) if state.exists else set()
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"ws": [key[0]], "ids": [sorted(ids)], "reason": ["age"]})
-            return
-        fresh = not ids
-        for pdf in frames:
-            ids.update(int(i) for i in pdf["id"])
-        if len(ids) >= least:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"ws": [key[0]], "ids": [sorted(ids)], "reason": ["count"]})
-            return
-        state.update((sorted(ids),))
-        if fresh:  # the clock starts with the first change and is not set again
-            state.setTimeoutDuration(max_age_seconds * 1000)
-
-    return step
-
-
-def drained(changes: DataFrame, least: int = LEAST, max_age_seconds: int = MAX_AGE_SECONDS) -> DataFrame:
-    """(ws, ids array<bigint>, reason) from a stream of (ws, id): reason is `count` or `age`. Nulls are left out.
-
-    A set never outlives `max_age_seconds`, so it needs no expiry of its own.
+TTL_HOURS = 48
+#: Ids that a task remembers, so as not to ask the state store about each repeat.
+REMEMBERED = 100_000
+
+
+class Drain(StatefulProcessor):
+    """A tenant's set: `ids` (map, each id with an expiry of its own) and `since` (when its first id came, which is its timer)."""
+
+    def __init__(self, least: int, max_age_seconds: float, ttl_hours: float):
+        self.least, self.max_age, self.ttl = least, int(max_age_seconds * 1000), int(ttl_hours * 3_600_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ids = handle.getMapState("ids", "id bigint", "seen boolean", ttlDurationMs=self.ttl)
+        self.since = handle.getValueState("since", "at bigint")
+
+    def _drain(self, ws: int, now: int, reason: str) -> Iterator[Row]:
+        at = datetime.fromtimestamp(now / 1000, timezone.utc)
+        for (i,) in self.ids.keys():
+            yield Row(ws=ws, id=i, reason=reason, fired_at=at)
+        self.ids.clear()
+        self.since.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        before = {i for (i,) in self.ids.keys()}  # fewer than `least`: a larger set was drained
+        n = len(before)
+        if n == 0 and self.since.exists():  # all of them expired
+            self.handle.deleteTimer(self.since.get()[0] + self.max_age)
+            self.since.clear()
+        lately, whole = set(), True
+        for row in rows:
+            if row.id in lately:
+                continue
+            n += row.id not in before and (whole or not self.ids.containsKey((row.id,)))
+            self.ids.updateValue((row.id,), (True,))
+            lately.add(row.id)
+            if len(lately) == REMEMBERED:
+                lately, whole = set(), False
+        if n >= self.least:
+            if self.since.exists():
+                self.handle.deleteTimer(self.since.get()[0] + self.max_age)
+            yield from self._drain(key[0], now, "count")
+        elif not self.since.exists():  # the clock starts with the first change and is not set again
+            self.since.update((now,))
+            self.handle.registerTimer(now + self.max_age)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._drain(key[0], timerValues.getCurrentProcessingTimeInMs(), "age")
+
+    def close(self) -> None:
+        pass
+
+
+def _once(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        yield pdf.drop_duplicates()
+
+
+def drained(changes: DataFrame, least: int = LEAST, max_age_seconds: float = MAX_AGE_SECONDS, ttl_hours: float = TTL_HOURS) -> DataFrame:
+    """(ws, id, reason, fired_at) from a stream of (ws, id): reason is `count` or `age`; rows of one ws and fired_at are one set. Nulls are left out.
+
+    An id that isn't named again and isn't drained goes after `ttl_hours`. Repeats
+    in a block of rows go before the shuffle.
     """
-    clean = changes.filter("ws is not null and id is not null").select("ws", "id")
-    return clean.groupBy("ws").applyInPandasWithState(_step(least, max_age_seconds), "ws bigint, ids array<bigint>, reason string", "ids array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed_state(changes.sparkSession)
+    clean = changes.filter("ws is not null and id is not null").select(F.col("ws").cast("bigint"), F.col("id").cast("bigint")).mapInPandas(_once, "ws bigint, id bigint")
+    return clean.groupBy("ws").transformWithState(Drain(least, max_age_seconds, ttl_hours), "ws bigint, id bigint, reason string, fired_at timestamp", "append", "ProcessingTime")
 
 
 def with_recent(drained_sets: DataFrame, rows: DataFrame, as_of: datetime, hours: int = 48) -> DataFrame:
     """(ws, id), each once: drained ids and, of the tenants that fired, the rows (ws, id, updated_at) changed in the last `hours`."""
-    fired = drained_sets.select("ws", F.explode("ids").alias("id"))
     recent = rows.filter(F.col("updated_at") >= F.lit(as_of) - F.make_dt_interval(hours=F.lit(hours))).join(drained_sets.select("ws").distinct(), "ws", "left_semi")
-    return fired.union(recent.select("ws", "id")).distinct()
+    return drained_sets.select("ws", "id").union(recent.select("ws", "id")).distinct()
 
 
 def consolidate(drained_sets: DataFrame, load: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None], checkpoint: str, hours: int = 48) -> DataStreamWriter:
