@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import access, graph, integrate, joins, ledger, lists, passes, retrieval, texts  # noqa: F401
+from .plans import access, graph, integrate, joins, ledger, lists, passes, retrieval, streams, texts  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "op_a4"

@@ -113,14 +113,19 @@ def _pack_slowly(parts: Iterable[str], joint: str, limit: int, tokens: Counter,
     return done + [open_] * bool(open_)
 
 
+def by_sentence(tokens: Counter, max_tokens: int) -> Callable[[str], list[str]]:
+    """A text above the budget packed by sentences, and a sentence above it cut between tokens."""
+    return lambda t: pack(re.split(r"(?<=[.!?])\s+", t), " ", max_tokens, tokens, lambda s: tokens.pieces(s, max_tokens)) or [t]
+
+
 def packed(joint: str, max_tokens: int = MAX_TOKENS, vocabulary: str | None = VOCABULARY):
     """A column function on arrays of segments: chunks of at most `max_tokens` tokens. A segment above that is packed by sentences, and a sentence above it cut between tokens. No segment gives one empty chunk."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def run(segments: pd.Series) -> pd.Series:
         tokens = counter(vocabulary)
-        by_sentence = lambda t: pack(re.split(r"(?<=[.!?])\s+", t), " ", max_tokens, tokens, lambda s: tokens.pieces(s, max_tokens)) or [t]
-        return segments.map(lambda parts: pack([] if parts is None else parts, joint, max_tokens, tokens, by_sentence) or [""])
+        divide = by_sentence(tokens, max_tokens)
+        return segments.map(lambda parts: pack([] if parts is None else parts, joint, max_tokens, tokens, divide) or [""])
 
     return run
 
