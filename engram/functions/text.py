@@ -119,6 +119,21 @@ def strip_legal_forms(name: Column) -> Column:
     return F.array_join(words, " ")
 
 
+def latin(name: Column) -> Column:
+    """A name in compatibility form with Russian letters in Latin ones, its case kept: a capital that takes several letters begins with one."""
+    capitals = [c.upper() for c in CYRILLIC[0]], [c.upper() for c in CYRILLIC[1]]
+    out = F.translate(nfkc(name), CYRILLIC[0] + "".join(capitals[0]), CYRILLIC[1] + "".join(capitals[1]))
+    for letter, letters in CYRILLIC_PAIRS:
+        out = F.replace(F.replace(out, F.lit(letter), F.lit(letters)), F.lit(letter.upper()), F.lit(letters.capitalize()))
+    return out
+
+
+def name_variants(name: Column) -> Column:
+    """(transliterated, stripped, stripped_transliterated): forms under which a name may be known elsewhere; letters of other alphabets stay."""
+    stripped = strip_legal_forms(nfkc(name))
+    return F.struct(latin(name).alias("transliterated"), stripped.alias("stripped"), latin(stripped).alias("stripped_transliterated"))
+
+
 def clean_name(name: Column) -> Column:
     """A name without XML tags, control characters and white space at its ends; null if it holds a script tag."""
     plain = F.regexp_replace(name, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")

@@ -9,6 +9,8 @@ the others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +97,65 @@ def roll_back_actions(entities: DataFrame, undo: DataFrame, force: bool = False)
     x = x.withColumn("conflict", F.coalesce(F.col("action_id").isNotNull() & (F.col("action") != "remove_noise") & conflict, F.lit(False)))
     back = F.col("action_id").isNotNull() & (~F.col("conflict") | F.lit(force))
     return x.withColumns({c: F.when(back & changed(c), F.col(f"old_{c}")).otherwise(F.col(c)) for c in CHANGED}).select(*entities.columns, "conflict")
+
+
+def moved_by(merges: DataFrame, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(action_id, row_id, held, loser, winner): references in `columns` of `df` that merges (action_id, loser, winner) repoint, recorded before them."""
+    return _references(df, key, columns).withColumnRenamed("holder", "loser").join(merges.select("action_id", "loser", "winner"), "loser").select("action_id", "row_id", "held", "loser", "winner")
+
+
+def _references(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(row_id, held, holder): a row for each reference."""
+    held = F.explode(F.array(*[F.struct(F.lit(c).alias("held"), F.col(c).alias("holder")) for c in columns]))
+    return df.select(F.col(key).alias("row_id"), held.alias("x")).select("row_id", "x.*")
+
+
+def standing(moved: DataFrame, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`moved` with `state`, from who holds each reference now: winner (goes back), loser (is back), gone (no such row), other (a conflict)."""
+    now = _references(df, key, columns).withColumn("there", F.lit(True))
+    state = F.when(F.col("there").isNull(), "gone").when(F.col("holder") == F.col("winner"), "winner").when(F.col("holder") == F.col("loser"), "loser").otherwise("other")
+    return moved.join(now, ["row_id", "held"], "left").withColumn("state", state).drop("holder", "there")
+
+
+def conflicts(*standings: DataFrame) -> DataFrame:
+    """(action_id): merges with a reference that someone else holds now, in any table."""
+    found = [s.filter("state = 'other'").select("action_id") for s in standings]
+    return reduce(DataFrame.union, found).distinct()
+
+
+def move_back(df: DataFrame, stands: DataFrame, blocked: DataFrame, key: str, columns: list[str], force: bool = False) -> DataFrame:
+    """`df` with references back at the losers. Of a blocked merge nothing moves, unless `force`; then all but the conflicts do. Doing it twice changes nothing."""
+    undo = stands.filter("state = 'winner'")
+    undo = undo if force else undo.join(blocked, "action_id", "left_anti")
+    back = undo.groupBy("row_id").agg(*[F.max(F.when(F.col("held") == c, F.col("loser"))).alias(f"__{c}") for c in columns])
+    joined = df.join(back, F.col(key) == F.col("row_id"), "left")
+    return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).select(df.columns)
+
+
+def restore_losers(entities: DataFrame, merges: DataFrame, blocked: DataFrame, force: bool = False) -> DataFrame:
+    """`entities` (..., name, is_deleted, merged_into, aliases) with the losers of undone merges alive, and their names off the winners' aliases.
+
+    A loser that has been merged into another since stays as it is.
+    """
+    undone = merges if force else merges.join(blocked, "action_id", "left_anti")
+    held = entities.select(F.col("id").alias("loser"), F.col("merged_into").alias("winner"), F.col("name").alias("__name"))
+    undone = undone.select("loser", "winner").join(held, ["loser", "winner"]).distinct()
+    names = undone.groupBy(F.col("winner").alias("id")).agg(F.collect_set("__name").alias("__names"))
+    out = entities.join(undone.select(F.col("loser").alias("id"), F.lit(True).alias("__back")).distinct(), "id", "left").join(names, "id", "left")
+    alive = F.coalesce("__back", F.lit(False))
+    return out.withColumns({"is_deleted": F.col("is_deleted") & ~alive, "merged_into": F.when(~alive, F.col("merged_into")), "aliases": F.when(F.col("__names").isNotNull(), F.array_except("aliases", "__names")).otherwise(F.col("aliases"))}).select(entities.columns)
+
+
+def roll_back_clusters(entities: DataFrame, undone: DataFrame, found: DataFrame) -> DataFrame:
+    """`entities` without the clusters of `undone` (action_id): the made entity is soft-deleted, and what is still a part of it gets the parent of `found` (id, part_of) back."""
+    ids = undone.select(F.concat(F.lit("cluster:"), "action_id").alias("__cluster")).distinct()
+    parts = entities.join(ids.withColumnRenamed("__cluster", "part_of"), "part_of", "left_semi").select("id").join(found.select("id", F.col("part_of").alias("__was")), "id", "left").withColumn("__part", F.lit(True))
+    out = entities.join(ids.select(F.col("__cluster").alias("id"), F.lit(True).alias("__made")), "id", "left").join(parts, "id", "left")
+    return out.withColumns({"is_deleted": F.col("is_deleted") | F.coalesce("__made", F.lit(False)), "part_of": F.when(F.col("__part"), F.col("__was")).otherwise(F.col("part_of"))}).select(entities.columns)
+
+
+def roll_back_links(relations: DataFrame, made: DataFrame, undone: DataFrame) -> DataFrame:
+    """`relations` without those that only `undone` (action_id) made; `made` is (action_id, id), a relation may have several actions."""
+    kept = made.join(undone.select("action_id"), "action_id", "left_anti").select("id")
+    gone = made.join(undone.select("action_id"), "action_id", "left_semi").select("id").join(kept, "id", "left_anti").distinct()
+    return relations.join(gone, "id", "left_anti")

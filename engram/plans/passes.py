@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import actions as act
+from ..operators import resolution
 from ..operators import integrate, models, rollups, sanitizing
 from ..operators.listing import ordered_text
 from ..sources import bindings as b
@@ -82,6 +83,55 @@ def rollback(spark, d):
     return act.roll_back_actions(edited, undo).select("id", "entity_type", "name", "is_deleted", "conflict")
 
 
+MERGED = "SELECT 'p:' || p_partkey AS loser, 'p:' || (p_partkey - 1) AS winner FROM part WHERE p_partkey % 4 = 1"
+UNDONE = f", rel AS (SELECT id || '-' || source_id || '-' || target_id AS id, source_id, target_id, relation_type, created_at, l_orderkey FROM v_relations), m AS ({MERGED}), moved AS (SELECT r.id, m.loser, m.winner FROM rel r JOIN m ON m.loser = r.source_id), one AS (SELECT r.id, coalesce(m.winner, r.source_id) AS source_id, r.target_id, r.relation_type, r.created_at, r.l_orderkey FROM rel r LEFT JOIN m ON m.loser = r.source_id), kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, relation_type ORDER BY created_at, id) AS rn FROM one) WHERE rn = 1), edited AS (SELECT id, CASE WHEN l_orderkey % 50 = 0 THEN 'p:x' ELSE source_id END AS source_id, target_id FROM kept), blocked AS (SELECT DISTINCT v.loser FROM moved v JOIN edited e ON e.id = v.id WHERE e.source_id NOT IN (v.winner, v.loser))"
+
+
+def _merged(spark, d):
+    """A merge of parts, an edit after it of every fiftieth order's relations, and what undoes it: (merges, moved, standing, edited)."""
+    p = b.table(spark, d, "part").filter("p_partkey % 4 = 1")
+    merges = p.select(F.concat(F.lit("p:"), "p_partkey").alias("loser"), F.concat(F.lit("p:"), F.col("p_partkey") - 1).alias("winner")).withColumn("action_id", F.col("loser"))
+    r = b.relations(spark, d).withColumn("id", F.concat_ws("-", "id", "source_id", "target_id"))
+    moved = act.moved_by(merges, r, "id", ["source_id", "target_id"])
+    edited = resolution.merge_relations(r, merges.drop("action_id")).withColumn("source_id", F.when(F.col("l_orderkey") % 50 == 0, "p:x").otherwise(F.col("source_id")))
+    return merges, act.standing(moved, edited, "id", ["source_id", "target_id"]), edited
+
+
+@query("op_g7_merge", sql(f"{UNDONE} SELECT e.id, CASE WHEN v.id IS NOT NULL AND e.source_id = v.winner AND v.loser NOT IN (SELECT loser FROM blocked) THEN v.loser ELSE e.source_id END AS source_id, e.target_id FROM edited e LEFT JOIN moved v ON v.id = e.id", "v_relations"))
+def rollback_merge(spark, d):
+    """Relations after merges are undone; of a merge with a relation that was given to a third entity since, nothing moves."""
+    _, stands, edited = _merged(spark, d)
+    return act.move_back(edited, stands, act.conflicts(stands), "id", ["source_id", "target_id"]).select("id", "source_id", "target_id")
+
+
+@query("op_g7_losers", sql(f"{UNDONE} SELECT e.id, e.is_deleted OR b.loser IS NOT NULL AS is_deleted, b.winner AS merged_into, coalesce(a.name, '') AS aliases FROM v_entities e LEFT JOIN (SELECT * FROM m WHERE loser IN (SELECT loser FROM blocked)) b ON b.loser = e.id LEFT JOIN (SELECT m.winner, x.name FROM m JOIN v_entities x ON x.id = m.loser WHERE m.loser IN (SELECT loser FROM blocked)) a ON a.winner = e.id WHERE NOT e.is_deleted", "v_relations", "v_entities"))
+def rollback_losers(spark, d):
+    """Entities after the same: losers come back but for blocked merges, and winners lose their names again."""
+    merges, stands, _ = _merged(spark, d)
+    e = b.entities(spark, d).filter("not is_deleted")
+    after = resolution.merge_entities(e, merges.drop("action_id"))
+    return act.restore_losers(after, merges, act.conflicts(stands)).select("id", "is_deleted", "merged_into", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("op_g7_clusters", sql(", m AS (SELECT id, entity_type, is_deleted, CASE WHEN entity_type = 'project' AND NOT is_deleted AND n % 3 <> 0 THEN CASE WHEN (n // 10) % 2 = 0 THEN 'old' ELSE 'cluster:k' || (n // 10) END WHEN entity_type = 'project' AND NOT is_deleted THEN 'elsewhere' ELSE 'old' END AS part_of FROM v_entities), k AS (SELECT DISTINCT n // 10 AS g FROM v_entities WHERE entity_type = 'project' AND NOT is_deleted) SELECT * FROM m UNION ALL SELECT 'cluster:k' || g, 'topic', g % 2 = 0, NULL FROM k", "v_entities"))
+def rollback_clusters(spark, d):
+    """Every other cluster of ten projects undone; parts that were moved on since stay where they are."""
+    e = graph(spark, d).withColumn("part_of", F.lit("old"))
+    p = e.filter("entity_type = 'project' and not is_deleted").withColumn("g", F.floor(F.col("n") / 10))
+    a = p.groupBy("g").agg(F.collect_set("id").alias("children"))
+    a = a.select("g", F.concat(F.lit("k"), "g").alias("action_id"), F.lit("create_from_cluster").alias("action"), F.lit(None).cast("string").alias("entity_id"), F.create_map().cast("map<string,string>").alias("params"), "children")
+    after = act.apply_to_entities(e, a.drop("g")).withColumn("part_of", F.when(F.startswith("part_of", F.lit("cluster:")) & (F.col("n") % 3 == 0), "elsewhere").otherwise(F.col("part_of")))
+    return act.roll_back_clusters(after, a.filter("g % 2 = 0"), e).select("id", "entity_type", "is_deleted", "part_of")
+
+
+@query("op_g7_links", sql("SELECT id, source_id, target_id FROM v_relations WHERE l_orderkey % 4 <> 1 OR l_orderkey % 8 = 5", "v_relations"))
+def rollback_links(spark, d):
+    """Links of every fourth order's actions undone, but for those that another action made as well."""
+    r = b.relations(spark, d)
+    made = r.select("id", F.concat(F.lit("o:"), "l_orderkey").alias("action_id")).unionByName(r.filter("l_orderkey % 8 = 5").select("id", F.lit("again").alias("action_id")))
+    return act.roll_back_links(r, made, b.table(spark, d, "orders").filter("o_orderkey % 4 = 1").select(F.concat(F.lit("o:"), "o_orderkey").alias("action_id"))).select("id", "source_id", "target_id")
+
+
 @query("op_g12", sql("SELECT id, is_deleted OR n % 7 = 0 AS is_deleted, 'no_actions' AS stopped FROM v_entities", "v_entities"))
 def fixpoint(spark, d):
     """Noise removed pass by pass until a pass proposes nothing; every pass starts from a written snapshot."""
