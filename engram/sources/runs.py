@@ -70,8 +70,9 @@ class Runs:
         return self.merge(rows.drop("bucket")).select(*self.schema.names)
 
     def _write(self, df: DataFrame, name: str) -> None:
+        """A bucket is one file, or several where it is large; small buckets share a task."""
         dealt = df.select(*self.schema.names).withColumn("bucket", self._bucket(F.col(self.keys[0])))
-        dealt.repartition("bucket", *self.keys).sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def add(self, df: DataFrame, n: int) -> None:
         """Write change n, once more if a writer was lost on it, after runs before it were folded.
