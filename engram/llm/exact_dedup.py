@@ -8,8 +8,9 @@ that a third of the corpus shares still spreads over partitions by its hash.
 
 A text that more than one row in `HOT_SHARE` holds is hot. There are fewer than
 `HOT_SHARE` hot texts by definition, so their list has a proven bound. Their
-rows get a salt and are sorted in several parts; the parts' winners, a few rows
-each, meet again by SHA-256.
+rows are dealt in turn, by their place in the input and not by their values, to
+several parts that are sorted apart, so rows that repeat in all columns spread
+too; the parts' winners, a few rows each, meet again by SHA-256.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Texts are equal when identical without ``[\\x20\\x09-\\x0D]``; null counts as
     empty, and all empty texts are one group. Of equal texts the row with the
     most code points stays, then the smallest doc_id (nulls last); of repeated
-    rows one stays. An empty table gives an empty result.
+    rows one stays. An empty table gives an empty result. `docs` is a scan or a
+    written table, whose rows come in one order when a task is repeated.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
@@ -39,7 +41,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     counts = rows.groupBy("h").count()
     total = docs.count()
     hot = scratch.table(counts.filter(F.col("count") * HOT_SHARE > total).select("h", F.ceil(F.col("count") * HOT_SHARE / max(total, 1)).cast("int").alias("parts")), "hot")
-    salted = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "size"), "parts")).otherwise(0)).drop("parts")
+    salted = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), "parts")).otherwise(0)).drop("parts")
 
     n = tasks_for(docs.select("doc_id", "text"))
     spread = salted.withColumn("prefix", F.substring("norm", 1, PREFIX)).repartitionByRange(n, "prefix", "h", "salt")

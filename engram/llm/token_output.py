@@ -1,8 +1,10 @@
 """Token ids as ORC: run-length encoded integers in stripes, with row indexes and a Bloom filter on doc_id.
 
 Texts are range-partitioned and sorted by doc_id, encoded in that order and
-written; each file holds one range. Readers take stripes in parallel and skip
-those whose statistics or Bloom filter exclude a document.
+written; each file holds one range. Rows of one doc_id, or of none, are ordered
+by a hash of the text and cut into ranges there, and rows that repeat in both
+are dealt in turn, so no doc_id has to fit a task. Readers take stripes in
+parallel and skip those whose statistics or Bloom filter exclude a document.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .tokens import VOCABULARY, Encoder
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
+#: Ranges that rows of one doc_id and text can be cut into.
+TURNS = 4096
 
 
 def _encode(vocabulary: str, end_id: int):
@@ -44,10 +48,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
 
     Files and `part` ascend together; `seq` is the row's place in its part.
     Null and empty texts have the end id alone; null doc_ids come first; rows of
-    one doc_id are kept, in one range. An empty table writes no rows.
+    one doc_id are all kept, next to each other, in the order of a hash of the
+    text, so reruns write the same ids. An empty table writes no rows. `docs` is
+    a scan or a written table, whose rows come in one order when a task is
+    repeated.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(tasks_for(rows), "doc_id").sortWithinPartitions("doc_id")
+    n, order = tasks_for(rows), ["doc_id", "h", "turn"]
+    rows = rows.withColumns({"h": F.xxhash64(F.coalesce("text", F.lit(""))), "turn": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(TURNS)).cast("int")})
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
     encoded = rows.mapInArrow(_encode(vocabulary, end_id), "doc_id bigint, part int, seq bigint, ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(STRIPE_BYTES), "compression": "zstd"}

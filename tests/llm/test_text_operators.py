@@ -183,6 +183,25 @@ def test_exact_dedup(spark, rows):
     assert Counter(r.keep_id for r in got if r.kept) == Counter(min(g)[1] for g in groups.values())
 
 
+def tasks_of(df, column):
+    """Rows of each task, and the rows of each value of `column`."""
+    return [r["count"] for r in df.groupBy(column).count().collect()]
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_exact_dedup_of_rows_that_repeat_in_all_columns(spark, doc_id, monkeypatch):
+    """A text of one doc_id, or of none, in most rows is sorted in many parts, and one of its rows stays."""
+    seen, table = {}, Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name="table": seen.setdefault(name, table(self, df, name)))
+    rows = [(doc_id, "a b c", "s")] * 2000 + [(i, f"text {i}", "s") for i in range(100, 1100)]
+    got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+    same = [r for r in got if r.group_size == 2000]
+    assert len(got) == 3000 and len(same) == 2000 and {r.keep_id for r in same} == {doc_id}
+    assert sum(r.kept for r in same) == 1 and all(r.kept for r in got if r.group_size == 1)
+    parts = tasks_of(seen["sorted"].filter("size = 5"), "salt")
+    assert len(parts) > 500 and max(parts) < 20
+
+
 @pytest.mark.parametrize("share", [1024, 20, 1 << 40])
 def test_line_dedup(spark, rows, share, monkeypatch):
     """With hot lines as they come, with more of them, and with every line hot."""
@@ -336,6 +355,41 @@ def test_token_output(spark, rows):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,60)]" in one._sc._jvm.PythonSQLUtils.explainString(one._jdf.queryExecution(), "formatted")
 
 
+@pytest.mark.parametrize("texts", [["same text"], ["one", "two b", None, ""]], ids=["one text", "several texts"])
+def test_token_output_of_null_and_repeated_ids(spark, texts):
+    """Rows of one doc_id, or of none, go to several files, one behind the other, and a rerun writes the same."""
+    rows = [(None if i % 3 else 7, texts[i % len(texts)], "s") for i in range(3000)] + [(8, "last", "s")]
+    runs = []
+    for docs in (frame(spark, rows), frame(spark, rows[::-1]).repartition(5)):
+        scratch = Scratch(spark, "test")
+        at = scratch.path("orc")
+        token_output.write_tokens(docs, at)
+        tokens_ = token_output.read_tokens(spark, at)
+        files = tasks_of(tokens_, "part")
+        assert len(files) == 4 and max(files) < 1500
+        got = token_output.token_index(tokens_, scratch).collect()
+        runs.append(sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in got))
+    ids = [i + [1] for i in reference_ids([t or "" for _, t, _ in rows])]
+    want = Counter((d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for (d, _, _), i in zip(rows, ids, strict=True))
+    assert runs[0] == runs[1] and Counter(r[1:] for r in runs[0]) == want
+    assert [r[0] for r in runs[0]] == np.cumsum([0, *(r[2] for r in runs[0][:-1])]).tolist()
+    assert [r[1] or 0 for r in runs[0]] == sorted(d or 0 for d, _, _ in rows)
+
+
+def test_token_output_of_nothing_and_its_bloom_filter(spark, rows):
+    scratch = Scratch(spark, "test")
+    at, empty = scratch.path("orc"), scratch.path("orc")
+    token_output.write_tokens(frame(spark, rows).filter(F.lit(False)), empty)
+    assert token_output.token_index(token_output.read_tokens(spark, empty), scratch).collect() == []
+    token_output.write_tokens(frame(spark, rows), at)
+    orc, conf = spark._jvm.org.apache.orc, spark._jsc.hadoopConfiguration()
+    file = token_output.read_tokens(spark, at).inputFiles()[0]
+    reader = orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(file), orc.OrcFile.readerOptions(conf))
+    streams = reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList()
+    kinds = {(s.getKind().toString(), s.getColumn()) for s in streams}
+    assert ("BLOOM_FILTER_UTF8", 1) in kinds and ("ROW_INDEX", 1) in kinds and ("BLOOM_FILTER_UTF8", 2) not in kinds
+
+
 def test_token_counts(spark, rows):
     lengths = [len(i) for i in reference_ids([t or "" for _, t, _ in rows])]
     sums = token_counts.suffix_sums(token_counts.length_histogram(frame(spark, rows))).cache()
