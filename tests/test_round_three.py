@@ -6,6 +6,7 @@ import datetime as dt
 
 import duckdb
 import pytest
+
 from engram import catalog
 
 
