@@ -41,6 +41,8 @@ SIGNATURES = 24
 EXACT_LENGTH = 32
 #: Repeats of a character that are told apart when characters are ordered by rarity.
 REPEATS = 8
+#: Pairs to score for each row up to which signatures are worth their join.
+PAIRS_A_ROW = 32
 
 
 def band(n: int) -> int:
@@ -153,6 +155,13 @@ def candidates(left: DataFrame, right: DataFrame, least: float, rank: dict[tuple
     return both[0].join(both[1], "signature").select("a", "b").distinct()
 
 
+def tell_apart(mentions: DataFrame, names: DataFrame, sizes: tuple[int, int], step: float = STEPS[-1], some: int = 2000) -> bool:
+    """Whether signatures leave fewer pairs of `mentions` and `names` than `PAIRS_A_ROW` for each row, by a sample of both; what is found doesn't depend on it."""
+    drawn = [df.filter(F.pmod(F.xxhash64(c), F.lit(max(1, n // some))) == 0).select(F.col(c).alias("name")).distinct() for df, c, n in ((mentions, "mention", sizes[0]), (names, "name", sizes[1]))]
+    shares = [min(1.0, some / n) for n in sizes]
+    return candidates(*drawn, step, _rarity(drawn[1])).count() <= PAIRS_A_ROW * sum(sizes) * shares[0] * shares[1]
+
+
 def alike(left: DataFrame, right: DataFrame, least: float, rank: dict[tuple[str, int], int] | None = None) -> DataFrame:
     """(a, b, score): all pairs of distinct texts of `left` and `right` (name) whose Jaro-Winkler similarity is `least` or more, `least` above 0.82. Empty and null names have no pair."""
     left, right = left.select("name").distinct(), right.select("name").distinct()

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from engram import catalog
+from engram.operators import resolution
 
 
 def both(spark, path, name, **tables):
@@ -43,3 +44,15 @@ def test_a_mean_at_the_bound_does_not_hang_on_the_order_of_rows(spark, tmp_path)
     assert got == want
     exact = {c for c in range(40) if sum(r[0] % 100 for r in rows if r[1] == c) < 240}
     assert {r[0] for r in got} == {f"c:{c}" for c in exact}
+
+
+def test_repeated_names_are_searched_once(spark, monkeypatch):
+    """Blocks hold distinct texts; every mention has its answer, the smallest id of equal names."""
+    sizes, in_cells = [], resolution.in_cells
+    monkeypatch.setattr(resolution, "in_cells", lambda left, right, *a, **k: sizes.append((left.count(), right.count())) or in_cells(left, right, *a, **k))
+    m = spark.createDataFrame([(i, t, t) for i in range(50) for t in ("qqqqz", "xz")][:99], "mention_id bigint, mention string, latin string")
+    n = spark.createDataFrame([(90 - i, t, None) for i in range(40) for t in ("aaaaz", "bbbb", "zaaaa")], "entity_id bigint, name string, latin string")
+    got = resolution.nearest_names(m, n).collect()
+    assert sizes == [(2, 3)]
+    assert len(got) == 99 and {r.entity_id for r in got} == {51}
+    assert {round(r.score, 9) for r in got} == {0.466666667, 0.566666667}
