@@ -55,12 +55,30 @@ def exact_resolution(spark, d):
     return joined.select("id", F.coalesce("by_id", "by_name", "by_alias").alias("entity_id"))
 
 
+#: Rows of a key from which on it may be frequent, and rows of the other side that may be sent to all tasks for such keys.
+FREQUENT_FROM, SENT_TO_ALL = 10_000, 100_000
+
+
+def join_spread(left, right, on, share=1024):
+    """An inner join on a column of which some values fill more than 1/`share` of `left`: their rows stay where they are and meet what `right` has of them by broadcast, if that is at most `SENT_TO_ALL` rows."""
+    counts = left.groupBy(on).agg(F.count("*").alias("n"))
+    frequent = [r[on] for r in counts.filter(F.col(on).isNotNull() & (F.col("n") > max(left.count() // share, FREQUENT_FROM))).collect()]
+    if not frequent:
+        return left.join(right, on)
+    own = right.filter(F.col(on).isin(frequent))
+    if own.limit(SENT_TO_ALL + 1).count() > SENT_TO_ALL:
+        return left.join(right, on)
+    rest = left.filter(~F.col(on).isin(frequent)).join(right, on)
+    return rest.unionByName(left.filter(F.col(on).isin(frequent)).join(F.broadcast(own), on))
+
+
 @query("op_j13", sql(", x AS (SELECT l_orderkey, l_linenumber, 'Supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') AS s, CASE WHEN l_partkey % 4 = 0 THEN 'unknown' ELSE 'c:' || l_partkey END AS t FROM lineitem) SELECT l_orderkey, l_linenumber, a.id AS source_id, c.id AS target_id FROM x JOIN v_entities a ON lower(a.name) = lower(s) AND a.entity_type = 'team' JOIN v_entities c ON c.id = t", "v_entities"))
 def resolved_relations(spark, d):
     x = b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lower(F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))).alias("s"), F.when(F.col("l_partkey") % 4 == 0, "unknown").otherwise(F.concat(F.lit("c:"), "l_partkey")).alias("t"))
     e = b.entities(spark, d)
     teams = e.filter("entity_type = 'team'").select(F.lower("name").alias("s"), F.col("id").alias("source_id"))
-    return x.join(teams, "s").join(e.select(F.col("id").alias("t"), F.col("id").alias("target_id")), "t").select("l_orderkey", "l_linenumber", "source_id", "target_id")
+    found = join_spread(x, e.select(F.col("id").alias("t"), F.col("id").alias("target_id")), "t")
+    return found.join(teams, "s").select("l_orderkey", "l_linenumber", "source_id", "target_id")
 
 
 @query("op_j14", sql(", top AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC, id DESC) AS rn FROM v_claims), c AS (SELECT entity_id, count(*) AS n, string_agg(value, ',' ORDER BY rn) AS newest FROM top WHERE rn <= 50 GROUP BY 1), ends AS (SELECT source_id AS entity_id, target_id AS other, created_at, id FROM v_relations UNION ALL SELECT target_id, source_id, created_at, id FROM v_relations), rtop AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id DESC) AS rn FROM ends), r AS (SELECT entity_id, count(*) AS n, string_agg(other, ',' ORDER BY rn) AS newest FROM rtop WHERE rn <= 50 GROUP BY 1) SELECT e.id, coalesce(c.n, 0) AS n_claims, coalesce(c.newest, '') AS claims, coalesce(r.n, 0) AS n_relations, coalesce(r.newest, '') AS relations FROM v_entities e LEFT JOIN c ON c.entity_id = e.id LEFT JOIN r ON r.entity_id = e.id", "v_claims", "v_entities", "v_relations"))
