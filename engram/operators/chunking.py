@@ -11,11 +11,12 @@ import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.slices import by_slices
 from ..functions.text import strip
 from ..functions.tokens import VOCABULARY, Counter, count_tokens, counter
 from ..sources.jsonl import messages
@@ -121,13 +122,12 @@ def by_sentence(tokens: Counter, max_tokens: int) -> Callable[[str], list[str]]:
 def packed(joint: str, max_tokens: int = MAX_TOKENS, vocabulary: str | None = VOCABULARY):
     """A column function on arrays of segments: chunks of at most `max_tokens` tokens. A segment above that is packed by sentences, and a sentence above it cut between tokens. No segment gives one empty chunk."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(segments: pd.Series) -> pd.Series:
+    def compute():
         tokens = counter(vocabulary)
         divide = by_sentence(tokens, max_tokens)
-        return segments.map(lambda parts: pack([] if parts is None else parts, joint, max_tokens, tokens, divide) or [""])
+        return lambda segments: [pack(parts or [], joint, max_tokens, tokens, divide) or [""] for parts in segments]
 
-    return run
+    return by_slices(compute, ArrayType(StringType()), pa.list_(pa.string()))
 
 
 def _numbered(df: DataFrame, key: str, chunks: str, order: list[str], vocabulary: str | None) -> DataFrame:
@@ -250,12 +250,12 @@ def legacy_chunks(df: DataFrame, key: str, text: str, found: Column | None = Non
     `found` (array of names) is what earlier chunks of the text gave; the first chunk has none.
     """
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(texts: pd.Series) -> pd.Series:
+    def compute():
         tokens = counter(vocabulary)
         cut = lambda t: tokens.pieces(t, max_tokens)
-        return texts.map(lambda t: [t] if tokens.count(t) <= max_tokens else pack(t.split("\n\n"), "\n\n", max_tokens, tokens, cut, trim=False))
+        return lambda texts: [[t] if tokens.count(t) <= max_tokens else pack(t.split("\n\n"), "\n\n", max_tokens, tokens, cut, trim=False) for t in texts]
 
+    run = by_slices(compute, ArrayType(StringType()), pa.list_(pa.string()))
     none = F.array().cast("array<string>")
     chunks = df.select(key, run(F.coalesce(F.col(text), F.lit(""))).alias("__chunks"), (none if found is None else found).alias("__found"))
     rows = chunks.select(key, F.posexplode("__chunks").alias("chunk_index", "chunk"), F.size("__chunks").alias("total"), "__found")

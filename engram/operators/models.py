@@ -10,11 +10,12 @@ import json
 from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType
 
+from ..functions.slices import by_slices
 from ..functions.text import DOMAIN_TYPES, is_crystal, primary_domain
 from ..functions.tokens import VOCABULARY, count_tokens, truncate_tokens
 
@@ -73,14 +74,12 @@ class Stored:
 def answers(model: TextModel, system_prompt: str):
     """A column function: the model's JSON for each text; null for null."""
 
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        there = texts[texts.notna()]
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        out[there.index] = model.extract(there.tolist(), system_prompt) if len(there) else []
-        return out
+    def each(texts: list) -> list:
+        there = [t for t in texts if t is not None]
+        found = iter(model.extract(there, system_prompt) if there else [])
+        return [None if t is None else next(found) for t in texts]
 
-    return run
+    return by_slices(lambda: each, StringType(), pa.string())
 
 
 def keyword_scores(text: Column, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> Column:
@@ -162,15 +161,12 @@ def rewrite_names(df: DataFrame, text: str, find: Callable[[str], list[tuple[int
     if find is None:
         return df
 
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if t is None:
-                return None
-            for a, z in sorted(set(find(t)), reverse=True):
-                t = t[:a] + name(t[a:z]) + t[z:]
-            return t
-
-        return texts.map(one)
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        for a, z in sorted(set(find(t)), reverse=True):
+            t = t[:a] + name(t[a:z]) + t[z:]
+        return t
 
+    run = by_slices(lambda: lambda texts: [one(t) for t in texts], StringType(), pa.string())
     return df.withColumn(text, run(text))

@@ -6,11 +6,14 @@ import datetime as dt
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from engram import catalog
+from engram.functions import slices
 from engram.operators import resolution
 from engram.plans import joins
 
@@ -96,3 +99,12 @@ def test_frequent_values_stay_where_they_are(spark):
     found = joins.join_spread(left, right, "t")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, left.join(right, "t").collect()))
     assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_come_in_slices_of_bounded_bytes(spark):
+    """A function sees about a megabyte of texts at once, nulls in their places."""
+    seen = lambda texts: [None if t is None else sum(len(x or "") for x in texts) for t in texts]
+    df = spark.range(0, 4000, 1, 1).select("id", F.when(F.col("id") % 10 > 0, F.repeat(F.lit("x"), 4000)).alias("t"))
+    got = df.select("id", slices.by_slices(lambda: seen, LongType(), pa.int64())("t").alias("n")).collect()
+    assert all((r.n is None) == (r.id % 10 == 0) for r in got) and len(got) == 4000
+    assert max(r.n or 0 for r in got) <= 1.2 * slices.BYTES
