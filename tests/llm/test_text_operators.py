@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -506,6 +507,41 @@ def test_substring_members_that_the_first_lacks(spark, crowd, monkeypatch):
     assert sum(bool(found[d]) for d in want) >= 0.9 * len(want)
 
 
+def chains(seed, groups):
+    """Rows of triples: two edits of a passage around it, each similar to the passage and not to the other one."""
+    r = np.random.default_rng(seed)
+    word = lambda: "w" + str(r.integers(0, 1 << 40))
+    rows = []
+    for _ in range(groups):
+        base = [word() for _ in range(60)]
+        for at in (20, None, 40):
+            p = [word() if i == at else w for i, w in enumerate(base)]
+            rows.append((len(rows), " ".join([word() for _ in range(30)] + p + [word() for _ in range(30)]), "s"))
+    return rows
+
+
+def test_substring_open_members_meet_covered_ones(spark):
+    """A member that its run's first lacks finds a partner which the first has covered."""
+    rows = chains(3, 300)
+    assert {r.doc_id for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()} == {d for d, _, _ in rows}
+
+
+def test_substring_contexts_come_in_blocks(monkeypatch):
+    """A text with more marks than a block has: each mark with its tokens to both sides."""
+    monkeypatch.setattr(substring_dedup, "MARKS", 7)
+    tokens = np.random.default_rng(1).integers(0, 1 << 62, 100).astype(np.uint64)
+    marks = [[{"run": i, "at": i, "open": i % 3 == 0} for i in range(n)] for n in (50, 3)]
+    kind = pa.list_(pa.struct([("run", pa.int64()), ("at", pa.int64()), ("open", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array([tokens.tobytes()] * 2), pa.array(marks, kind)], names=["node", "tokens", "marks"])
+    out = list(substring_dedup._around(iter([batch])))
+    assert max(b.num_rows for b in out) <= 14 * 2
+    rows = [r for b in out for r in b.to_pylist()]
+    assert {(r["node"], r["run"], r["at"], r["open"], r["way"]) for r in rows} == {(n, i, i, i % 3 == 0, w) for n, k in ((5, 50), (6, 3)) for i in range(k) for w in (-1, 1)}
+    for r in rows:
+        want = substring_dedup._at(tokens, np.array([r["at"]]) + r["way"] * substring_dedup.PLACES).astype(np.uint16)
+        assert r["context"] == want.tobytes()
+
+
 def test_compact_windows():
     r = np.random.default_rng(3)
     v, least = r.integers(0, 1 << 62, 120, dtype=np.uint64), 10
