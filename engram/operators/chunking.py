@@ -11,18 +11,19 @@ import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.slices import by_slices
 from ..functions.text import strip
-from ..functions.tokens import VOCABULARY, Counter, count_tokens, counter
+from ..functions.tokens import VOCABULARY, Counter, counter
 from ..sources.jsonl import messages
 from .listing import ordered_text
 
 MAX_TOKENS = 3000
+CHUNKS = ArrayType(StructType([StructField("chunk_index", IntegerType(), False), StructField("total", IntegerType(), False), StructField("chunk", StringType()), StructField("n_tokens", LongType())]), False)
 EMOJI_ONLY = r"(?U)\A\s*[\p{So}\p{Sk}\p{Sm}\x{200d}\x{fe0f}\x{fe0e}]+\s*\z"
 LINES = r"\R|[\x1c-\x1e]"
 SPEAKER = r"(?U)\A[\[({]?\s*(\w[\w\s]*)[\])}]?\s*:"
@@ -66,8 +67,8 @@ def hard_split(text: Column, max_tokens: int) -> Column:
 def pack(parts: Iterable[str], joint: str, limit: int, tokens: Counter, divide: Callable[[str], list[str]], trim: bool = True) -> list[str]:
     """Join consecutive parts while they stay within `limit` tokens; a part above it is divided, and its pieces stand apart.
 
-    `trim`: white space around a joined text goes. A part is encoded once by
-    itself and once joined to what is open, not with all that stands before it.
+    `trim`: white space around a joined text goes. The joined text is encoded
+    once, and the ends of its parts where the limit is near.
     """
     parts = list(parts)
     text = joint.join(parts)
@@ -82,12 +83,12 @@ def pack(parts: Iterable[str], joint: str, limit: int, tokens: Counter, divide:
     for part in parts:
         first, last = at, at + len(part)
         at = last + len(joint)
-        if len(part.encode("utf-8", "replace")) > limit and tokens.count(part) > limit:
+        if 4 * len(part) > limit and len(part.encode("utf-8", "replace")) > limit and measure(first, last, limit) > limit:
             done += [text[begin:end]] * (begin is not None and end > begin) + divide(part)
             begin = None
             continue
         empty = begin is None or end == begin
-        if not empty and measure(begin, last) > limit:
+        if not empty and measure(begin, last, limit) > limit:
             done.append(text[begin:end])
             empty = True
         if empty:
@@ -119,30 +120,51 @@ def by_sentence(tokens: Counter, max_tokens: int) -> Callable[[str], list[str]]:
     return lambda t: pack(re.split(r"(?<=[.!?])\s+", t), " ", max_tokens, tokens, lambda s: tokens.pieces(s, max_tokens)) or [t]
 
 
-def packed(joint: str, max_tokens: int = MAX_TOKENS, vocabulary: str | None = VOCABULARY):
-    """A column function on arrays of segments: chunks of at most `max_tokens` tokens. A segment above that is packed by sentences, and a sentence above it cut between tokens. No segment gives one empty chunk."""
+def _chunked(cut: Callable[[Counter], Callable], vocabulary: str | None):
+    """A column function: the chunks that `cut`, given the counter, makes of a value, as an array of (chunk_index, total, chunk, n_tokens)."""
 
     def compute():
         tokens = counter(vocabulary)
+        divided = cut(tokens)
+
+        def numbered(value) -> list[tuple[int, int, str, int]]:
+            chunks = divided(value)
+            return [(i, len(chunks), c, tokens.count(c)) for i, c in enumerate(chunks)]
+
+        return lambda values: [numbered(v) for v in values]
+
+    return by_slices(compute, CHUNKS, to_arrow_type(CHUNKS))
+
+
+def packed_rows(joint: str, max_tokens: int = MAX_TOKENS, vocabulary: str | None = VOCABULARY):
+    """A column function on arrays of segments: chunks of at most `max_tokens` tokens, numbered and counted. A segment above that is packed by sentences, and a sentence above it cut between tokens. No segment gives one empty chunk."""
+
+    def cut(tokens: Counter):
         divide = by_sentence(tokens, max_tokens)
-        return lambda segments: [pack(parts or [], joint, max_tokens, tokens, divide) or [""] for parts in segments]
+        return lambda parts: pack(parts or [], joint, max_tokens, tokens, divide) or [""]
+
+    return _chunked(cut, vocabulary)
+
 
-    return by_slices(compute, ArrayType(StringType()), pa.list_(pa.string()))
+def packed(joint: str, max_tokens: int = MAX_TOKENS, vocabulary: str | None = VOCABULARY):
+    """The same, the chunks alone."""
+    rows = packed_rows(joint, max_tokens, vocabulary)
+    return lambda segments: F.transform(rows(segments), lambda c: c["chunk"])
 
 
-def _numbered(df: DataFrame, key: str, chunks: str, order: list[str], vocabulary: str | None) -> DataFrame:
+def _numbered(df: DataFrame, key: str, chunks: str, order: list[str]) -> DataFrame:
     """(key, chunk_index, total, chunk, n_tokens) from rows of arrays of chunks; a key has one row, or several in `order`."""
-    rows = df.select(key, *order, F.size(chunks).alias("total"), F.posexplode(chunks).alias("chunk_index", "chunk"))
+    rows = df.select(key, *order, F.inline_outer(chunks))  # no array is empty; the optimizer runs the function of `inline` twice, for a filter
     if order:
         w = Window.partitionBy(key)
         rows = rows.withColumns({"chunk_index": F.row_number().over(w.orderBy(*order, "chunk_index")) - 1, "total": F.count("*").over(w).cast("int")})
-    return rows.select(key, "chunk_index", "total", "chunk", count_tokens(vocabulary)("chunk").alias("n_tokens"))
+    return rows.select(key, "chunk_index", "total", "chunk", "n_tokens")
 
 
 def chunk_paragraphs(df: DataFrame, key: str, text: str, max_tokens: int = MAX_TOKENS, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """(key, chunk_index, total, chunk, n_tokens): paragraphs packed with a blank line between; a text without any is one empty chunk."""
-    chunks = df.select(key, packed("\n\n", max_tokens, vocabulary)(paragraphs(F.coalesce(F.col(text), F.lit("")))).alias("__chunks"))
-    return _numbered(chunks, key, "__chunks", [], vocabulary)
+    chunks = df.select(key, packed_rows("\n\n", max_tokens, vocabulary)(paragraphs(F.coalesce(F.col(text), F.lit("")))).alias("__chunks"))
+    return _numbered(chunks, key, "__chunks", [])
 
 
 def message_groups(df: DataFrame, key: str, order: str, author: str, text: str, thread: str | None = None) -> DataFrame:
@@ -171,8 +193,8 @@ def _chunk_groups(groups: DataFrame, key: str, unit: list[str], max_tokens: int,
     """Chunks of (key, unit, island, segment), each unit packed by itself, units in order."""
     segment = F.when(~F.col("segment").rlike(EMOJI_ONLY), F.struct("island", "segment"))
     parts = groups.groupBy(key, *unit).agg(F.transform(F.sort_array(F.collect_list(segment)), lambda s: s["segment"]).alias("__parts"))
-    chunks = parts.select(key, *unit, packed("\n", max_tokens, vocabulary)("__parts").alias("__chunks"))
-    return _numbered(chunks, key, "__chunks", unit, vocabulary)
+    chunks = parts.select(key, *unit, packed_rows("\n", max_tokens, vocabulary)("__parts").alias("__chunks"))
+    return _numbered(chunks, key, "__chunks", unit)
 
 
 def _lines(df: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -225,7 +247,7 @@ def chunk_turns(df: DataFrame, key: str, text: str, max_tokens: int = MAX_TOKENS
     """(key, chunk_index, total, chunk, n_tokens): speaker turns packed with a blank line between; a text without turns by paragraphs."""
     turns = speaker_turns(df, key, text).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("island", "segment"))), lambda s: s["segment"]).alias("__turns"))
     parts = df.select(key, text).join(turns, key, "left").select(key, F.coalesce("__turns", paragraphs(F.coalesce(F.col(text), F.lit("")))).alias("__parts"))
-    return _numbered(parts.select(key, packed("\n\n", max_tokens, vocabulary)("__parts").alias("__chunks")), key, "__chunks", [], vocabulary)
+    return _numbered(parts.select(key, packed_rows("\n\n", max_tokens, vocabulary)("__parts").alias("__chunks")), key, "__chunks", [])
 
 
 def chunk_sources(df: DataFrame, key: str, kind: str, text: str, max_tokens: int = MAX_TOKENS, vocabulary: str | None = VOCABULARY) -> DataFrame:
@@ -250,13 +272,11 @@ def legacy_chunks(df: DataFrame, key: str, text: str, found: Column | None = Non
     `found` (array of names) is what earlier chunks of the text gave; the first chunk has none.
     """
 
-    def compute():
-        tokens = counter(vocabulary)
-        cut = lambda t: tokens.pieces(t, max_tokens)
-        return lambda texts: [[t] if tokens.count(t) <= max_tokens else pack(t.split("\n\n"), "\n\n", max_tokens, tokens, cut, trim=False) for t in texts]
+    def cut(tokens: Counter):
+        pieces = lambda t: tokens.pieces(t, max_tokens)
+        return lambda t: [t] if tokens.count(t) <= max_tokens else pack(t.split("\n\n"), "\n\n", max_tokens, tokens, pieces, trim=False)
 
-    run = by_slices(compute, ArrayType(StringType()), pa.list_(pa.string()))
     none = F.array().cast("array<string>")
-    chunks = df.select(key, run(F.coalesce(F.col(text), F.lit(""))).alias("__chunks"), (none if found is None else found).alias("__found"))
-    rows = chunks.select(key, F.posexplode("__chunks").alias("chunk_index", "chunk"), F.size("__chunks").alias("total"), "__found")
-    return rows.select(key, "chunk_index", "total", "chunk", count_tokens(vocabulary)("chunk").alias("n_tokens"), F.when(F.col("chunk_index") > 0, F.col("__found")).otherwise(none).alias("prior_entities"))
+    chunks = df.select(key, _chunked(cut, vocabulary)(F.coalesce(F.col(text), F.lit(""))).alias("__chunks"), (none if found is None else found).alias("__found"))
+    rows = chunks.select(key, "__found", F.inline_outer("__chunks"))
+    return rows.select(key, "chunk_index", "total", "chunk", "n_tokens", F.when(F.col("chunk_index") > 0, F.col("__found")).otherwise(none).alias("prior_entities"))

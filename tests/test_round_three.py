@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from engram import catalog
-from engram.functions import slices
-from engram.operators import resolution
+from engram.functions import slices, tokens
+from engram.operators import chunking, resolution
 from engram.plans import joins
 
 
@@ -108,3 +108,37 @@ def test_texts_come_in_slices_of_bounded_bytes(spark):
     got = df.select("id", slices.by_slices(lambda: seen, LongType(), pa.int64())("t").alias("n")).collect()
     assert all((r.n is None) == (r.id % 10 == 0) for r in got) and len(got) == 4000
     assert max(r.n or 0 for r in got) <= 1.2 * slices.BYTES
+
+
+def test_a_text_is_encoded_once_to_measure_its_parts(monkeypatch):
+    """Parts of a mixed text have the tokens that they have alone; a text of one paragraph is encoded whole once, not for each sentence."""
+    c = tokens.Bpe(tokens.VOCABULARY)
+    r = np.random.default_rng(6)
+    words = ["word", "Straße", "日本 語", "a b", " ", "  x", "\n\n", "don't", "42 7", "e.g.", "🙂", "　z", "ſt"]
+    for _ in range(30):
+        text = " ".join(r.choice(words, 60))
+        measure = c.ruler(text)
+        for a, b in np.sort(r.integers(0, len(text) + 1, (40, 2))).tolist():
+            n = c.count(text[a:b])
+            assert measure(a, b) == n and all((measure(a, b, limit) <= limit) == (n <= limit) for limit in (n - 1, n, 5 * n))
+    assert c.ruler("a \ud800 b c")(0, 7) == c.count("a \ud800 b c")
+    text = "Some words of a sentence here. " * 400
+    seen, count = [], c.count
+    whole = c.encoding.encode_to_numpy
+    monkeypatch.setattr(c, "count", lambda t: seen.append(len(t)) or count(t))
+
+    class Encoding:
+        encode_to_numpy = staticmethod(lambda t, **k: seen.append(len(t)) or whole(t, **k))
+        encode_ordinary = c.encoding.encode_ordinary
+
+    monkeypatch.setattr(c, "encoding", Encoding)
+    chunks = chunking.pack([text.strip()], "\n\n", 500, c, chunking.by_sentence(c, 500))
+    assert " ".join(chunks) == text.strip() and all(count(x) <= 500 for x in chunks)
+    assert sum(seen) <= 1.5 * len(text)
+
+
+@pytest.mark.parametrize("name", ["op_c1", "op_c5", "op_c6"])
+def test_texts_are_packed_by_one_call(spark, name):
+    """The plan holds one Python function for each branch: chunks are packed, numbered and counted at once."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("\n\n")[0].count("ArrowEvalPython") == {"op_c1": 4}.get(name, 1)
