@@ -36,9 +36,14 @@ class Drain(StatefulProcessor):
         self.ids = handle.getMapState("ids", "id bigint", "seen boolean", ttlDurationMs=self.ttl)
         self.since = handle.getValueState("since", "at bigint")
 
-    def _drain(self, ws: int, now: int, reason: str) -> Iterator[Row]:
+    def _keep(self, ids: set[int]) -> None:
+        for i in ids:
+            self.ids.updateValue((i,), (True,))
+
+    def _drain(self, ws: int, now: int, reason: str, ids: set[int] | None = None) -> Iterator[Row]:
+        """A row for each of `ids`, or of the state's, which is cleared."""
         at = datetime.fromtimestamp(now / 1000, timezone.utc)
-        for (i,) in self.ids.keys():
+        for i in (i for (i,) in self.ids.keys()) if ids is None else ids:
             yield Row(ws=ws, id=i, reason=reason, fired_at=at)
         self.ids.clear()
         self.since.clear()
@@ -46,24 +51,32 @@ class Drain(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
         before = {i for (i,) in self.ids.keys()}  # fewer than `least`: a larger set was drained
-        n = len(before)
-        if n == 0 and self.since.exists():  # all of them expired
+        n, timed = len(before), self.since.exists()
+        if n == 0 and timed:  # all of them expired
             self.handle.deleteTimer(self.since.get()[0] + self.max_age)
             self.since.clear()
-        lately, whole = set(), True
+            timed = False
+        lately, whole = set(), True  # the state is asked and told only of a set that stays, or that is too large for a task
         for row in rows:
             if row.id in lately:
                 continue
             n += row.id not in before and (whole or not self.ids.containsKey((row.id,)))
-            self.ids.updateValue((row.id,), (True,))
             lately.add(row.id)
             if len(lately) == REMEMBERED:
+                self._keep(lately)
                 lately, whole = set(), False
+        if n < self.least or not whole:
+            self._keep(lately)
         if n >= self.least:
-            if self.since.exists():
+            if timed:
                 self.handle.deleteTimer(self.since.get()[0] + self.max_age)
-            yield from self._drain(key[0], now, "count")
-        elif not self.since.exists():  # the clock starts with the first change and is not set again
+            if whole and not timed:  # nothing of it is in the state
+                at = datetime.fromtimestamp(now / 1000, timezone.utc)
+                for i in lately:
+                    yield Row(ws=key[0], id=i, reason="count", fired_at=at)
+            else:
+                yield from self._drain(key[0], now, "count", before | lately if whole else None)
+        elif not timed:  # the clock starts with the first change and is not set again
             self.since.update((now,))
             self.handle.registerTimer(now + self.max_age)
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -16,6 +17,7 @@ from engram import catalog
 from engram.functions import slices, tokens
 from engram.operators import chunking, resolution
 from engram.plans import joins
+from engram.streaming import dirty
 
 
 def both(spark, path, name, **tables):
@@ -142,3 +144,33 @@ def test_texts_are_packed_by_one_call(spark, name):
     """The plan holds one Python function for each branch: chunks are packed, numbered and counted at once."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.split("\n\n")[0].count("ArrowEvalPython") == {"op_c1": 4}.get(name, 1)
+
+
+@pytest.mark.parametrize("remembered", [100_000, 4])
+def test_a_set_that_drains_at_once_does_not_pass_through_the_state(monkeypatch, remembered):
+    """Twelve ids, some twice: one by one into the state only if a task may not hold them; a set that stays goes there."""
+    monkeypatch.setattr(dirty, "REMEMBERED", remembered)
+    calls = []
+
+    class Ids(dict):
+        keys = lambda self: list(dict.keys(self))
+        containsKey = lambda self, k: k in dict.keys(self)
+        updateValue = lambda self, k, v: calls.append(k) or self.update({k: v})
+
+    class Since(list):
+        exists, get = (lambda self: bool(self)), (lambda self: self[0])
+        update = lambda self, v: self.__setitem__(slice(None), [v])
+
+    class Handle:
+        deleteTimer = registerTimer = lambda self, at: None
+
+    class Clock:
+        getCurrentProcessingTimeInMs = lambda self: 1000
+
+    drain = dirty.Drain(10, 60, 1)
+    drain.ids, drain.since, drain.handle = Ids(), Since(), Handle()
+    give = lambda ids: sorted(r.id for r in drain.handleInputRows((1,), iter([Row(ws=1, id=i) for i in ids]), Clock()))
+    assert give([*range(12), 3, 0, 11]) == list(range(12)) and not drain.ids and not drain.since
+    assert (len(calls) == 0) == (remembered > 12)
+    assert give([5, 6, 5]) == [] and sorted(drain.ids) == [(5,), (6,)] and drain.since
+    assert give([6, *range(20, 30)]) == [5, 6, *range(20, 30)] and not drain.ids and not drain.since
