@@ -185,8 +185,9 @@ def valid_path(path: Column) -> Column:
 
 def fake_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic vector from SHA-256 bytes, repeated to `dim`, each byte / 255."""
-    hexed = F.sha2(text.cast("binary"), 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(hexed, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255.0)
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  # a lambda computes what it names for each element, so values are bound first
+    numbers = lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255.0)
+    return once(once(F.sha2(text.cast("binary"), 256), numbers), lambda v: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: v[i % 32]))
 
 
 def content_key(text: Column) -> Column:

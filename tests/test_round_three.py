@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 import duckdb
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql.types import LongType
 
 from engram import catalog
 from engram.functions import slices, tokens
+from engram.functions.text import fake_embedding
 from engram.operators import chunking, resolution
 from engram.plans import joins
 from engram.streaming import dirty
@@ -174,3 +176,13 @@ def test_a_set_that_drains_at_once_does_not_pass_through_the_state(monkeypatch,
     assert (len(calls) == 0) == (remembered > 12)
     assert give([5, 6, 5]) == [] and sorted(drain.ids) == [(5,), (6,)] and drain.since
     assert give([6, *range(20, 30)]) == [5, 6, *range(20, 30)] and not drain.ids and not drain.since
+
+
+def test_a_vector_hashes_its_text_once(spark):
+    """The vectors of SHA-256 bytes, nulls for null; the hash is bound before the places are filled."""
+    df = spark.createDataFrame([("a",), ("ñ x",), (None,)], "t string").select("t", *[fake_embedding(F.col("t"), n).alias(f"v{n}") for n in (10, 64)])
+    for r in df.collect():
+        b = hashlib.sha256((r.t or "").encode()).digest()
+        for n in (10, 64):
+            assert r[f"v{n}"] == [None if r.t is None else b[i % 32] / 255.0 for i in range(n)]
+    assert "array(sha2(" in df._jdf.queryExecution().optimizedPlan().toString()
