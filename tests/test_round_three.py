@@ -17,7 +17,9 @@ from pyspark.sql.types import LongType
 from engram import catalog
 from engram.functions import slices, tokens
 from engram.functions.text import fake_embedding
-from engram.operators import chunking, resolution
+from engram.operators import chunking, resolution, text_index
+from engram.operators.search import WebQuery
+from engram.operators.text_index import TextIndex
 from engram.plans import joins
 from engram.streaming import dirty
 
@@ -208,3 +210,27 @@ def test_mentions_of_one_seq_are_resolved_by_text(spark):
         mentions = spark.createDataFrame([(1, 1, t) for t in order], "run_id bigint, seq int, mention string").coalesce(1)
         made = [x.mention for x in resolution.resolve_runs(mentions, names).collect() if x.is_new]
         assert made == ["zephyr limit"]
+
+
+def test_postings_of_a_word_are_one_row_for_many_texts(spark):
+    """Keys and carried columns are stored once for each text, not for each word of it."""
+    texts = spark.createDataFrame([(f"key {i}", "the red the blue" if i % 2 else "the", "public" if i % 3 else "private") for i in range(600)] + [("none", None, "public"), ("empty", "", "public")], "key string, text string, level string").repartition(2)
+    index = TextIndex.build(texts, "key", "text", ["level"], buckets=4)
+    assert "key" not in index.postings.rows.columns and index.postings.rows.count() <= 100
+    got = {(x.key, x.score) for x in index.matches(WebQuery.parse("the -blue"), F.col("level") == "private").collect()}
+    assert got == {(f"key {i}", 1) for i in range(0, 600, 6)}
+    assert {x.key for x in index.matches(WebQuery.parse('"red the"')).collect()} == {f"key {i}" for i in range(1, 600, 2)}
+
+
+def test_blocks_of_postings_hold_every_place():
+    """Across the bound on words, and where numbers were given by several tasks."""
+    r = np.random.default_rng(3)
+    texts = [[str(w) for w in r.integers(0, 9, n)] for n in (3, 0, 40, 1, 7, 300, 2, 2, 0, 5)]
+    numbers = [5, 6, 7, (3 << 33) + 1, 3 << 33, (3 << 33) + 2, 1 << 60, (1 << 60) + 1, (1 << 60) + 2, (2 << 33)]
+    batch = pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(texts, pa.list_(pa.string()))], names=["number", "words"])
+    for words in (1, 8, 1 << 18):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(text_index, "BLOCK_WORDS", words)
+            blocks = list(text_index._blocks([batch, batch.slice(0, 0)]))
+        got = [(x["term"], x["base"] + (at >> 32), at & 0xFFFFFFFF) for b in blocks for x in b.to_pylist() for at in x["at"]]
+        assert sorted(got) == sorted((w, n, i) for n, ws in zip(numbers, texts, strict=True) for i, w in enumerate(ws))
