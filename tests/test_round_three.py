@@ -17,6 +17,7 @@ from pyspark.sql.types import LongType
 from engram import catalog
 from engram.functions import slices, tokens
 from engram.functions.text import fake_embedding
+from engram.llm import substring_dedup
 from engram.operators import chunking, resolution, text_index
 from engram.operators.search import WebQuery
 from engram.operators.text_index import TextIndex
@@ -234,3 +235,30 @@ def test_blocks_of_postings_hold_every_place():
             blocks = list(text_index._blocks([batch, batch.slice(0, 0)]))
         got = [(x["term"], x["base"] + (at >> 32), at & 0xFFFFFFFF) for b in blocks for x in b.to_pylist() for at in x["at"]]
         assert sorted(got) == sorted((w, n, i) for n, ws in zip(numbers, texts, strict=True) for i, w in enumerate(ws))
+
+
+def test_pairs_are_verified_in_parts(spark, monkeypatch):
+    """No shuffle holds the tokens of all pairs, and the texts lie in buckets that joins read as they are."""
+    r = np.random.default_rng(4)
+    passage = [f"p{w}" for w in r.integers(0, 999, 60)]
+    docs = [(i, " ".join([*(f"w{w}" for w in r.integers(0, 9999, 30)), *passage[: 60 if i % 3 else 20], f"end{i}"])) for i in range(24)]
+    scratch = substring_dedup.Scratch(spark, "parts")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    texts = scratch.table(frame.mapInArrow(substring_dedup._sequences(5), "node bigint, tokens binary"))
+    pairs = scratch.table(texts.select(F.col("node").alias("a")).join(texts.select(F.col("node").alias("b"))).filter("a < b"))
+    want = {tuple(x) for x in substring_dedup._shared(pairs, texts, 5, 46, 75).collect()}
+    held, shared = [], substring_dedup._shared
+
+    def counted(some, *rest):
+        held.append(some.count())
+        found = shared(some, *rest)
+        assert "hashpartitioning(node" not in found._jdf.queryExecution().executedPlan().toString()
+        return found
+
+    monkeypatch.setattr(substring_dedup, "_shared", counted)
+    monkeypatch.setattr(substring_dedup, "PAIRS_A_TEXT", 2)
+    run = substring_dedup.SortedRun(scratch, texts, "node", 4, "sequences")
+    got = [tuple(x) for x in substring_dedup._verified(pairs, run, 24, 5, 46, 75, scratch).collect()]
+    assert len(got) == len(want) == 120 and set(got) == want
+    assert sum(held) == 276 and len(held) == 6 and max(held) < 100
+    run.drop()
