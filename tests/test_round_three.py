@@ -262,3 +262,42 @@ def test_pairs_are_verified_in_parts(spark, monkeypatch):
     assert len(got) == len(want) == 120 and set(got) == want
     assert sum(held) == 276 and len(held) == 6 and max(held) < 100
     run.drop()
+
+
+def test_open_members_pair_only_where_a_passage_may_lie(spark, monkeypatch):
+    """Texts that share a first line alone, too short for a passage, aren't verified against each other; a passage that only two of them share is found."""
+    r = np.random.default_rng(8)
+    word = lambda: f"w{r.integers(0, 1 << 40)}"
+    line, passage = [word() for _ in range(15)], [word() for _ in range(60)]
+    docs = [(i, " ".join([*line, *(passage if i in (7, 30) else [word() for _ in range(60)]), *(word() for _ in range(40))])) for i in range(60)]
+    tried, verified = [], substring_dedup._in_parts
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(substring_dedup, "_in_parts", counted)
+    found = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(x.doc_id, x.partner_id) for x in found} == {(7, 30), (30, 7)}
+    assert sum(tried) <= 4 * len(docs)  # each with the firsts of its runs and those next to it; all pairs are 1770
+
+
+def test_room_for_a_passage_around_a_mark():
+    """Against brute force over all segments, and on marks of a repeated word, of which few stand for all."""
+    r = np.random.default_rng(3)
+    match, inside = r.random((300, 161)) < r.random((300, 1)) * 0.5 + 0.5, np.ones((300, 161), bool)
+    for i, (lo, hi) in enumerate(r.integers(0, 70, (300, 2))):
+        inside[i, :lo], inside[i, 161 - hi :] = False, False
+    sums = np.concatenate([np.zeros((300, 1)), np.cumsum(np.where(inside, np.where(match, 25, -75), -(10**6)), axis=1)], axis=1)
+    near = lambda i, j: j - i >= 46 and i <= 80 + substring_dedup.CELL and j > 80 - substring_dedup.CELL
+    want = [any(sums[x, j] >= sums[x, i] for i in range(161) for j in range(i + 46, 162) if near(i, j)) for x in range(300)]
+    assert substring_dedup._has_room(match, inside, 46, 75).tolist() == want and 20 < sum(want) < 280
+
+    word, same = r.integers(0, 1 << 60, 3000).astype(np.uint64), np.uint64(5)
+    texts = [np.concatenate([word[1000 * i : 1000 * i + 300], np.full(n, same), word[1000 * i + 300 : 1000 * i + 700]]) for i, n in enumerate((200, 60, 30))]
+    marks = [[{"run": 1, "at": 300 + j, "open": i > 0} for j in range(n)] for i, n in enumerate((200, 60, 30))]
+    kind = pa.list_(pa.struct([("run", pa.int64()), ("at", pa.int64()), ("open", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([x.tobytes() for x in texts]), pa.array(marks, kind)], names=["node", "tokens", "marks"])
+    near = pa.Table.from_batches(substring_dedup._near(substring_dedup.NEAR)(iter([batch])))
+    assert near.num_rows <= 24
+    assert substring_dedup._look(46, 75)(near).to_pylist() == [{"a": 1, "b": 2}]
