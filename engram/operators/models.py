@@ -103,9 +103,10 @@ def model_scores(model: TextModel, system_prompt: str = "Score nine domains.", f
     return lambda text: full(parse(ask(text))), lambda text, scores: full(parse(ask(F.concat(text, F.lit(f"\n\n{first_scores}: "), F.to_json(scores), F.lit(f"; {second_look}.")))))
 
 
-def classify(chunks: DataFrame, text: str = "chunk", score: Callable[[Column], Column] = keyword_scores, verify: Callable[[Column, Column], Column] = settle, vocabulary: str | None = VOCABULARY) -> DataFrame:
-    """`chunks` with scores, `changed` (the second look differs), domain and crystal, from the first `TRUNCATED` tokens."""
-    seen = chunks.withColumn("__t", truncate_tokens(TRUNCATED, vocabulary)(F.coalesce(text, F.lit(""))))
+def classify(chunks: DataFrame, text: str = "chunk", score: Callable[[Column], Column] = keyword_scores, verify: Callable[[Column, Column], Column] = settle, vocabulary: str | None = VOCABULARY, truncated: int | None = TRUNCATED) -> DataFrame:
+    """`chunks` with scores, `changed` (the second look differs), domain and crystal, from the first `truncated` tokens; from whole texts for None."""
+    whole = F.coalesce(text, F.lit(""))
+    seen = chunks.withColumn("__t", whole if truncated is None else truncate_tokens(truncated, vocabulary)(whole))
     first = seen.withColumn("__first", score(F.col("__t")))
     both = first.withColumn("scores", verify(F.col("__t"), F.col("__first")))
     best = F.array_max(F.map_values(F.map_filter("scores", lambda k, _: k != "smalltalk")))

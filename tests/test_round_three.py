@@ -47,6 +47,19 @@ def test_classified_turns_are_cut_where_sql_cuts_them(spark, tmp_path, name):
         assert (1, 0, False, "project", True) in got
 
 
+@pytest.mark.parametrize("name", ["op_c7", "op_a14"])
+def test_turns_are_classified_from_their_whole_texts(spark, tmp_path, name):
+    """Words beyond 800 tokens and beyond 3200 characters count, in the query and its SQL."""
+    far = "x " * 2000 + "the and " * 6 + "und der " * 2
+    rows = [(1, 0, "user", far), (1, 1, "user", "y" * 3300 + " of die" * 6)]
+    got, want = both(spark, tmp_path, name, conversations=(rows, "conv_id bigint, turn int, role string, text string"))
+    if name == "op_c7":
+        assert got == want == [(1, 0, True, "project", True), (1, 1, False, "smalltalk", False)]
+    else:
+        assert got == want
+        assert {("crystal", "all", 1), ("changed", "all", 1), ("domain", "smalltalk", 1)} <= set(got)
+
+
 def test_a_mean_at_the_bound_does_not_hang_on_the_order_of_rows(spark, tmp_path):
     """Exact means of 0.4 whose sums in doubles fall short of it in some order."""
     rows = []
