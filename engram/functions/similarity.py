@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from os.path import commonprefix
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,6 +64,52 @@ def jaro_winkler_of(a: str | None, b: str | None) -> float | None:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
+def jaro_winkler_against(names: list[str]) -> Callable[[str, np.ndarray], np.ndarray]:
+    """A function that scores a text against the `names` at some places, as `jaro_winkler_of` does; places in a name are the bits of a number, so longer names than 64 go one by one."""
+    length, begin = np.array([len(n) for n in names], np.int64), commonprefix(names)
+    places: dict[str, np.ndarray] = {}
+    for at, name in enumerate(names):
+        if len(name) <= 64:
+            for i, c in enumerate(name):
+                if c not in places:
+                    places[c] = np.zeros(len(names), np.uint64)
+                places[c][at] |= np.uint64(1 << i)
+    heads = np.array([[ord(c) for c in n[:4]] + [-1] * (4 - len(n[:4])) for n in names], np.int64).reshape(len(names), 4)
+
+    def of_one_length(a: str, at: np.ndarray, size: int) -> np.ndarray:
+        reach, none = max(max(len(a), size) // 2 - 1, 0), np.zeros(len(at), np.uint64)
+        own = {c: places[c][at] if c in places else none for c in set(a)}
+        same = len(commonprefix([a, begin]))  # these characters take each other
+        free, taken, todo = np.full(len(at), 2**64 - (1 << same), np.uint64), [], a[same:]
+        for i, c in enumerate(todo, same):
+            near = ((1 << min(i + reach + 1, 64)) - 1) & ~((1 << max(0, i - reach)) - 1) & (2**64 - 1)
+            bit = own[c] & free & np.uint64(near)
+            bit &= ~bit + np.uint64(1)  # the lowest one
+            free ^= bit
+            taken.append(bit)
+        m, swaps, rest = np.full(len(at), same), np.zeros(len(at), np.int64), ~free ^ np.uint64((1 << same) - 1)
+        for c, bit in zip(todo, taken, strict=True):
+            there = bit != 0
+            first = rest & (~rest + np.uint64(1))
+            m += there
+            swaps += there & (own[c] & first == 0)
+            rest ^= np.where(there, first, np.uint64(0))
+        some = np.maximum(m, 1)
+        jaro = np.where(m > 0, (m / max(len(a), 1) + m / max(size, 1) + (m - swaps // 2) / some) / 3, 0.0)
+        head = np.array([ord(c) for c in a[:4]] + [-2] * (4 - len(a[:4])), np.int64)
+        prefix = np.cumprod(heads[at] == head, axis=1).sum(axis=1)
+        return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro)
+
+    def scores(a: str, at: np.ndarray) -> np.ndarray:
+        out, sizes = np.zeros(len(at)), length[at]
+        for size in np.unique(sizes).tolist():
+            where = np.flatnonzero(sizes == size)
+            out[where] = of_one_length(a, at[where], size) if size <= 64 else [jaro_winkler_of(a, names[j]) for j in at[where].tolist()]
+        return out if a else np.where(sizes == 0, 1.0, 0.0)
+
+    return scores
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity with the prefix boost above 0.7."""
