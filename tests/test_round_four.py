@@ -7,6 +7,7 @@ import random
 import numpy as np
 
 from engram.functions.similarity import jaro_winkler_against, jaro_winkler_of
+from engram.llm import substring_dedup
 from engram.operators import resolution
 
 
@@ -36,3 +37,20 @@ def test_a_search_of_names_starts_from_seeds_and_keeps_classes_together(spark, m
     assert len({r[0] for r in right}) == len({"".join(sorted(r.name)) for r in right})
     for i, text in asked[::7]:
         assert got[i] == min(((jaro_winkler_of(text, name), k) for k, name in names), key=lambda s: (-s[0], s[1]))
+
+
+def test_covered_members_that_nothing_connects_meet(spark):
+    """Chains of seven passages of which only neighbours are alike: two texts that others cover already are linked as well, so a chain stays one."""
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    docs = []
+    for chain in range(30):
+        passage = words(54)
+        for i in range(7):
+            docs.append((10 * chain + i, " ".join(words(40) + passage + words(40))))
+            passage = [*passage[: 7 + 6 * i], *words(1), *passage[8 + 6 * i :]]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    pairs = {(r.doc_id, r.partner_id) for r in found}
+    assert all(a // 10 == b // 10 and abs(a - b) == 1 for a, b in pairs)
+    links = [(10 * chain + i, 10 * chain + i + 1) in pairs for chain in range(30) for i in range(6)]
+    assert sum(links) >= 0.98 * len(links)
