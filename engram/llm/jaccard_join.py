@@ -17,9 +17,9 @@ DivideSkip:
    shingles tie sets together into groups.
 3. A task takes groups of bounded size and builds their inverted lists. For
    each set as the query, its long lists are put aside, the short ones are
-   merged by a heap that skips what cannot occur often enough, and candidates
-   are looked up in the long lists by binary search. A set is not compared with
-   sets to which it is linked already.
+   merged by counting, and candidates that occur often enough there are looked
+   up in the long lists by binary search. A set is not compared with sets to
+   which it is linked already.
 
 A group above the bound is first compared with pivots, the sets with the longest
 lists, which usually make it one class; if not, its sets are dealt into blocks,
@@ -28,10 +28,8 @@ and every two blocks are searched together.
 
 from __future__ import annotations
 
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 from math import ceil, log2
 
 import numpy as np
@@ -329,7 +327,8 @@ def divide_skip(sets: list[np.ndarray], percent: int, label: np.ndarray | None =
 
     Each set is the query for the sets before it. T is the least overlap with a
     set of an allowed size; `apart` of its lists are long, and a candidate
-    occurs at least T - apart times in the short ones.
+    occurs at least T - apart times in the short ones, which are merged at once
+    in arrays: a query's lists hold no more than its group.
     """
     count = len(sets)
     sizes = [len(s) for s in sets]
@@ -340,64 +339,45 @@ def divide_skip(sets: list[np.ndarray], percent: int, label: np.ndarray | None =
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
     who = np.repeat(np.arange(count, dtype=np.int32), sizes)
     order = np.lexsort((who, flat))
-    who = who[order]
-    lo = _starts(flat[order])
+    ids, flat = who[order], flat[order]
+    lo = _starts(flat)
     begin = np.repeat(lo, np.diff(lo, append=len(flat)))
-    at = np.argsort(who, kind="stable")  # postings of each set in turn
+    at = np.argsort(ids, kind="stable")  # postings of each set in turn
     at = at[begin[at] < at]  # where an earlier set is in the list
-    bounds = np.searchsorted(who[at], np.arange(count + 1)).tolist()
-    begin, ids, links = begin[at].tolist(), array("i", who.tobytes()), []
-    at = at.tolist()
+    bounds = np.searchsorted(ids[at], np.arange(count + 1)).tolist()
+    size_of, links = np.array(sizes, np.int64), []
+
+    def merged(first: np.ndarray, width: np.ndarray, q: int) -> np.ndarray:
+        """How often each set before q occurs in the lists that begin at `first`."""
+        place = np.repeat(first - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        return np.bincount(ids[place], minlength=q)
+
     for q in range(count):
         least = -(-percent * sizes[q] // 100)
         if bounds[q + 1] - bounds[q] < least:
             continue
-        low = bisect_left(sizes, least)
-        lists = []
-        for a, z in zip(begin[bounds[q] : bounds[q + 1]], at[bounds[q] : bounds[q + 1]], strict=True):
-            if low:
-                a = bisect_left(ids, low, a, z)
-            if a < z:
-                lists.append((z - a, a, z))
-        if len(lists) < least:
+        ends = at[bounds[q] : bounds[q + 1]]
+        width = ends - begin[ends]
+        ends = ends[np.argsort(width, kind="stable")]
+        first, width = begin[ends], np.sort(width)
+        apart = min(least - 1, int(least / (MU * log2(width[-1]) + 1)))
+        short = len(ends) - apart
+        times = merged(first[:short], width[:short], q)
+        y = np.flatnonzero(times >= least - apart)
+        y = y[(y >= bisect_left(sizes, least)) & (label[y] != label[q])]
+        if not len(y):
             continue
-        lists.sort()
-        apart = min(least - 1, int(least / (MU * log2(lists[-1][0]) + 1)))
-        long = lists[len(lists) - apart :]
-        heap = [(ids[a], a, z) for _, a, z in lists[: len(lists) - apart]]
-        heapify(heap)
-        often = least - apart
-        while len(heap) >= often:
-            y = heap[0][0]
-            top = [heappop(heap)]
-            while heap and heap[0][0] == y:
-                top.append(heappop(heap))
-            if len(top) >= often:
-                to = y + 1
-                if label[y] != label[q]:
-                    need, found, rest = -(-percent * (sizes[q] + sizes[y]) // (100 + percent)), len(top), apart
-                    for _, a, z in long:
-                        if found >= need or found + rest < need:
-                            break
-                        rest -= 1
-                        p = bisect_left(ids, y, a, z)
-                        found += p < z and ids[p] == y
-                    if found >= need:
-                        links.append((y, q))
-                        keep, gone = sorted((int(label[y]), int(label[q])), key=lambda c: -len(members[c]))
-                        label[members[gone]] = keep
-                        members[keep] += members.pop(gone)
-                if label[y] == label[q]:  # on to the next set that is not linked yet
-                    other = np.flatnonzero(label[to:q] != label[q])
-                    to = to + int(other[0]) if len(other) else q
-            else:  # what is below the new top can't occur `often` times
-                while heap and len(top) < often - 1:
-                    top.append(heappop(heap))
-                to = heap[0][0] if heap else q
-            for _, a, z in top:
-                a = bisect_left(ids, to, a, z)
-                if a < z:
-                    heappush(heap, (ids[a], a, z))
+        if len(y) * apart < width[short:].sum():
+            long = np.sort(flat[ends[short:]])
+            found = times[y] + [int((sets[i][np.minimum(np.searchsorted(sets[i], long), sizes[i] - 1)] == long).sum()) for i in y.tolist()]
+        else:  # as many candidates as a list has sets: one merge costs less
+            found = (times + merged(first[short:], width[short:], q))[y]
+        for i in y[found >= -(-percent * (sizes[q] + size_of[y]) // (100 + percent))].tolist():
+            if label[i] != label[q]:
+                links.append((i, q))
+                keep, gone = sorted((int(label[i]), int(label[q])), key=lambda c: -len(members[c]))
+                label[members[gone]] = keep
+                members[keep] += members.pop(gone)
     return links
 
 

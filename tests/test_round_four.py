@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 
 from engram.functions.similarity import jaro_winkler_against, jaro_winkler_of
-from engram.llm import substring_dedup
+from engram.llm import jaccard_join, substring_dedup
 from engram.operators import resolution
 
 
@@ -54,3 +55,26 @@ def test_covered_members_that_nothing_connects_meet(spark):
     assert all(a // 10 == b // 10 and abs(a - b) == 1 for a, b in pairs)
     links = [(10 * chain + i, 10 * chain + i + 1) in pairs for chain in range(30) for i in range(6)]
     assert sum(links) >= 0.98 * len(links)
+
+
+def test_alike_sets_without_links_are_searched_in_arrays():
+    """400 variants of a set that share more than half of it, few of them linked, took a merge by heap and a look into each long list for every two: 10.9 s, 0.6 s in arrays."""
+    r = np.random.default_rng(1)
+    base, sets = r.integers(0, 1 << 60, 1000), []
+    for _ in range(400):
+        other = r.random(1000) > 0.8 + r.random() * 0.1
+        sets.append(np.unique(np.where(other, r.integers(0, 1 << 60, 1000), base)).astype(np.uint64))
+    sets.sort(key=len)
+    start = time.process_time()
+    links = jaccard_join.divide_skip(sets, 75)
+    spent = time.process_time() - start
+    up, want = np.arange(400), np.arange(400)
+    for x, y in links:
+        up[up == up[y]] = up[x]
+    for j in range(400):
+        for i in range(j):
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if want[i] != want[j] else 0
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                want[want == want[j]] = want[i]
+    assert {frozenset(np.flatnonzero(up == c)) for c in up} == {frozenset(np.flatnonzero(want == c)) for c in want}
+    assert spent < 5
